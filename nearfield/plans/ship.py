@@ -9,7 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-_DONE: set[str] = set()
+#: By application: the folder of the file, which Spark's file server reads for as long as the application runs.
+_DONE: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -18,10 +19,10 @@ def ship(spark: SparkSession) -> None:
     if app in _DONE:
         return
     root = Path(importlib.util.find_spec("nearfield").origin).parent
-    with tempfile.TemporaryDirectory() as folder:
-        target = Path(folder) / "nearfield-sources.zip"
-        with zipfile.ZipFile(target, "w") as out:
-            for f in sorted(root.rglob("*.py")):
-                out.write(f, f"nearfield/{f.relative_to(root)}")
-        spark.sparkContext.addPyFile(str(target))
-    _DONE.add(app)
+    folder = tempfile.TemporaryDirectory()
+    target = Path(folder.name) / "nearfield-sources.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f"nearfield/{f.relative_to(root)}")
+    spark.sparkContext.addPyFile(str(target))
+    _DONE[app] = folder
