@@ -82,6 +82,34 @@ def pack(docs: DataFrame, words: Callable[[pa.RecordBatch], tuple[np.ndarray, pa
     return docs.mapInArrow(run, CHUNK_SPEC)
 
 
+def pack_bytes(docs: DataFrame, chunk_bytes: int = 32_000_000) -> DataFrame:
+    """docs: the columns to keep, text last. A payload is (kept columns, each text's bytes, all texts end to end)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def emit():
+            text = pa.concat_arrays([t for _, t in held])
+            n = pc.binary_length(text).to_numpy(zero_copy_only=False)
+            data = np.frombuffer(b"".join(t.as_py() for t in text), np.uint8)
+            payload = (pa.Table.from_batches([k for k, _ in held]).combine_chunks(), narrow(n), data)
+            return pa.RecordBatch.from_pylist([{"chunk_id": (task << 32) + made, "payload": squeeze(payload)}], schema=pa.schema([("chunk_id", pa.int64()), ("payload", pa.binary())]))
+
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                text = part.column(part.num_columns - 1).cast(pa.large_binary())
+                held.append((part.select(part.schema.names[:-1]), text))
+                size += pc.sum(pc.binary_length(text)).as_py() or 0
+                if size >= chunk_bytes:
+                    yield emit()
+                    made, held, size = made + 1, [], 0
+        if held:
+            yield emit()
+
+    return docs.mapInArrow(run, CHUNK_SPEC)
+
+
 def placed(chunks: DataFrame) -> DataFrame:
     """Shuffled once by chunk, for all the steps that follow (they reuse the exchange)."""
     return chunks.repartition(partitions(chunks.sparkSession), "chunk_id")
@@ -117,7 +145,8 @@ def answered(chunks: DataFrame, answers: DataFrame, finish: Callable[[int, objec
 
 def ascii_words(b: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
     """Words between ASCII white space, A-Z lower-cased; the text is the last column."""
-    text = b.column(b.num_columns - 1).cast(pa.large_string())
+    text = b.column(b.num_columns - 1)
+    text = text.take(pa.array(np.arange(len(text)))).cast(pa.large_string())  # the kernels below misread slices
     parts = pc.ascii_split_whitespace(pc.ascii_lower(text))
     flat = parts.flatten()
     some = pc.not_equal(pc.binary_length(flat), 0)

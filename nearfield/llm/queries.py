@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_lm, token_counts, topk, url_filter
+from . import bpe, minhash, ngram_lm, repeats, token_counts, topk, url_filter
 from .common import remainder, table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -25,6 +25,14 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -33,7 +41,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_lm_scoring, op5_exact_topk, op9_bpe, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_lm_scoring, op5_exact_topk, op6_suffix_dedup, op8_minhash, op9_bpe, op10_url_filter)}
 
 ORACLES = {
     "op5_exact_topk": """
@@ -43,6 +51,16 @@ ORACLES = {
                    FROM v q JOIN v c ON q.id % 20 = 0 AND q.id <> c.id),
              r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op8_minhash": """
+        WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+             g AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS s FROM t),
+             r AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM g WHERE len(s) > 0),
+             b AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM r x JOIN r y ON x.h = y.h AND x.doc_id <> y.doc_id
+                   GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+             c(id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.b, c.m FROM c JOIN b ON c.id = b.a AND c.m < b.b),
+             f AS (SELECT id, min(m) AS m FROM c GROUP BY id)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m AS component_id, doc_id = m AS kept FROM g JOIN f ON doc_id = id""",
     "op10_url_filter": """
         WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
              p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
