@@ -82,7 +82,7 @@ def pack(docs: DataFrame, words: Callable[[pa.RecordBatch], tuple[np.ndarray, pa
     return docs.mapInArrow(run, CHUNK_SPEC)
 
 
-def pack_bytes(docs: DataFrame, chunk_bytes: int = 32_000_000) -> DataFrame:
+def pack_bytes(docs: DataFrame, chunk_bytes: int = 8_000_000) -> DataFrame:
     """docs: the columns to keep, text last. A payload is (kept columns, each text's bytes, all texts end to end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -176,7 +176,7 @@ def rounds(answers: dict) -> list[dict]:
     return [{s // 4: x for s, x in answers.items() if s % 4 == k} for k in (1, 2, 3)]
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, keep: list[str] | None = None, text_col: str = "text", chunk_bytes: int = 32_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, keep: list[str] | None = None, text_col: str = "text", chunk_bytes: int = 8_000_000) -> DataFrame:
     """keep (columns; default doc_id), n_bytes, spans array<struct<start,end>> in bytes, kept binary, kept_text (whole characters)."""
     keep = keep or ["doc_id"]
     gram = (length + 1) // 2
