@@ -2,12 +2,13 @@
 
 Shingles of ``width`` words are hashed; a first permutation sends a hash to a place in a circle of 2^22, and a second one,
 read from that place on, gives all coordinates of the signature: coordinate k is the least value at place + k over the
-set. So a shingle costs one contiguous read for all coordinates. Bands of 4 coordinates make buckets; with 32 bands a
-pair at similarity 0.8 is missed with probability 5e-8.
+set. So a shingle costs one contiguous read for all coordinates. Bands of 5 coordinates make buckets; with 40 bands a
+pair at similarity 0.8 is missed with probability 1e-7.
 
-Copies with the same set are one node (its smallest id). In a bucket no pairs are enumerated: members are verified against
-one hub, then, where a bucket still spans several components, against further hubs, and last what the triangle inequality
-of the Jaccard distance leaves open, member by member, so that no link between members of a bucket is lost.
+Copies with the same set are one node (its smallest id). In a bucket members are verified against two hubs; where it still
+spans several components, those outside a hub's component against two more, and so on. Last, members outside the bucket's
+main component meet all others whose set sizes and signatures don't rule out the similarity (a true link is ruled out with
+probability 1e-8), so that no link between members of a bucket is lost and no pairs of one component are made.
 Links are verified on full sets. Components are found by alternating large and small stars.
 
 Texts are lower-cased in A-Z; words lie between ASCII white space. With fewer words than the width, the whole sequence is
@@ -30,14 +31,17 @@ from .chunks import ascii_words
 from .common import text_or_empty, written
 
 CIRCLE = 1 << 22
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 5
+COORDINATES = BANDS * ROWS
+#: At similarity 0.8, fewer than this many equal coordinates of 200 have a probability of 1e-8.
+AGREE = 0.64
 
 
 @lru_cache(1)
 def circle() -> np.ndarray:
     """The second permutation, with its beginning repeated behind its end."""
     p = np.random.default_rng(20).permutation(CIRCLE).astype(np.uint32)
-    return np.concatenate([p, p[: BANDS * ROWS]])
+    return np.concatenate([p, p[:COORDINATES]])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,8 +75,8 @@ def shingle_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndar
 
 def signatures(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A row of BANDS * ROWS coordinates for each set; empty sets have none and must not be asked for."""
-    view = np.lib.stride_tricks.sliding_window_view(circle(), BANDS * ROWS)
-    out = np.empty((len(size), BANDS * ROWS), np.uint32)
+    view = np.lib.stride_tricks.sliding_window_view(circle(), COORDINATES)
+    out = np.empty((len(size), COORDINATES), np.uint32)
     ends = np.cumsum(size)
     i = 0
     while i < len(size):
@@ -100,7 +104,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, f1, f2 (the set's fingerprint), bands (null for empty sets)."""
+    """id, n_shingles, f1, f2 (the set's fingerprint), bands (none for empty sets), sig (a byte of each coordinate, by eights)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,12 +115,12 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                 prints = [xxhash.xxh3_128_intdigest(h[e - s : e].tobytes()) for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
                 signed = lambda x: x - 2**64 if x >= 2**63 else x
                 some = np.flatnonzero(size > 0)
-                keys = band_keys(signatures(h, size[some])) if len(some) else np.zeros((0, BANDS), np.int64)
-                off = np.zeros(len(size) + 1, np.int32)
-                off[1:] = np.cumsum(np.where(size > 0, BANDS, 0))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array([signed(p >> 64) for p in prints], pa.int64()), pa.array([signed(p & (2**64 - 1)) for p in prints], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(keys.ravel()))], names=["id", "n_shingles", "f1", "f2", "bands"])
+                sig = signatures(h, size[some]) if len(some) else np.zeros((0, COORDINATES), np.uint32)
+                keys, low = band_keys(sig), np.ascontiguousarray(sig.astype(np.uint8)).view(np.int64)
+                listed = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, x.shape[1], 0))]).astype(np.int32)), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array([signed(p >> 64) for p in prints], pa.int64()), pa.array([signed(p & (2**64 - 1)) for p in prints], pa.int64()), listed(keys), listed(low)], names=["id", "n_shingles", "f1", "f2", "bands", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, f1 long, f2 long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, f1 long, f2 long, bands array<long>, sig array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -157,7 +161,7 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 3) -> DataFrame:
     """id, n_shingles, component_id, kept for each row. Linked: den * intersection >= num * union."""
     sketch = written(sketches(docs, width, id_col, text_col), "sketches")
     full = sketch.where("n_shingles > 0 and id is not null")
@@ -165,29 +169,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     buckets = written(in_company(sets.select("rep", F.explode("bands").alias("key"))), "buckets")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     copies = full.join(sets.select("f1", "f2", "rep"), ["f1", "f2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-
-    hubs = buckets.groupBy("key").agg(F.min("rep").alias("b"))
-    pairs = buckets.join(hubs, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    tested = written(verified(pairs, texts, width), "tested")
     linked = f"{den} * both >= {num} * either"
-    links = tested.where(linked).select("a", "b")
-    of = components(links)
+
+    open_, of, tested = buckets.withColumn("component", F.col("rep")), None, None
     for turn in range(hub_rounds + 1):
-        open_ = written(unsettled(buckets, of), "open")
-        if not open_.head(1):
-            break
-        if turn < hub_rounds:  # another hub: any member, as good as at random
-            hub = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "component")).alias("h")).select("key", F.col("h.rep").alias("b"), F.col("h.component").alias("c"))
-            more = open_.join(hub, "key").where("component <> c").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-        else:
-            more = left_open(open_, tested, num, den)
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = written(more.join(known, ["a", "b"], "left_anti"), "pairs")
-        if not more.head(1):
-            continue
-        tested = written(tested.unionByName(verified(more, texts, width)), "tested")
-        links = tested.where(linked).select("a", "b")
-        of = components(links)
+        more = to_hubs(open_, turn) if turn < hub_rounds else left_open(open_, full, num, den)
+        if tested is not None:
+            more = more.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        new = written(verified(more, texts, width), "tested")
+        tested = new if tested is None else tested.unionByName(new)
+        of = components(tested.where(linked).select("a", "b"))
+        if turn < hub_rounds:
+            open_ = written(unsettled(buckets, of), "open")
+            if not open_.head(1):
+                break
     of = components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(copies))
     out = sketch.join(of, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
@@ -199,21 +194,40 @@ def in_company(rows: DataFrame) -> DataFrame:
     return rows.join(shared, "key")
 
 
+def to_hubs(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a < b) of each bucket's members and two of them, as good as picked at random, in other components."""
+    hub = rows.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(2 * turn + k)), "rep", "component")).alias(f"h{k}") for k in (0, 1)])
+    hub = hub.select("key", F.explode(F.array("h0", "h1")).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.component").alias("c"))
+    return rows.join(hub, "key").where("component <> c").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+
+
 def unsettled(buckets: DataFrame, of: DataFrame) -> DataFrame:
-    """key, rep, component, n of the buckets of three and more members that span several components."""
+    """key, rep, component of the buckets of three and more members that span several components."""
     named = buckets.join(of.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("hub")).where("n > 2 and lo <> hi").select("key", "hub")
-    return named.join(several, "key").select("key", "rep", "component", "hub")
+    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 and lo <> hi").select("key")
+    return named.join(several, "key").select("key", "rep", "component")
+
+
+def agreement(a, b):
+    """How many bytes of two arrays of longs are equal."""
+
+    def equal(x, y):
+        d = x.bitwiseXOR(y)
+        for shift in (4, 2, 1):  # each byte's bits are gathered in its lowest
+            d = d.bitwiseOR(F.shiftrightunsigned(d, shift)).bitwiseAND(F.lit(0x0101010101010101 * (2**shift - 1)))
+        return 8 - F.bit_count(d)
+
+    return F.aggregate(F.zip_with(a, b, equal), F.lit(0), lambda s, x: s + x)
 
 
-def left_open(open_: DataFrame, tested: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a < b) of different components in a bucket that the distances to the first hub don't rule out. The members of
-    a bucket's component that counts most rows there are met by the others only."""
-    dist = tested.select("a", F.col("b").alias("hub"), (1 - F.col("both") / F.col("either")).alias("d")).unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("hub"), (1 - F.col("both") / F.col("either")).alias("d"))).groupBy("a", "hub").agg(F.min("d").alias("d"))
-    rows = open_.join(dist.withColumnRenamed("a", "rep"), ["rep", "hub"], "left").withColumn("d", F.when(F.col("rep") == F.col("hub"), 0.0).otherwise(F.col("d")))
+def left_open(open_: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a < b) of different components in a bucket that sizes and signatures don't rule out. The bucket's component
+    with most members there is met by the others only."""
+    about = full.groupBy(F.col("id").alias("rep")).agg(F.min(F.struct("n_shingles", "sig")).alias("m")).select("rep", F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig"))
+    rows = open_.join(about, "rep")
     sizes = open_.groupBy("key", "component").count()
     main = sizes.groupBy("key").agg(F.max(F.struct("count", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
-    few = rows.join(main, "key").where("component <> main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("d").alias("dx"))
-    reach = 1 - num / den + 1e-9
-    met = few.join(rows, "key").where((F.col("cx") != F.col("component")) & (F.coalesce(F.abs(F.col("dx") - F.col("d")), F.lit(0.0)) <= reach))
+    few = rows.join(main, "key").where("component <> main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("sig").alias("sx"))
+    alike = (F.col("cx") != F.col("component")) & (den * F.least("n", "nx") >= num * F.greatest("n", "nx")) & (agreement(F.col("sx"), F.col("sig")) >= int(AGREE * COORDINATES))
+    met = few.join(rows, (few["key"] == rows["key"]) & alike)
     return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
