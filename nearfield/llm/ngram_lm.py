@@ -74,15 +74,21 @@ class EliasFano:
         """The first place with a value >= x each (n: none)."""
         out = np.full(len(x), self.n, np.int64)
         live = np.flatnonzero(x <= self.top) if self.n else np.zeros(0, np.int64)
-        h = x[live] >> self.l
-        at = np.where(h == 0, 0, self._select(np.maximum(h - 1, 0), self.zeros, 255) - h + 1)  # the ones before h zeros
-        out[live] = at
-        value = self.at(np.minimum(at, self.n - 1)) if len(live) else at
-        short = np.flatnonzero(value < x[live])
-        while len(short):
-            live, at = live[short], at[short] + 1
-            out[live] = at
-            short = np.flatnonzero((at < self.n) & (self.at(np.minimum(at, self.n - 1)) < x[live]))
+        if not len(live):
+            return out
+        h, low = x[live] >> self.l, x[live] & ((1 << self.l) - 1)
+        begin = np.where(h == 0, 0, self._select(np.maximum(h - 1, 0), self.zeros, 255) - h + 1)  # the ones before h zeros
+        end = self._select(h, self.zeros, 255) - h
+        out[live] = begin
+        some = np.flatnonzero(begin < end)  # values with the same high bits: halve where they may be many
+        begin, end, low, live = begin[some], end[some], low[some], live[some]
+        while len(live):
+            mid = (begin + end) >> 1
+            less = self._low(mid) < low
+            begin, end = np.where(less, mid + 1, begin), np.where(less, end, mid)
+            out[live] = begin
+            on = np.flatnonzero(begin < end)
+            begin, end, low, live = begin[on], end[on], low[on], live[on]
         return out
 
 
