@@ -139,7 +139,7 @@ def delaunay_graph(points: DataFrame) -> DataFrame:
                     out += [(ids[a], ids[b], float(np.sqrt(d @ d))), (ids[b], ids[a], float(np.sqrt(d @ d)))]
         return pa.table({k: pa.array([o[n] for o in out], kind) for n, (k, kind) in enumerate((("j", pa.int64()), ("i", pa.int64()), ("d", pa.float64())))})
 
-    return points.select("id", "x").groupBy(F.lit(1)).applyInArrow(run, "j long, i long, d double")
+    return points.select("id", "x").groupBy(F.lit(1).alias("g")).applyInArrow(run, "j long, i long, d double")
 
 
 def undirected(edges: DataFrame) -> DataFrame:

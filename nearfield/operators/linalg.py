@@ -67,7 +67,7 @@ def pcoa(dist: DataFrame, k: int | None = None, share: float = 0.999, whiten: bo
         y = v[:, :m] * (np.sqrt(len(ids)) if whiten else np.sqrt(w[:m]) / (np.sqrt(len(ids)) if divide else 1))
         return pa.table({"id": ids, "y": pa.array(list(y), pa.list_(pa.float64()))})
 
-    return double_center(dist).groupBy(F.lit(1)).applyInArrow(run, "id long, y array<double>")
+    return double_center(dist).groupBy(F.lit(1).alias("g")).applyInArrow(run, "id long, y array<double>")
 
 
 def explained(dist: DataFrame, share: float = 0.999) -> int:
