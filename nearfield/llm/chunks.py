@@ -138,7 +138,7 @@ def answered(chunks: DataFrame, answers: DataFrame, finish: Callable[[int, objec
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         payload = expand(left.column("payload")[0].as_py()) if left.num_rows else None
-        return finish(key[0].as_py(), payload, {k: expand(x) for k, x in zip(right.column("shard").to_pylist(), right.column("blob").to_pylist(), strict=True)})
+        return finish(key[0].as_py(), payload, {k: expand(x) for k, x in (zip(right.column("shard").to_pylist(), right.column("blob").to_pylist(), strict=True) if right.num_rows else ())})
 
     return chunks.groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(run, spec)
 

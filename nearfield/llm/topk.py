@@ -115,6 +115,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col
         dim = key[1].as_py()
 
         def joined(t: pa.Table, ids: str, vecs: str):
+            if not t.num_rows:
+                return np.zeros(0, np.int64), np.zeros((0, dim), np.int64)
             i = np.concatenate([np.frombuffer(x, np.int64) for x in t.column(ids).to_pylist()] or [np.zeros(0, np.int64)])
             v = np.concatenate([np.frombuffer(x, np.int64) for x in t.column(vecs).to_pylist()] or [np.zeros(0, np.int64)])
             return i, v.reshape(len(i), dim)
