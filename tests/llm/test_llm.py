@@ -276,3 +276,30 @@ def test_pipeline(spark):
         else:
             kept = {r.doc_id: r.text for r in rows}
         docs_ = out
+
+
+def toy_lm():
+    words = "idiot stupid fool foul moron loser trash scum idle stone table gentle bottle illness visit assist battle quick lesson".split()
+    return toxicity.CharLM({g: 3 * n for g, n in Counter(g for w in words for g in toxicity.grams(w)).items()})
+
+
+def every_reading(lm, noisy):
+    """The best of all readings by trying each; only repeated letters and separators are left out."""
+    paths = [(0.0, "   ")]
+    for c in noisy:
+        nxt = []
+        for score, out in paths:
+            if c.isalpha():
+                nxt.append((score + lm.log(out[-3:], c), out + c))
+                continue
+            nxt += [(score - 1.0 + lm.log(out[-3:], x), out + x) for x in toxicity.STANDS_FOR[c]]
+            nxt += [] if c.isdigit() else [(score - 0.4, out)]
+            nxt += [(score - 4.0 + lm.log(out[-3:], " "), out + " ")] if out[-1] != " " else [(score - 4.0, out)] if c.isdigit() else []
+        paths = nxt
+    return max((score + (0 if out[-1] == " " else lm.log(out[-3:], " ")), out.strip()) for score, out in paths)[1]
+
+
+@pytest.mark.parametrize("noisy", ["*d1*$(*m", "f**l", "!d!*t", "st*p!d", "f**|9*|ck"])
+def test_no_reading_is_dropped_early(noisy):
+    lm = toy_lm()
+    assert toxicity.restore(lm, noisy) == every_reading(lm, noisy)
