@@ -303,3 +303,13 @@ def every_reading(lm, noisy):
 def test_no_reading_is_dropped_early(noisy):
     lm = toy_lm()
     assert toxicity.restore(lm, noisy) == every_reading(lm, noisy)
+
+
+@pytest.mark.parametrize("noisy", ["!" * 70 + "1d10t", "1d10t" + "_" * 80, "i - d - i - o - t", "i   d   i   o   t", "i\nd\n\ni\no\nt", "id_10_t"])
+def test_every_noisy_stretch_is_read(noisy):
+    assert toxicity.Restorer(toy_lm()).text(noisy) == "idiot"
+
+
+def test_one_letter_before_signs_and_other_scripts_are_read():
+    lm = toxicity.CharLM(Counter(g for g in toxicity.grams("ass")) + Counter(g for g in toxicity.grams("שלום")))
+    assert toxicity.Restorer(lm).text("a$$") == "ass" and toxicity.Restorer(lm).text("שלוווום") == "שלום"
