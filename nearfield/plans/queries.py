@@ -271,6 +271,35 @@ def tree_farthest_vantage(spark, sf_dir):
     return members.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("node").alias("nodes"))
 
 
+# To the leaves of one or two points, as the reference builds them. Unrolled SQL would grow with the table, so none is given.
+
+
+@query()
+def kd_tree_members_full(spark, sf_dir):
+    return T.tree(load(spark, sf_dir), "kd")[0]
+
+
+@query()
+def vp_tree_members_full(spark, sf_dir):
+    return T.tree(load(spark, sf_dir), "vp")[0]
+
+
+@query()
+def tree_node_stats_full(spark, sf_dir):
+    nodes = T.tree(load(spark, sf_dir), "kd")[1]
+    return nodes.select("level", "node", "n", "center_id", "vp_id", *[r6(c, c) for c in ("q1", "med", "q3", "maxd")], "split_dim")
+
+
+@query()
+def tree_prototypes_full(spark, sf_dir):
+    return T.prototypes(T.tree(load(spark, sf_dir), "kd")[1])
+
+
+@query()
+def tree_farthest_vantage_full(spark, sf_dir):
+    return T.tree(load(spark, sf_dir), "vp", farthest_levels=tuple(range(0, 64, 2)))[0]
+
+
 # Similarities.
 
 
