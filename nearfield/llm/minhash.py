@@ -5,15 +5,20 @@ read from that place on, gives all coordinates of the signature: coordinate k is
 set. So a shingle costs one contiguous read for all coordinates. Bands of 5 coordinates make buckets; with 40 bands a
 pair at similarity 0.8 is missed with probability 1e-7.
 
-Copies with the same set are one node (its smallest id). In a bucket members are verified against two hubs; where it still
-spans several components, those outside a hub's component against two more, and so on. Last, members outside the bucket's
-main component meet all others whose set sizes and signatures don't rule out the similarity (a true link is ruled out with
-probability 1e-8), so that no link between members of a bucket is lost and no pairs of one component are made.
-Links are verified on full sets. Components are found by alternating large and small stars.
+Copies with the same set are one node (its smallest id). In a bucket the members are verified against its hub, the member
+with most company in all buckets (near copies are nearest to what they were copied from); those it isn't linked with against
+a hub of theirs, for ``hub_rounds`` rounds. Members of buckets that still span several components meet by prefixes: each
+set's shingles are put in order of how many of these sets hold them, rarest first; sets linked by num / den share one within
+the first n - ceil(num * n / den) + 1, at places that leave enough room for the overlap, so a join on the shingles of prefixes
+finds every link between components and few other pairs, however many members a bucket has.
+Pairs are verified on full sets, after sizes and signatures have ruled out what they can (a true link with probability
+1e-8). Joins are plain sort-merge joins, whose hot keys adaptive execution splits. Components are found by alternating large
+and small stars.
 
 Texts are lower-cased in A-Z; words lie between ASCII white space. With fewer words than the width, the whole sequence is
 the one shingle; null texts and texts without words have none and are linked with nothing. Rows that share an id are one
-node. Rows are kept one for one; extra columns are ignored; null ids are kept, alone.
+node. Rows are kept one for one; extra columns are ignored; null ids are kept, alone. Ids are whole numbers (or text of
+them; other text fails in Spark's cast).
 """
 
 from __future__ import annotations
@@ -33,10 +38,6 @@ from .common import text_or_empty, written
 CIRCLE = 1 << 22
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
-#: At similarity 0.8, fewer than this many equal coordinates of 200 have a probability of 1e-8.
-AGREE = 0.64
-
-
 @lru_cache(1)
 def circle() -> np.ndarray:
     """The second permutation, with its beginning repeated behind its end."""
@@ -124,7 +125,7 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """a, b, sim (intersection and union counted on full sets) of pairs (a, b); texts: id, text."""
+    """a, b, both, either (intersection and union counted on full sets) of pairs (a, b); texts: id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,7 +146,12 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """id, component (smallest id reachable) of the ids in links (a, b), by alternating large and small stars."""
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    before = None
     while True:
+        now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.hash("v", "u").cast("long")).alias("s")).first()
+        if now == before:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        before = now
         # large star: of each node, the larger neighbours go to the smallest of the neighbourhood
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -154,58 +160,68 @@ def components(links: DataFrame) -> DataFrame:
         down = large.where("u <> v")
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = written(small, "stars")
-        changed = after.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(after, ["u", "v"], "left_anti").limit(1).count()
-        edges = after
-        if not changed:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        edges = written(small, "stars")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 2) -> DataFrame:
     """id, n_shingles, component_id, kept for each row. Linked: den * intersection >= num * union."""
     sketch = written(sketches(docs, width, id_col, text_col), "sketches")
     full = sketch.where("n_shingles > 0 and id is not null")
-    sets = full.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    buckets = written(in_company(sets.select("rep", F.explode("bands").alias("key"))), "buckets")
+    sets = written(full.groupBy("f1", "f2").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sig"))), "sets")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     copies = full.join(sets.select("f1", "f2", "rep"), ["f1", "f2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    linked = f"{den} * both >= {num} * either"
 
-    open_, of, tested = buckets.withColumn("component", F.col("rep")), None, None
-    for turn in range(hub_rounds + 1):
-        more = to_hubs(open_, turn) if turn < hub_rounds else left_open(open_, full, num, den)
+    buckets = written(in_company(sets), "buckets")
+    open_, tested, links = buckets, None, None
+
+    def test(pairs: DataFrame, what: str) -> None:
+        """Adds to the tested pairs (a < b) and to the links."""
+        nonlocal tested, links
+        new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
-            more = more.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = written(verified(more, texts, width), "tested")
+            new = new.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        new = written(verified(not_ruled_out(new, sets, num, den), texts, width), what)
         tested = new if tested is None else tested.unionByName(new)
-        of = components(tested.where(linked).select("a", "b"))
-        if turn < hub_rounds:
-            open_ = written(unsettled(buckets, of), "open")
-            if not open_.head(1):
-                break
-    of = components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(copies))
+        links = tested.where(f"{den} * both >= {num} * either").select("a", "b")
+
+    for turn in range(hub_rounds):
+        met = open_.join(hubs(open_), "key").where("rep <> hub")
+        test(met.select(F.col("rep").alias("a"), F.col("hub").alias("b")), "tested")
+        if turn + 1 < hub_rounds:
+            either = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            open_ = written(met.join(either, (met["rep"] == either["a"]) & (met["hub"] == either["b"]), "left_anti").select("rep", "key", "n", "company"), "open")
+    apart = written(unsettled(buckets, components(links)), "apart")
+    test(by_prefix(apart, texts, width, num, den), "tested")
+    of = components(links.unionByName(copies))
     out = sketch.join(of, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def in_company(rows: DataFrame) -> DataFrame:
-    """The rows (rep, key) of keys that several have."""
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return rows.join(shared, "key")
+def in_company(sets: DataFrame) -> DataFrame:
+    """rep, key, n (members of the bucket), company (of the rep, summed over its buckets), of buckets with several members."""
+    rows = sets.select("rep", F.explode("bands").alias("key")).distinct()
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = rows.join(shared, "key")
+    return rows.join(rows.groupBy("rep").agg(F.sum("n").alias("company")), "rep").select("rep", "key", "n", "company")
+
+
+def hubs(rows: DataFrame) -> DataFrame:
+    """key, hub: of each bucket the member with most company."""
+    return rows.groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("less"))).alias("m")).select("key", (-F.col("m.less")).alias("hub"))
 
 
-def to_hubs(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a < b) of each bucket's members and two of them, as good as picked at random, in other components."""
-    hub = rows.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(2 * turn + k)), "rep", "component")).alias(f"h{k}") for k in (0, 1)])
-    hub = hub.select("key", F.explode(F.array("h0", "h1")).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.component").alias("c"))
-    return rows.join(hub, "key").where("component <> c").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+def not_ruled_out(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the sizes of their sets and their signatures leave open."""
+    about = lambda x: sets.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    fits = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (agreement(F.col("sa"), F.col("sb")) >= int((num / den - 0.16) * COORDINATES))
+    return pairs.join(about("a"), "a").join(about("b"), "b").where(fits).select("a", "b").distinct()
 
 
 def unsettled(buckets: DataFrame, of: DataFrame) -> DataFrame:
-    """key, rep, component of the buckets of three and more members that span several components."""
-    named = buckets.join(of.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 and lo <> hi").select("key")
-    return named.join(several, "key").select("key", "rep", "component")
+    """rep, component of the members of buckets of three and more that span several components (of two: the hub met the other)."""
+    named = buckets.where("n > 2").join(of.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return named.join(several, "key").select("rep", "component").distinct()
 
 
 def agreement(a, b):
@@ -220,14 +236,27 @@ def agreement(a, b):
     return F.aggregate(F.zip_with(a, b, equal), F.lit(0), lambda s, x: s + x)
 
 
-def left_open(open_: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a < b) of different components in a bucket that sizes and signatures don't rule out. The bucket's component
-    with most members there is met by the others only."""
-    about = full.groupBy(F.col("id").alias("rep")).agg(F.min(F.struct("n_shingles", "sig")).alias("m")).select("rep", F.col("m.n_shingles").alias("n"), F.col("m.sig").alias("sig"))
-    rows = open_.join(about, "rep")
-    sizes = open_.groupBy("key", "component").count()
-    main = sizes.groupBy("key").agg(F.max(F.struct("count", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
-    few = rows.join(main, "key").where("component <> main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("sig").alias("sx"))
-    alike = (F.col("cx") != F.col("component")) & (den * F.least("n", "nx") >= num * F.greatest("n", "nx")) & (agreement(F.col("sx"), F.col("sig")) >= int(AGREE * COORDINATES))
-    met = few.join(rows, (few["key"] == rows["key"]) & alike)
-    return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+def by_prefix(apart: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components, linked ones among them all. apart: rep, component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                h, size = shingle_sets(part, width)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h.view(np.int64)))], names=["rep", "component", "hs"])
+
+    sets = apart.join(texts.withColumnRenamed("id", "rep"), "rep").select("rep", "component", "text").mapInArrow(run, "rep long, component long, hs array<long>")
+    sets = written(sets.withColumn("print", F.xxhash64("hs")), "shingles")  # a rep whose id is repeated has several
+    each = sets.select("rep", "component", "print", F.explode("hs").alias("h"))
+    held = each.groupBy("h").agg(F.count(F.lit(1)).alias("held"))
+    ordered = each.join(held, "h").groupBy("rep", "component", "print").agg(F.sort_array(F.collect_set(F.struct("held", "h"))).alias("t"))
+    sized = ordered.withColumn("n", F.size("t").cast("long"))
+    prefix = sized.select("rep", "component", "n", F.posexplode(F.slice("t", 1, (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int"))).alias("at", "s"))
+    rows = written(prefix.where("s.held > 1").select("rep", "component", "n", "at", F.col("s.h").alias("h")), "prefixes")
+    # of a shingle's members those of its largest component are met by the others only
+    main = rows.groupBy("h", "component").count().groupBy("h").agg(F.max(F.struct("count", "component")).alias("m")).select("h", F.col("m.component").alias("main"))
+    few = rows.join(main, "h").where("component <> main").select("h", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    all_ = rows.select(F.col("h").alias("g"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    fits = (F.col("ca") != F.col("cb")) & (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & ((num + den) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= num * (F.col("na") + F.col("nb")))
+    return few.join(all_, (F.col("h") == F.col("g")) & fits).select("a", "b")

@@ -157,6 +157,25 @@ def test_near_duplicates(spark, small):
     assert got == brute_components(rows, 4)
 
 
+def test_a_large_group_of_near_copies(spark):
+    """Copies with few and many edits, with and without what they were copied from, that share edits with one another."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for group in range(3):
+        base = [f"g{group}w{k}" for k in range(150)]
+        made = [base] if group else []
+        for k in range(120):
+            w = list(made[rng.integers(len(made))] if made and k % 3 == 0 else base)
+            for at in rng.integers(0, 150, rng.integers(0, 14)):
+                w[at] = f"e{rng.integers(0, 40)}"
+            made.append(w)
+        texts += [" ".join(w) for w in made]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, [t for _, t in rows], [i for i, _ in rows]), width=4).collect()}
+    assert got == brute_components(sorted(rows), 4)
+    assert 20 < sum(kept for _, _, kept in got.values()) < 300
+
+
 def test_agreement(spark):
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 4, (20, 16)).astype(np.uint8), rng.integers(0, 4, (20, 16)).astype(np.uint8)
