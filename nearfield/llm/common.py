@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.plans.lineage import shared_dir
+
+__all__ = ["SPLIT_SQL", "give_back", "partitions", "remainder", "shared_dir", "table", "text_or_empty", "written"]
 #: ASCII white space as the word contracts define it: space and \t \n \v \f \r.
 SPLIT_SQL = r"[\x20\x09-\x0D]+"
 
@@ -16,18 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One of our own is set only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.getCheckpointDir() is None:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="nearfield-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, and survives the loss of any executor."""
     spark = df.sparkSession
@@ -47,3 +39,12 @@ def text_or_empty(name: str = "text"):
 def remainder(name: str, n: int):
     """crc32 of the id as text, modulo n: the fixed split between learning and held-out rows."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % F.lit(n)
+
+
+def give_back() -> None:
+    """Returns memory that a Python worker has freed to the system. Workers are used again by other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -209,11 +209,34 @@ def test_topk(spark):
         assert [got[q, k + 1] for k in range(20)] == [(j, s[j]) for j in order]
 
 
-def test_topk_stops_early():
-    x = np.zeros((4000, 3), np.int64)
-    x[:, 0] = np.arange(4000)
-    ids, scores, depth = topk.Lists(np.arange(4000), x).top(-1, np.array([1, 0, 0]), 5)
-    assert ids.tolist() == [3999, 3998, 3997, 3996, 3995] and depth < 4000
+def test_topk_repeats_lengths_and_floors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [0.5, 0.5]), (3, [1.0, 1.0, 1.0]), (20, [1.0, 2.0, 3.0]), (40, [0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, id string").drop("id")
+    for block_rows in (1, 3, 100):
+        got = defaultdict(list)
+        for r in sorted(topk.top_k(df, F.col("id") % 20 == 0, k=3, scale=2, block_rows=block_rows).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got[r.query_id].append((r.vec_id, r.score))
+        v = [(i, np.floor(2 * np.array(x))) for i, x in rows]
+        for q in (0, 20, 40):
+            every = sorted((-int(x @ y), j) for i, x in v if i == q for j, y in v if j != q and len(x) == len(y))
+            assert got[q] == [(j, -s) for s, j in every][:3]
+
+
+@pytest.mark.parametrize("dims", [3, 64])
+def test_topk_stops_early(dims):
+    """Components that fall off quickly: few rows are scored, and none where a floor is out of reach."""
+    rng = np.random.default_rng(6)
+    x = np.floor(64 * rng.normal(size=(4000, dims)) * 0.5 ** np.arange(dims)).astype(np.int64)
+    lists = topk.Lists(np.arange(4000), x)
+    for q in range(0, 4000, 200):
+        s = x @ x[q]
+        order = [j for j in np.lexsort((np.arange(4000), -s)) if j != q][:5]
+        ids, scores, scored = lists.top(q, x[q], 5)
+        assert (ids.tolist(), scores.tolist()) == (order, s[order].tolist())
+        assert lists.top(q, x[q], 5, int(np.abs(x[q]) @ np.abs(x).max(0)) + 1)[2] == 0
+        floored = lists.top(q, x[q], 5, int(scores[2]))
+        assert floored[0].tolist() == [j for j in order if s[j] >= scores[2]] and floored[2] <= scored
+    assert np.mean([lists.top(q, x[q], 5)[2] for q in range(0, 4000, 200)]) < 400
 
 
 def test_url_filter(spark):
@@ -259,6 +282,18 @@ def test_toxicity(spark):
     assert toxicity.Restorer(model.lm).text("i d i o t") == "idiot" and got[90_001] == pytest.approx(model.scorer()("you are an idiot"), abs=0.05)
     nothing = toxicity.fit(d, labels.where("false"))
     assert nothing.scorer()("anything") == 0
+    clash = toxicity.score(both.withColumn("score", F.lit("x")), model, ["doc_id", "score", "text"])
+    assert clash.columns == ["doc_id", "text", "score"] and {r.doc_id: r.score for r in clash.collect()} == got
+    assert toxicity.score(docs(spark, []), model).count() == 0 and toxicity.fit(docs(spark, []), labels).marks == {}
+
+
+def test_equal_texts_with_different_labels(spark):
+    """The highest label counts, whatever the order of the rows."""
+    texts = [f"plain words number {k} of them" for k in range(40)] + ["grumbl you all"] * 6
+    marks = [(i, int(i >= 40 and i % 2 == 0)) for i in range(46)]
+    fits = [toxicity.fit(docs(spark, texts).orderBy(F.rand(seed)), spark.createDataFrame(marks, "doc_id long, toxic int"), chance=1e9) for seed in (1, 2, 3)]
+    assert all(f.scorer()("a grumbl here") == fits[0].scorer()("a grumbl here") for f in fits)
+    assert toxicity.least_rows(0.07, 1e-4) == 3 and toxicity.least_rows(0.07, 1e-6) == 5 and toxicity.least_rows(50.0, 1e-3) > 70
 
 
 def test_empty_tables(spark):
