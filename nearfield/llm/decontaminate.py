@@ -3,15 +3,18 @@
 1. A window of a document can only resemble an item if they share a shingle, so windows are laid where a document has a
    shingle of some item: as long as the item, aligned on the shared shingle. Benchmark shingles are bounded by
    ``block_shingles`` a pass; a larger benchmark takes more passes.
-2. Windows and items get 64-bit SimHash fingerprints of their shingles. With a radius r, fingerprints are cut into r + 1
-   blocks: two within the radius agree on one block at least, so a join on (length, block, value) finds all of them.
+2. Windows and items get fingerprints: their shingles are dealt into blocks by hash, and each block is the 64-bit SimHash of
+   its shingles. The Hamming distance of two fingerprints is the number of blocks in which they differ. Each shingle that only
+   one of them has touches one block, so at similarity t a window is within the radius r = 2n(1 - t) / (1 + t) of an item
+   of n shingles. There are r + ``spare`` blocks: within the radius at least ``spare`` blocks are equal, and a join on
+   (length, block, value) finds every window within the radius, but for blocks without a shingle, which are no keys (all
+   equal blocks are empty with a probability below 1e-7). Values have 64 bits, so the join meets little else.
 3. Those within the radius are verified: weighted Jaccard similarity of the shingles, the weight of a shingle being how
    often it occurs, at least ``threshold``.
-At similarity 0.8 a fingerprint bit differs with probability 0.15, so the default radius 24 of 64 loses 1 pair in 10^6.
 
 Texts are lower-cased; words lie between ASCII white space. An item of fewer words than the width is one shingle of all its
 words. Null and empty texts and items match nothing. Repeated rows of a document or item count once; extra columns are
-ignored.
+ignored. What is broadcast has at most ``block_shingles`` rows of numbers (or those of one item, if it is longer).
 """
 
 from __future__ import annotations
@@ -35,17 +38,21 @@ def shingles(w: Column, width: int) -> Column:
     return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - width, F.lit(0))), lambda i: shingle(w, i, width))).otherwise(F.array().cast("array<bigint>"))
 
 
-def fingerprint(s: Column) -> Column:
-    """SimHash: each bit as most shingles have it."""
-    ones = lambda b: F.aggregate(s, F.lit(0), lambda a, x: a + (F.call_function("shiftright", x, b).bitwiseAND(F.lit(1).cast("long"))).cast("int"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.when(ones(b) * 2 > F.size(s), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))))
+def simhash(s: Column) -> Column:
+    """Each bit as most shingles have it; null without shingles."""
+    one = F.lit(1).cast("long")
+    ones = lambda b: F.aggregate(s, F.lit(0), lambda a, x: a + (F.call_function("shiftright", x, b).bitwiseAND(one)).cast("int"))
+    bits = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.when(ones(b) * 2 > F.size(s), F.call_function("shiftleft", one, b)).otherwise(F.lit(0).cast("long"))))
+    return F.when(F.size(s) == 1, s[0]).when(F.size(s) > 1, bits)
 
 
-def block_keys(fp: Column, radius: int) -> Column:
-    """radius + 1 blocks that cover the 64 bits: structs of block and value."""
-    n = radius + 1
-    cuts = [64 * k // n for k in range(n + 1)]
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+def radius(n_shingles: Column, threshold: float) -> Column:
+    """How many blocks can differ at this similarity to an item of so many shingles."""
+    return F.floor(n_shingles * (2 * (1 - threshold) / (1 + threshold)) + 1e-9).cast("int")
+
+
+def fingerprint(s: Column, blocks: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: simhash(F.filter(s, lambda h: F.pmod(h, blocks) == j)))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -55,43 +62,44 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 24, block_shingles: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, spare: int = 10, block_shingles: int = 200_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id, item, similarity (the best window's), start_word, n_words of each document and item that match."""
     items = benchmark.select(F.col(item_col).alias("item"), words(text_or_empty(item_text_col)).alias("w")).where(F.size("w") > 0).distinct()
     items = items.withColumn("n", F.size("w")).withColumn("k", F.least(F.col("n"), F.lit(width)))
     spark, found = docs.sparkSession, []
     for k in sorted(r.k for r in items.select("k").distinct().collect()):
-        own = items.where(F.col("k") == k).select("item", "n", shingles(F.col("w"), k).alias("s"))
-        rows = own.select("item", "n", F.posexplode("s").alias("at", "h"))
-        passes = -(-rows.count() // block_shingles)
-        for p in range(passes):
-            some = rows.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == p)
-            hashes = [r.h for r in some.select("h").distinct().collect()]
-            found.append(matches(docs, own, some, hashes, k, threshold, radius, id_col, text_col))
+        own = items.where(F.col("k") == k).select("item", "n", shingles(F.col("w"), k).alias("t"))
+        passes = -(-int(own.agg(F.sum(F.size("t"))).first()[0]) // block_shingles)
+        found += [matches(docs, own.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == p), k, threshold, spare, id_col, text_col) for p in range(passes)]
     if not found:
         return spark.createDataFrame([], f"{id_col} {dict(docs.dtypes)[id_col]}, {item_col} {dict(benchmark.dtypes)[item_col]}, similarity double, start_word int, n_words int")
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    best = every.groupBy("id", "item").agg(F.max(F.struct("similarity", -F.col("start"), F.col("n"))).alias("m"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "m.similarity", (-F.col("m.col2")).alias("start_word"), F.col("m.n").alias("n_words"))
+    best = every.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("less"), "n")).alias("m"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "m.similarity", (-F.col("m.less")).alias("start_word"), F.col("m.n").alias("n_words"))
 
 
-def matches(docs: DataFrame, items: DataFrame, rows: DataFrame, hashes: list[int], k: int, threshold: float, radius: int, id_col: str, text_col: str) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, k: int, threshold: float, spare: int, id_col: str, text_col: str) -> DataFrame:
+    """Of the items of one pass: id, item, start, n, similarity."""
+    blocks = radius(F.size("s"), threshold) + spare
+    items = written(items.select("item", "n", F.col("t").alias("s")).withColumn("m", blocks).withColumn("fp", fingerprint(F.col("s"), F.col("m"))), "items")
+    places = items.select("n", F.posexplode("s").alias("offset", "h")).distinct()
+    hashes = [r.h for r in places.select("h").distinct().collect()]
     # the generated id keeps the optimizer from computing the words again for every use
     split = docs.select(F.col(id_col).alias("id"), words(text_or_empty(text_col)).alias("w"), F.monotonically_increasing_id().alias("row"))
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - k, F.lit(0))), lambda i: shingle(F.col("w"), i, k).isin(hashes))
-    hit = split.select("id", "row", "w", F.when(F.size("w") >= k, places).otherwise(F.array().cast("array<int>")).alias("at")).where(F.size("at") > 0)
-    aligned = hit.select("id", "row", "w", F.explode("at").alias("place")).withColumn("h", shingle(F.col("w"), F.col("place"), k)).join(F.broadcast(rows.select("h", "n", F.col("pos" if "pos" in rows.columns else "at").alias("offset")).distinct()), "h")
-    start = F.greatest(F.col("place") - F.col("offset"), F.lit(0))
-    windows = aligned.select("id", "row", "n", start.alias("start"), F.slice("w", start + 1, F.col("n")).alias("x")).dropDuplicates(["row", "n", "start"])
-    windows = written(windows.select("id", "row", "n", "start", shingles(F.col("x"), k).alias("s")), "windows")  # few, and used often
-    windows = written(windows.withColumn("fp", fingerprint(F.col("s"))), "fingerprints")
-    known = written(items.select("item", "n", F.col("s").alias("t"), fingerprint(F.col("s")).alias("fq")), "items")
-    left = windows.withColumn("key", F.explode(block_keys(F.col("fp"), radius)))
-    right = known.withColumn("key", F.explode(block_keys(F.col("fq"), radius))).select("item", "n", "fq", "key", "t")
-    near = left.join(F.broadcast(right), ["n", "key"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fq"))) <= radius)
-    # of the blocks that a pair shares, the first one counts
-    first = F.array_position(F.zip_with(block_keys(F.col("fp"), radius), block_keys(F.col("fq"), radius), lambda a, b: a == b), True) - 1
-    near = near.where(F.col("key.block") == first)
-    return near.select("id", "item", "start", "n", similarity(F.col("s"), F.col("t")).alias("similarity")).where(F.col("similarity") >= threshold)
+    met = F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - k, F.lit(0))), lambda i: shingle(F.col("w"), i, k).isin(hashes))
+    hit = split.withColumn("at", F.when(F.size("w") >= k, met).otherwise(F.array().cast("array<int>"))).where(F.size("at") > 0)
+    hit = written(hit.select("id", "row", "w", F.transform("at", lambda i: F.struct(i.alias("place"), shingle(F.col("w"), i, k).alias("h"))).alias("at")), "hits")
+    aligned = hit.select("row", F.inline("at")).join(F.broadcast(places), "h")
+    starts = aligned.select("row", "n", F.greatest(F.col("place") - F.col("offset"), F.lit(0)).alias("start")).distinct()
+    cut = starts.join(hit.select("row", "id", "w"), "row").select("row", "id", "n", "start", F.slice("w", F.col("start") + 1, F.col("n")).alias("x"))
+    windows = written(cut.select("row", "id", "n", "start", shingles(F.col("x"), k).alias("s")), "windows")
+    # the fingerprint has as many blocks as the items of that length
+    windows = windows.withColumn("m", radius(F.col("n") - k + 1, threshold) + spare)
+    windows = written(windows.withColumn("fp", fingerprint(F.col("s"), F.col("m"))), "fingerprints")
+    keys = lambda df, *c: df.select(*c, "n", F.posexplode("fp").alias("block", "value")).where("value is not null")
+    near = keys(windows, "row", "start").join(F.broadcast(keys(items, "item")), ["n", "block", "value"]).select("row", "n", "start", "item").distinct()
+    pairs = near.join(windows, ["row", "n", "start"]).join(items.select("item", "n", F.col("s").alias("t"), F.col("fp").alias("fq")), ["item", "n"])
+    apart = F.size(F.filter(F.zip_with("fp", "fq", lambda a, b: a.eqNullSafe(b)), lambda same: ~same))
+    return pairs.where(apart <= F.col("m") - spare).select("id", "item", "start", "n", similarity(F.col("s"), F.col("t")).alias("similarity")).where(F.col("similarity") >= threshold)

@@ -197,6 +197,62 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, texts), bench.where("item_id > 99")).count() == 0
 
 
+def brute_matches(texts, items, width=5):
+    """Each pair's best similarity over the item-sized windows of all starts; the text's end may cut aligned ones short."""
+
+    def counted(w, k):
+        return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+    out = {}
+    for item, t in items:
+        w = split(t)
+        k = min(width, len(w))
+        own = counted(w, k)
+        for i, text in texts if w else ():
+            d = split(text)
+            if not own.keys() & counted(d, k).keys():
+                continue
+            aligned = {max(0, p - o) for p in range(len(d) - k + 1) for o in range(len(w) - k + 1) if d[p : p + k] == w[o : o + k]}
+            for s in aligned | set(range(len(d) - len(w) + 1)):
+                got = counted(d[s : s + len(w)], k)
+                both = sum((got & own).values())
+                sim = both / (sum(got.values()) + sum(own.values()) - both)
+                if sim >= 0.8 and sim > out.get((i, item), 0):
+                    out[i, item] = sim
+    return out
+
+
+@pytest.mark.parametrize("block_shingles", [200_000, 300])
+def test_decontamination_finds_what_all_windows_hold(spark, small, block_shingles):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").limit(40 if block_shingles < 1000 else 10**6)
+    rng = np.random.default_rng(9)
+    items = [(r.item_id, r.text) for r in bench.collect()] + [(10_000, None), (10_001, "one two three"), (10_002, "a b " * 12)]
+    made = []
+    for _, t in items[:40]:  # words of an item replaced, dropped and put in
+        w = t.split()
+        for _ in range(rng.integers(0, 4)):
+            at = rng.integers(0, len(w))
+            w[at : at + rng.integers(0, 2)] = ["changed"] * rng.integers(0, 2)
+        made.append(" ".join(["before"] * rng.integers(0, 9) + w + ["after"] * rng.integers(0, 9)))
+    texts = [*made, made[0], None, "", "x one two three y", "one two  THREE", "b a b " + "a b " * 11, *(r.text for r in small.orderBy("doc_id").limit(150).collect())]
+    table = spark.createDataFrame(items + items[:2], "item_id long, text string").withColumn("similarity", F.lit("clash")).withColumn("item", F.lit(1))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs(spark, texts), table, block_shingles=block_shingles).collect()}
+    want = brute_matches(list(enumerate(texts)), items)
+    assert {k: (got.get(k), want.get(k)) for k in got.keys() ^ want.keys()} == {}
+    assert got == pytest.approx(want) and len(got) > (5 if block_shingles < 1000 else 15)
+
+
+def test_decontamination_of_a_long_text_full_of_a_passage(spark):
+    item = " ".join(f"w{k}" for k in range(60))
+    texts = [(item + " ") * 2000, "lorem " * 100_000 + item]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.similarity, r.start_word) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {0: (1.0, 0), 1: (1.0, 100_000)}
+    none = decontaminate.contaminated(docs(spark, []), bench)
+    assert none.count() == 0 and decontaminate.contaminated(docs(spark, texts), bench.where("false")).columns == none.columns
+
+
 def test_topk(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(130, 5)).round(1)
@@ -293,7 +349,7 @@ def test_equal_texts_with_different_labels(spark):
     marks = [(i, int(i >= 40 and i % 2 == 0)) for i in range(46)]
     fits = [toxicity.fit(docs(spark, texts).orderBy(F.rand(seed)), spark.createDataFrame(marks, "doc_id long, toxic int"), chance=1e9) for seed in (1, 2, 3)]
     assert all(f.scorer()("a grumbl here") == fits[0].scorer()("a grumbl here") for f in fits)
-    assert toxicity.least_rows(0.07, 1e-4) == 3 and toxicity.least_rows(0.07, 1e-6) == 5 and toxicity.least_rows(50.0, 1e-3) > 70
+    assert toxicity.least_rows(0.07, 1e-4) == 3 and toxicity.least_rows(0.07, 1e-6) == 4 and toxicity.least_rows(50.0, 1e-3) > 70
 
 
 def test_empty_tables(spark):
