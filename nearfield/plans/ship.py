@@ -1,4 +1,4 @@
-"""Ship this package to the executors, so that functions of its modules can be loaded there."""
+"""Make a session ready: ship this package to the executors, so that functions of its modules can be loaded there."""
 
 from __future__ import annotations
 
@@ -13,8 +13,16 @@ from pyspark.sql import SparkSession
 _DONE: dict[str, tempfile.TemporaryDirectory] = {}
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Spark's own bound, and the one that takes its place: a task holds several copies of a batch, in the JVM and in Python.
+LARGE, SMALL = "67108864b", "16m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Once a Spark application: the package's sources as a Python file of the job."""
+    """Once a Spark application: the package's sources as a Python file of the job. Arrow batches are kept small, unless the
+    session has a bound of its own."""
+    if spark.conf.get(BATCH, None) == LARGE:
+        spark.conf.set(BATCH, SMALL)
     app = spark.sparkContext.applicationId
     if app in _DONE:
         return
