@@ -75,7 +75,7 @@ def split(path: str) -> Callable[[pa.RecordBatch], tuple[np.ndarray, pa.Array]]:
     return run
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 2_500_000) -> DataFrame:
     """id, ids array<int>, decoded string for each row."""
     shards, kind = shard_count(docs.sparkSession), dict(docs.dtypes)[id_col]
     chunks = placed(pack(docs.select(id_col, text_or_empty(text_col).alias("text")), split(path), chunk_tokens))

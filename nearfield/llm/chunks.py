@@ -23,7 +23,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import partitions
+from .common import give_back, partitions
 
 CHUNK_SPEC = "chunk_id long, payload binary"
 
@@ -95,6 +95,8 @@ def pack(docs: DataFrame, words: Callable[[pa.RecordBatch], tuple[np.ndarray, pa
                     made, held, size = made + 1, [], 0
         if held:
             yield emit()
+            held = []
+        give_back()
 
     return docs.mapInArrow(run, CHUNK_SPEC)
 
@@ -123,6 +125,8 @@ def pack_bytes(docs: DataFrame, chunk_bytes: int = 8_000_000) -> DataFrame:
                     made, held, size = made + 1, [], 0
         if held:
             yield emit()
+            held = []
+        give_back()
 
     return docs.mapInArrow(run, CHUNK_SPEC)
 
@@ -155,7 +159,10 @@ def answered(chunks: DataFrame, answers: DataFrame, finish: Callable[[int, objec
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         payload = expand(left.column("payload")[0].as_py()) if left.num_rows else None
-        return finish(key[0].as_py(), payload, {k: expand(x) for k, x in (zip(right.column("shard").to_pylist(), right.column("blob").to_pylist(), strict=True) if right.num_rows else ())})
+        got = finish(key[0].as_py(), payload, {k: expand(x) for k, x in (zip(right.column("shard").to_pylist(), right.column("blob").to_pylist(), strict=True) if right.num_rows else ())})
+        payload = None
+        give_back()
+        return got
 
     return chunks.groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(run, spec)
 

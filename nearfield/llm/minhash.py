@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ascii_words
-from .common import text_or_empty, written
+from .common import give_back, text_or_empty, written
 
 CIRCLE = 1 << 22
 BANDS, ROWS = 40, 5
@@ -84,8 +84,8 @@ def signatures(h: np.ndarray, size: np.ndarray) -> np.ndarray:
         first = int(ends[i] - size[i])
         j = max(i + 1, int(np.searchsorted(ends, first + 20_000, "right")))
         least = None
-        for a in range(first, int(ends[j - 1]), 200_000):  # one long text, in pieces
-            place = (h[a : min(a + 200_000, int(ends[j - 1]))] >> np.uint64(42)).astype(np.int64)
+        for a in range(first, int(ends[j - 1]), 20_000):  # one long text, in pieces
+            place = (h[a : min(a + 20_000, int(ends[j - 1]))] >> np.uint64(42)).astype(np.int64)
             if j == i + 1:
                 got = view[place].min(axis=0)
                 least = got if least is None else np.minimum(least, got)
@@ -120,6 +120,7 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                 keys, low = band_keys(sig), np.ascontiguousarray(sig.astype(np.uint8)).view(np.int64)
                 listed = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, x.shape[1], 0))]).astype(np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array([signed(p >> 64) for p in prints], pa.int64()), pa.array([signed(p & (2**64 - 1)) for p in prints], pa.int64()), listed(keys), listed(low)], names=["id", "n_shingles", "f1", "f2", "bands", "sig"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, f1 long, f2 long, bands array<long>, sig array<long>")
 
@@ -137,6 +138,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                 e, f = np.cumsum(n), np.cumsum(m)
                 common = [len(np.intersect1d(one[e[i] - n[i] : e[i]], two[f[k] - m[k] : f[k]], assume_unique=True)) for i, k in enumerate(hubs.indices.to_numpy())]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(common, pa.int64()), pa.array(n + m[hubs.indices.to_numpy()] - np.array(common, np.int64), pa.int64())], names=["a", "b", "both", "either"])
+        give_back()
 
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a")
     with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
@@ -245,6 +247,7 @@ def by_prefix(apart: DataFrame, texts: DataFrame, width: int, num: int, den: int
                 part = b.slice(at, 1000)
                 h, size = shingle_sets(part, width)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h.view(np.int64)))], names=["rep", "component", "hs"])
+        give_back()
 
     sets = apart.join(texts.withColumnRenamed("id", "rep"), "rep").select("rep", "component", "text").mapInArrow(run, "rep long, component long, hs array<long>")
     sets = written(sets.withColumn("print", F.xxhash64("hs")), "shingles")  # a rep whose id is repeated has several
