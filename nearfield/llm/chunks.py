@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import give_back, partitions
 
@@ -143,15 +144,10 @@ def ask(chunks: DataFrame, request: Callable[[object], Iterable[tuple[int, objec
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = [(k, squeeze(x)) for k, x in request(expand(payload.as_py()))]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["chunk_id", "shard", "blob"])
-
-    def serving(key: tuple, t: pa.Table) -> pa.Table:
-        asked = sorted(zip(t.column("chunk_id").to_pylist(), t.column("blob").to_pylist(), strict=True))
-        got = [(c, squeeze(x)) for c, x in serve(key[0].as_py(), [(c, expand(x)) for c, x in asked])]
-        return pa.table({"chunk_id": pa.array([c for c, _ in got], pa.int64()), "shard": pa.array([key[0].as_py()] * len(got), pa.int64()), "blob": pa.array([x for _, x in got], pa.binary())})
+                yield from asks(chunk, request(expand(payload.as_py()))).to_batches()
+        give_back()
 
-    return chunks.mapInArrow(asking, "chunk_id long, shard long, blob binary").groupBy("shard").applyInArrow(serving, "chunk_id long, shard long, blob binary")
+    return served(chunks.mapInArrow(asking, ASKS), serve)
 
 
 def answered(chunks: DataFrame, answers: DataFrame, finish: Callable[[int, object, dict], pa.Table], spec: str) -> DataFrame:
@@ -176,3 +172,35 @@ def ascii_words(b: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
     some = pc.not_equal(pc.binary_length(flat), 0)
     n = np.diff(np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[parts.offsets.to_numpy() - parts.offsets[0].as_py()])
     return n, flat.filter(some)
+
+
+def tagged(answers: DataFrame, k: int) -> DataFrame:
+    """Answers of round k (1 to 3), told apart by their shard's number: 4 * shard + k."""
+    return answers.withColumn("shard", F.col("shard") * 4 + k)
+
+
+def rounds(answers: dict) -> list[dict]:
+    return [{s // 4: x for s, x in answers.items() if s % 4 == k} for k in (1, 2, 3)]
+
+
+ASKS = "chunk_id long, shard long, blob binary"
+
+
+def asks(chunk: int, rows: Iterable[tuple[int, object]]) -> pa.Table:
+    """A chunk's questions to shards."""
+    rows = [(k, squeeze(x)) for k, x in rows]
+    return pa.table({"chunk_id": pa.array([chunk] * len(rows), pa.int64()), "shard": pa.array([k for k, _ in rows], pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
+
+
+def served(requests: DataFrame, serve: Callable[[int, list], Iterable[tuple[int, object]]]) -> DataFrame:
+    """chunk_id, shard, blob: the shards' answers to requests of that shape."""
+
+    def serving(key: tuple, t: pa.Table) -> pa.Table:
+        asked = sorted(zip(t.column("chunk_id").to_pylist(), t.column("blob").to_pylist(), strict=True))
+        got = [(c, squeeze(x)) for c, x in serve(key[0].as_py(), [(c, expand(x)) for c, x in asked])]
+        out = pa.table({"chunk_id": pa.array([c for c, _ in got], pa.int64()), "shard": pa.array([key[0].as_py()] * len(got), pa.int64()), "blob": pa.array([x for _, x in got], pa.binary())})
+        asked = got = None
+        give_back()
+        return out
+
+    return requests.groupBy("shard").applyInArrow(serving, ASKS)

@@ -1,13 +1,18 @@
-"""N-gram language model in Elias-Fano tries.
+"""N-gram language model of order three in Elias-Fano tries.
 
-Two passes over packed chunks. The first counts words over all training rows and numbers them. The second sends each
-distinct word pair of a chunk to a shard by hash of the pair; a shard adds up the counts of all chunks and builds its part
-of the trie: contexts are one monotone Elias-Fano level, pointers a second, and the successors of all contexts a third
-(made monotone by the context's rank), beside quantised smoothed probabilities. Levels lie in one anonymous memory map.
-A pair is found by the context's rank and a search for the successor relative to its context.
+Three passes over packed chunks. The first counts words over all training rows and numbers them. The second sends each
+distinct word pair of a chunk to a shard by hash of the pair, the third each distinct triple to a shard by hash of the triple.
+A shard adds up the counts of all chunks and builds its part of the trie's level: contexts are one monotone Elias-Fano
+sequence, pointers a second, and the successors of all contexts a third (made monotone by the context's rank), beside
+quantised smoothed probabilities. They lie in one anonymous memory map. An n-gram is found by the context's rank and a search
+for the successor relative to its context.
+
+p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)); p(w | v) = (c(v w) + mass2 * p(w)) / (c(v) + mass2);
+p(w | u v) = (c(u v w) + mass3 * p(w | v)) / (c(u v) + mass3). The first word's context is the end token alone; the second
+word's is the end token and the first word. N-grams that training lacks get the same formulas with a count of 0.
+A triple can only occur twice if both of its pairs do. Others need not be asked about: a triple with a pair that all rows
+(held out or not) hold once is where the pair is, so its count is known on the spot.
 
-p(w | v) = (c(v w) + mass * p(w)) / (c(v) + mass), p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)); the first word's context is
-the end token. Pairs that training lacks get the same formula with c(v w) = 0.
 Null texts count as empty (only the end token); an id of null counts as the empty text in the split; rows are kept one
 for one; with no training rows all counts are 0.
 """
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import shards_of
-from .chunks import answered, ascii_words, ask, expand, narrow, pack, placed, shard_count, squeeze
+from .chunks import ASKS, answered, ascii_words, ask, asks, narrow, pack, placed, rounds, served, shard_count, squeeze, tagged
 from .common import text_or_empty, written
 
 #: Steps of the quantised negative log10 probabilities.
@@ -92,14 +97,14 @@ class EliasFano:
         return out
 
 
-class Trie:
-    """Contexts, pointers, successors and quantised values, mapped in one piece of memory."""
+class Level:
+    """Contexts, pointers, successors and quantised values of n-grams of one order, mapped in one piece of memory."""
 
     def __init__(self, v: np.ndarray, w: np.ndarray, code: np.ndarray):
-        """Distinct pairs in order of (v, w)."""
-        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+        """Distinct (context, word) in that order."""
+        first = starts(v)
         self.span = int(w.max(initial=0)) + 1
-        rank = np.cumsum(np.isin(np.arange(len(v)), first, assume_unique=True)) - 1
+        rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
         parts = {f"{k}.{name}": x for k, seq in (("contexts", v[first]), ("pointers", np.append(first, len(v))), ("successors", rank * self.span + w)) for name, x in EliasFano.levels(seq).items()}
         parts["codes"] = code
         self.map = mmap.mmap(-1, sum(-(-x.nbytes // 8) * 8 for x in parts.values()) or 8)
@@ -112,7 +117,7 @@ class Trie:
         self.codes = view["codes"]
 
     def find(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The code of each pair, -1 where it isn't held."""
+        """The code of each n-gram, -1 where it isn't held."""
         out = np.full(len(v), -1, np.int64)
         if not self.contexts.n:
             return out
@@ -130,6 +135,13 @@ class Trie:
         return out
 
 
+def starts(*keys: np.ndarray) -> np.ndarray:
+    """Where groups of equals begin in sorted keys."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
+
+
 def quantise(p: np.ndarray) -> np.ndarray:
     return np.minimum(np.round(-np.log10(p) * STEP), 2**16 - 1).astype(np.uint16)
 
@@ -143,13 +155,14 @@ def pairs(seq: np.ndarray, n: np.ndarray, end: int) -> np.ndarray:
 
 
 def pair_shard(v: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
+    """Of words' (or pairs' and words') numbers."""
     x = v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0x94D049BB133111EB)
     return ((x ^ (x >> np.uint64(29))) % np.uint64(shards)).astype(np.int64)
 
 
-def score(docs: DataFrame, train, mass: float = 200.0, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 3_000_000) -> DataFrame:
+def score(docs: DataFrame, train, mass2: float = 200.0, mass3: float = 20.0, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 3_000_000) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score. train: a boolean column expression."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     shards = shard_count(spark)
@@ -201,56 +214,123 @@ def score(docs: DataFrame, train, mass: float = 200.0, id_col: str = "doc_id", t
     def base(c: np.ndarray) -> np.ndarray:
         return (c + 0.1) / (n_all + 0.1 * (vocabulary + 1))
 
-    def distinct(payload, inverse: bool):
-        """The chunk's distinct pairs by words' numbers, in order of shard; their places in key order."""
+    def distinct(payload):
+        """The chunk's distinct pairs, by words' local numbers in key order; each token's pair; training mask of tokens."""
         kept, n, ids, c, seq = payload
-        key = pairs(seq, n.astype(np.int64), len(ids) - 1)
-        mask = np.repeat(kept.column("train").to_numpy().astype(bool), n.astype(np.int64) + 1)
-        key, back, many = np.unique(key, return_inverse=True, return_counts=True)
+        n = n.astype(np.int64)
+        key, back, many = np.unique(pairs(seq, n, len(ids) - 1), return_inverse=True, return_counts=True)
         v, w = np.divmod(key, len(ids))
-        of = pair_shard(ids[v], ids[w], shards)
-        order = np.lexsort((ids[w], ids[v], of))
-        trained = None if inverse else np.bincount(back[mask], minlength=len(key))[order]
-        return v[order], w[order], of[order], order, back, trained
+        mask = np.repeat(kept.column("train").to_numpy().astype(bool), n + 1)
+        return v, w, back.astype(np.int64), many, mask
+
+    def in_shards(of: np.ndarray, *minor: np.ndarray):
+        """An order by shard and keys, and (shard, first, end) of its runs."""
+        order = np.lexsort((*minor[::-1], of))
+        cuts = starts(of[order])
+        return order, zip(of[order][cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(of)).tolist(), strict=True)
 
     def ask_pairs(payload):
         ids, c = payload[2].astype(np.int64), payload[3].astype(np.int64)
-        v, w, of, _, _, trained = distinct(payload, False)
-        cuts = np.flatnonzero(np.diff(of)) + 1
-        for a, b in zip(np.concatenate([[0], cuts]), np.append(cuts, len(of)), strict=True):
-            if b > a:
-                iv, iw, t = ids[v[a:b]], ids[w[a:b]], trained[a:b]
-                jump = np.diff(iv, prepend=0)
-                seen = t > 0
-                yield int(of[a]), (narrow(jump), narrow(iw), narrow(t), narrow(c[v[a:b]][seen]), narrow(c[w[a:b]][seen]))
+        v, w, back, many, mask = distinct(payload)
+        t = np.bincount(back[mask], minlength=len(v))
+        order, runs = in_shards(pair_shard(ids[v], ids[w], shards), ids[v], ids[w])
+        v, w, t, twice = v[order], w[order], t[order], many[order] > 1
+        for k, a, b in runs:
+            seen = t[a:b] > 0
+            yield k, (narrow(np.diff(ids[v[a:b]], prepend=0)), narrow(ids[w[a:b]]), narrow(t[a:b]), np.packbits(twice[a:b]), narrow(c[v[a:b]][seen]), narrow(c[w[a:b]][seen]))
 
     def answer_pairs(shard: int, asked: list):
-        vs = [np.cumsum(j.astype(np.int64)) for _, (j, *_) in asked]
-        ws = [w.astype(np.int64) for _, (_, w, *_) in asked]
-        seen = [t > 0 for _, (_, _, t, _, _) in asked]
-        v, w, t, cv, cw = (np.concatenate(x).astype(np.int64) for x in ([a[s] for a, s in zip(vs, seen, strict=True)], [a[s] for a, s in zip(ws, seen, strict=True)], [x[1][2][s] for x, s in zip(asked, seen, strict=True)], [x[1][3] for x in asked], [x[1][4] for x in asked]))
+        cat = lambda x: np.concatenate(list(x)).astype(np.int64)
+        vs, ws = [np.cumsum(x[0].astype(np.int64)) for _, x in asked], [x[1].astype(np.int64) for _, x in asked]
+        v, w, t = cat(vs), cat(ws), cat(x[2] for _, x in asked)
+        often = cat(np.unpackbits(x[3], count=len(x[1])) for _, x in asked) + 1
+        cv, cw = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)  # a chunk says them of what its training rows have
+        cv[t > 0], cw[t > 0] = cat(x[4] for _, x in asked), cat(x[5] for _, x in asked)
         order = np.lexsort((w, v))
-        v, w, t, cv, cw = v[order], w[order], t[order], cv[order], cw[order]
-        first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])) if len(v) else np.zeros(0, np.int64)
-        t = np.add.reduceat(t, first) if len(v) else t
-        v, w, cv, cw = v[first], w[first], cv[first], cw[first]
-        trie = Trie(v, w, quantise((t + mass * base(cw)) / (cv + mass)))
+        first = starts(v[order], w[order])
+        place = np.empty(len(v), np.int64)
+        place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
+        t, often = np.add.reduceat(t[order], first), np.add.reduceat(often[order], first) > 1
+        cv, cw = np.maximum.reduceat(cv[order], first), np.maximum.reduceat(cw[order], first)
+        v, w, held = v[order][first], w[order][first], t > 0
+        level = Level(v[held], w[held], quantise((t[held] + mass2 * base(cw[held])) / (cv[held] + mass2)))
+        at = 0
         for (chunk, _), a, b in zip(asked, vs, ws, strict=True):
-            yield chunk, (trie.find(a, b) + 1).astype(np.uint32)
+            mine = place[at : at + len(a)]
+            at += len(a)
+            yield chunk, (narrow(level.find(a, b) + 1), narrow(t[mine]), np.packbits(often[mine]))
+
+    def of_pairs(payload, answers: dict):
+        """Of the chunk's pairs in key order: codes (-1: not in training), counts, whether any row has it again."""
+        ids = payload[2].astype(np.int64)
+        v, w, back, _, mask = distinct(payload)
+        order, runs = in_shards(pair_shard(ids[v], ids[w], shards), ids[v], ids[w])
+        code, count, often = np.full(len(v), -1, np.int64), np.zeros(len(v), np.int64), np.zeros(len(v), bool)
+        for k, a, b in runs:
+            got, n, flags = answers[k]
+            code[order[a:b]], count[order[a:b]], often[order[a:b]] = got.astype(np.int64) - 1, n, np.unpackbits(flags, count=b - a).astype(bool)
+        return v, w, back, mask, code, count, often
+
+    def triples(payload, back: np.ndarray, often: np.ndarray, pairs_: int):
+        """Places of tokens with two words before them (or one and the start), those to ask about, and their distinct triples."""
+        n = payload[1].astype(np.int64) + 1
+        at = np.delete(np.arange(len(back)), np.cumsum(n) - n)
+        asked = at[often[back[at]] & often[back[at - 1]]]
+        key, which = np.unique(back[asked - 1] * pairs_ + back[asked], return_inverse=True)
+        return at, asked, key // pairs_, key % pairs_, which
+
+    def ask_triples(payload, answers: dict):
+        ids = payload[2].astype(np.int64)
+        v, w, back, mask, code, count, often = of_pairs(payload, answers)
+        _, asked, one, two, which = triples(payload, back, often, len(v))
+        t = np.bincount(which[mask[asked]], minlength=len(one))
+        a, b, c = ids[v[one]], ids[w[one]], ids[w[two]]
+        order, runs = in_shards(pair_shard(pair_shard(a, b, 1 << 62), c, shards), a, b, c)
+        a, b, c, t, one, two = a[order], b[order], c[order], t[order], one[order], two[order]
+        for k, lo, hi in runs:
+            seen = t[lo:hi] > 0
+            yield k, (narrow(np.diff(a[lo:hi], prepend=0)), narrow(b[lo:hi]), narrow(c[lo:hi]), narrow(t[lo:hi]), narrow(count[one[lo:hi]][seen]), code[two[lo:hi]][seen].astype(np.uint16))
+
+    def answer_triples(shard: int, asked: list):
+        first = [np.cumsum(x[0].astype(np.int64)) for _, x in asked]
+        span = 1 + max((int(x[1].max(initial=0)) for _, x in asked), default=0)
+        contexts = [a * span + x[1] for a, (_, x) in zip(first, asked, strict=True)]
+        ws = [x[2].astype(np.int64) for _, x in asked]
+        seen = [x[3] > 0 for _, x in asked]
+        cat = lambda x: np.concatenate(x).astype(np.int64)
+        at = lambda x: cat([a[s] for a, s in zip(x, seen, strict=True)])
+        v, w, t, c, code = at(contexts), at(ws), at([x[3] for _, x in asked]), cat([x[4] for _, x in asked]), cat([x[5] for _, x in asked])
+        order = np.lexsort((w, v))
+        first = starts(v[order], w[order])
+        t = np.add.reduceat(t[order], first) if len(first) else t
+        v, w, c, code = (x[order][first] for x in (v, w, c, code))
+        level = Level(v, w, quantise((t + mass3 * 10 ** (-code / STEP)) / (c + mass3)))
+        for (chunk, _), a, b in zip(asked, contexts, ws, strict=True):
+            yield chunk, narrow(level.find(a, b) + 1)
 
     def finish(chunk: int, payload, answers: dict) -> pa.Table:
         kept, n, ids, c, seq = payload
-        n, c = n.astype(np.int64), c.astype(np.int64)
-        v, w, of, order, back, _ = distinct(payload, True)
-        code = np.zeros(len(of), np.int64)
-        for k, got in answers.items():
-            code[np.searchsorted(of, k) : np.searchsorted(of, k, "right")] = got
-        prob = np.where(code > 0, -(code - 1) / STEP, np.log10(mass * base(c[w]) / (c[v] + mass)))
-        logs = np.empty(len(of))
-        logs[order] = prob
+        n, c, ids = n.astype(np.int64), c.astype(np.int64), ids.astype(np.int64)
+        first, second, _ = rounds(answers)
+        v, w, back, mask, code, count, often = of_pairs(payload, first)
+        p2 = np.where(code >= 0, -code / STEP, np.log10(mass2 * base(c[w]) / (c[v] + mass2)))
+        at, asked, one, two, which = triples(payload, back, often, len(v))
+        logs = p2[back]
+        # a triple with a pair that occurs nowhere else occurs here alone; others are asked about
+        here, before = mask[at].astype(np.int64), count[back[at - 1]]
+        logs[at] = np.log10((here + mass3 * 10 ** p2[back[at]]) / (before + mass3))
+        a, b = ids[v[one]], ids[w[one]]
+        order, runs = in_shards(pair_shard(pair_shard(a, b, 1 << 62), ids[w[two]], shards), a, b, ids[w[two]])
+        p3 = p2[two] + np.log10(mass3 / (count[one] + mass3))  # not in training
+        for k, lo, hi in runs:
+            got = second[k].astype(np.int64)
+            p3[order[lo:hi]] = np.where(got > 0, -(got - 1) / STEP, p3[order[lo:hi]])
+        logs[asked] = p3[which]
         tokens = np.insert(seq.astype(np.int64), np.cumsum(n), len(ids) - 1)
         start = np.cumsum(n + 1) - (n + 1)
         sums = lambda x: np.add.reduceat(x, start)
-        return pa.table({id_col: kept.column(0), "held_out": pa.array(~kept.column("train").to_numpy().astype(bool)), "n_tokens": pa.array(n + 1), "n_known": pa.array(sums((c > 0).astype(np.int64)[tokens])), "train_tokens": pa.array(np.full(len(n), n_all)), "base_score": pa.array(sums(np.log10(base(c))[tokens])), "score": pa.array(sums(logs[back]))})
+        return pa.table({id_col: kept.column(0), "held_out": pa.array(~kept.column("train").to_numpy().astype(bool)), "n_tokens": pa.array(n + 1), "n_known": pa.array(sums((c > 0).astype(np.int64)[tokens])), "train_tokens": pa.array(np.full(len(n), n_all)), "base_score": pa.array(sums(np.log10(base(c))[tokens])), "score": pa.array(sums(logs))})
 
-    return answered(chunks, ask(chunks, ask_pairs, answer_pairs), finish, f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    of_two = tagged(ask(chunks, ask_pairs, answer_pairs), 1)
+    of_three = tagged(served(answered(chunks, of_two, lambda chunk, payload, a: asks(chunk, ask_triples(payload, rounds(a)[0])), ASKS), answer_triples), 2)
+    return answered(chunks, of_two.unionByName(of_three), finish, f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors, passages
-from .chunks import answered, ask, pack_bytes, placed, shard_count
+from .chunks import ASKS, answered, ask, asks, pack_bytes, placed, rounds, served, shard_count, tagged
 from .common import text_or_empty
 
 
@@ -167,15 +167,6 @@ def serve_passages(shard: int, asked: list):
     yield from dealt(asked, order, np.diff(np.append(first, len(order))), (sums(many[order].astype(np.int64), first) > 1).astype(np.uint8))
 
 
-def tagged(answers: DataFrame, k: int) -> DataFrame:
-    """Answers of round k, told apart by their shard's number: 4 * shard + k."""
-    return answers.withColumn("shard", F.col("shard") * 4 + k)
-
-
-def rounds(answers: dict) -> list[dict]:
-    return [{s // 4: x for s, x in answers.items() if s % 4 == k} for k in (1, 2, 3)]
-
-
 def remove_repeats(docs: DataFrame, length: int = 200, keep: list[str] | None = None, text_col: str = "text", chunk_bytes: int = 8_000_000) -> DataFrame:
     """keep (columns; default doc_id), n_bytes, spans array<struct<start,end>> in bytes, kept binary, kept_text (whole characters)."""
     keep = keep or ["doc_id"]
@@ -183,17 +174,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep: list[str] | None =
     shards = shard_count(docs.sparkSession)
     chunks = placed(pack_bytes(docs.select(*keep, text_or_empty(text_col).alias("__text")), chunk_bytes))
     mark = lambda payload: Marked(payload, length, gram, shards)
-    asks = "chunk_id long, shard long, blob binary"
-
-    def question(chunk: int, answers: dict, payload, make) -> pa.Table:
-        from .chunks import squeeze
-
-        rows = [(k, squeeze(x)) for k, x in make(mark(payload), rounds(answers))]
-        return pa.table({"chunk_id": pa.array([chunk] * len(rows), pa.int64()), "shard": pa.array([k for k, _ in rows], pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
-
     one = tagged(ask(chunks, lambda payload: mark(payload).round1(), serve_grams), 1)
-    two = tagged(served(answered(chunks, one, lambda c, p, a: question(c, a, p, lambda m, r: m.round2(r[0])), asks), serve_classes), 2)
-    three = tagged(served(answered(chunks, one.unionByName(two), lambda c, p, a: question(c, a, p, lambda m, r: m.round3(r[0], r[1])), asks), serve_passages), 3)
+    two = tagged(served(answered(chunks, one, lambda c, p, a: asks(c, mark(p).round2(rounds(a)[0])), ASKS), serve_classes), 2)
+    three = tagged(served(answered(chunks, one.unionByName(two), lambda c, p, a: asks(c, mark(p).round3(*rounds(a)[:2])), ASKS), serve_passages), 3)
 
     def finish(chunk: int, payload, answers: dict) -> pa.Table:
         m = mark(payload)
@@ -227,18 +210,6 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep: list[str] | None =
     return answered(chunks, one.unionByName(two).unionByName(three), finish, spec)
 
 
-def served(requests: DataFrame, serve) -> DataFrame:
-    """The answers to requests that are there already (chunk_id, shard, blob)."""
-    from .chunks import expand, squeeze
-
-    def serving(key: tuple, t: pa.Table) -> pa.Table:
-        asked = sorted(zip(t.column("chunk_id").to_pylist(), t.column("blob").to_pylist(), strict=True))
-        got = [(c, squeeze(x)) for c, x in serve(key[0].as_py(), [(c, expand(x)) for c, x in asked])]
-        return pa.table({"chunk_id": pa.array([c for c, _ in got], pa.int64()), "shard": pa.array([key[0].as_py()] * len(got), pa.int64()), "blob": pa.array([x for _, x in got], pa.binary())})
-
-    return requests.groupBy("shard").applyInArrow(serving, "chunk_id long, shard long, blob binary")
-
-
 def digests(done: DataFrame, id_col: str = "doc_id") -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return done.select(id_col, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -86,22 +86,25 @@ def test_lm_scores(spark, small):
     rows = [(r.doc_id, r.text) for r in small.collect()] + [(10_001 + k, t) for k, t in enumerate(ODD)]
     d = written(docs(spark, [t for _, t in rows], [i for i, _ in rows]), "t")
     train = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
-    uni, pairs = Counter(), Counter()
+    uni, pairs, triples = Counter(), Counter(), Counter()
     for i, t in rows:
         if train(i):
-            w = [*words(t), ""]
-            uni.update(w)
-            pairs.update(zip(["", *w], w, strict=False))
+            w = ["", *words(t), ""]
+            uni.update(w[1:])
+            pairs.update(zip(w, w[1:], strict=False))
+            triples.update(zip(w, w[1:], w[2:], strict=False))
     n, v = sum(uni.values()), len(uni)
     base = lambda w: (uni[w] + 0.1) / (n + 0.1 * (v + 1))
-    got = {r.doc_id: r for r in ngram_lm.score(d, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, mass=200.0, chunk_tokens=4000).collect()}
+    got = {r.doc_id: r for r in ngram_lm.score(d, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, mass2=200.0, mass3=20.0, chunk_tokens=4000).collect()}
     assert len(got) == len(rows)
     for i, t in rows:
         w, r = [*words(t), ""], got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not train(i), len(w), sum(uni[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10(base(x)) for x in w))
-        exact = sum(math.log10((pairs[a, b] + 200 * base(b)) / (uni[a] + 200)) for a, b in zip(["", *w], w, strict=False))
-        assert r.score == pytest.approx(exact, abs=2e-4 * len(w))
+        two = [(pairs[a, b] + 200 * base(b)) / (uni[a] + 200) for a, b in zip(["", *w], w, strict=False)]
+        three = [(triples[a, b, c] + 20 * p) / (pairs[a, b] + 20) for a, b, c, p in zip(["", *w], w, w[1:], two[1:], strict=False)]
+        exact = sum(map(math.log10, [two[0], *three]))
+        assert r.score == pytest.approx(exact, abs=4e-4 * len(w))
 
 
 def test_repeats(spark, small):
