@@ -1,17 +1,19 @@
 """N-gram language model of order three in Elias-Fano tries.
 
-Three passes over packed chunks. The first counts words over all training rows and numbers them. The second sends each
-distinct word pair of a chunk to a shard by hash of the pair, the third each distinct triple to a shard by hash of the triple.
-A shard adds up the counts of all chunks and builds its part of the trie's level: contexts are one monotone Elias-Fano
-sequence, pointers a second, and the successors of all contexts a third (made monotone by the context's rank), beside
-quantised smoothed probabilities. They lie in one anonymous memory map. An n-gram is found by the context's rank and a search
-for the successor relative to its context.
+Two passes over packed chunks. The first counts words over all training rows and numbers them. The second sends each distinct
+triple of a chunk, under its first two words, to a shard by hash of the pair; a shard adds up the counts of all chunks and
+builds its part of the trie, a level of pairs and a level of triples: contexts are one monotone Elias-Fano sequence, pointers
+a second, and the successors of all contexts a third (made monotone by the context's rank), beside quantised smoothed
+probabilities; pairs have quantised weights of what is below them, too. A level lies in one anonymous memory map. An n-gram
+is found by the context's rank and a search for the successor relative to its context.
 
 p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)); p(w | v) = (c(v w) + mass2 * p(w)) / (c(v) + mass2);
-p(w | u v) = (c(u v w) + mass3 * p(w | v)) / (c(u v) + mass3). The first word's context is the end token alone; the second
-word's is the end token and the first word. N-grams that training lacks get the same formulas with a count of 0.
-A triple can only occur twice if both of its pairs do. Others need not be asked about: a triple with a pair that all rows
-(held out or not) hold once is where the pair is, so its count is known on the spot.
+p(w | u v) = (c(u v w) + mass3 * p(w | v)) / (c(u v) + mass3), kept as its first part and the weight of the second. The first
+word's context is the end token alone; the second word's is the end token and the first word. N-grams that training lacks
+get the same formulas with a count of 0.
+
+A pair of two frequent words is split by its successors over several shards, in proportion to how many it can have; each of
+them is told the pair's whole count.
 
 Null texts count as empty (only the end token); an id of null counts as the empty text in the split; rows are kept one
 for one; with no training rows all counts are 0.
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import shards_of
-from .chunks import ASKS, answered, ascii_words, ask, asks, narrow, pack, placed, rounds, served, shard_count, squeeze, tagged
+from .chunks import answered, ascii_words, ask, narrow, pack, placed, shard_count, squeeze
 from .common import text_or_empty, written
 
 #: Steps of the quantised negative log10 probabilities.
@@ -146,20 +148,72 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.minimum(np.round(-np.log10(p) * STEP), 2**16 - 1).astype(np.uint16)
 
 
-def pairs(seq: np.ndarray, n: np.ndarray, end: int) -> np.ndarray:
-    """Keys context * (end + 1) + word of each token, the end tokens included; and each row's tokens."""
-    ends = np.cumsum(n)
-    tokens = np.insert(seq.astype(np.int64), ends, end)
-    before = np.concatenate([[end], tokens[:-1]])
-    return before * (end + 1) + tokens
+#: A pair of words that each make up more than one in so many tokens is split.
+SPLIT = 512
 
 
-def pair_shard(v: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
-    """Of words' (or pairs' and words') numbers."""
-    x = v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+def mixed(v: np.ndarray, w: np.ndarray | int) -> np.ndarray:
+    x = v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(w).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(29))) % np.uint64(shards)).astype(np.int64)
+    return x ^ (x >> np.uint64(29))
+
+
+class Grams:
+    """Of a numbered chunk: its distinct triples in order of words' numbers, the pairs they begin with, and where all go.
+
+    A text is read as end, its words, end, nothing: as many triples as tokens, whose pairs are all of the text's pairs."""
+
+    def __init__(self, payload, shards: int, n_all: int):
+        kept, n, ids, c, seq = payload
+        order = np.argsort(ids, kind="stable")
+        self.ids = np.concatenate([[0], ids[order].astype(np.int64) + 1])  # 0: nothing
+        self.c = np.concatenate([[0], c[order].astype(np.int64)])
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(1, len(ids) + 1)
+        n, end = n.astype(np.int64), rank[-1]
+        stops = np.cumsum(n + 3)
+        inside = np.ones(int(stops[-1]) if len(n) else 0, bool)
+        inside[np.concatenate([stops - n - 3, stops - 2, stops - 1])] = False
+        s = np.full(len(inside), end)
+        s[inside], s[stops - 1] = rank[seq], 0
+        starts_here = np.ones(len(s), bool)
+        starts_here[np.concatenate([stops - 2, stops - 1])] = False
+        at = np.flatnonzero(starts_here)
+        u, v, w, size = s[at], s[at + 1], s[at + 2], len(self.ids)
+        if size**3 < 2**63:
+            key, self.back = np.unique((u * size + v) * size + w, return_inverse=True)
+            pair, self.w = np.divmod(key, size)
+            first = starts(pair)
+            pair = pair[first]
+        else:
+            pair, which = np.unique(u * size + v, return_inverse=True)
+            key, self.back = np.unique(which * size + w, return_inverse=True)
+            which, self.w = np.divmod(key, size)
+            first = starts(which)
+        self.u, self.v = np.divmod(pair, size)
+        self.first, self.many = first, np.diff(np.append(first, len(key)))
+        self.n, self.tokens, self.train = n + 1, w, kept.column("train").to_numpy().astype(bool)
+        # shards: those of a split pair follow one another
+        parts = np.minimum(shards, 1 + SPLIT * np.minimum(self.c[self.u], self.c[self.v]) // max(1, n_all))
+        base = (mixed(self.ids[self.u], self.ids[self.v]) % np.uint64(shards)).astype(np.int64)
+        self.pair_of = np.repeat(np.arange(len(pair)), self.many)
+        several = parts[self.pair_of]
+        part = np.where(several > 1, (mixed(self.ids[self.w], 7) % several.astype(np.uint64)).astype(np.int64), 0)
+        self.row_pair = np.repeat(np.arange(len(pair)), parts)
+        row_part = np.arange(len(self.row_pair)) - np.repeat(np.cumsum(parts) - parts, parts)
+        row_shard, shard = (base[self.row_pair] + row_part) % shards, (base[self.pair_of] + part) % shards
+        small = np.uint16 if shards < 2**16 else np.int64  # sixteen bits are sorted by radix
+        self.row_order, self.order = np.argsort(row_shard.astype(small), kind="stable"), np.argsort(shard.astype(small), kind="stable")
+        self.row_shard, self.shard = row_shard[self.row_order], shard[self.order]
+
+    def runs(self):
+        """shard, its pairs' rows (first, end), its triples (first, end)."""
+        cut = starts(self.row_shard)
+        ends = np.append(cut[1:], len(self.row_shard))
+        found = self.row_shard[cut]
+        for k, a, b, lo, hi in zip(found, cut, ends, np.searchsorted(self.shard, found), np.searchsorted(self.shard, found, "right"), strict=True):
+            yield int(k), self.row_pair[self.row_order[a:b]], self.row_order[a:b], self.order[lo:hi]
 
 
 def score(docs: DataFrame, train, mass2: float = 200.0, mass3: float = 20.0, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 3_000_000) -> DataFrame:
@@ -214,123 +268,63 @@ def score(docs: DataFrame, train, mass2: float = 200.0, mass3: float = 20.0, id_
     def base(c: np.ndarray) -> np.ndarray:
         return (c + 0.1) / (n_all + 0.1 * (vocabulary + 1))
 
-    def distinct(payload):
-        """The chunk's distinct pairs, by words' local numbers in key order; each token's pair; training mask of tokens."""
-        kept, n, ids, c, seq = payload
-        n = n.astype(np.int64)
-        key, back, many = np.unique(pairs(seq, n, len(ids) - 1), return_inverse=True, return_counts=True)
-        v, w = np.divmod(key, len(ids))
-        mask = np.repeat(kept.column("train").to_numpy().astype(bool), n + 1)
-        return v, w, back.astype(np.int64), many, mask
-
-    def in_shards(of: np.ndarray, *minor: np.ndarray):
-        """An order by shard and keys, and (shard, first, end) of its runs."""
-        order = np.lexsort((*minor[::-1], of))
-        cuts = starts(of[order])
-        return order, zip(of[order][cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(of)).tolist(), strict=True)
-
-    def ask_pairs(payload):
-        ids, c = payload[2].astype(np.int64), payload[3].astype(np.int64)
-        v, w, back, many, mask = distinct(payload)
-        t = np.bincount(back[mask], minlength=len(v))
-        order, runs = in_shards(pair_shard(ids[v], ids[w], shards), ids[v], ids[w])
-        v, w, t, twice = v[order], w[order], t[order], many[order] > 1
-        for k, a, b in runs:
-            seen = t[a:b] > 0
-            yield k, (narrow(np.diff(ids[v[a:b]], prepend=0)), narrow(ids[w[a:b]]), narrow(t[a:b]), np.packbits(twice[a:b]), narrow(c[v[a:b]][seen]), narrow(c[w[a:b]][seen]))
-
-    def answer_pairs(shard: int, asked: list):
-        cat = lambda x: np.concatenate(list(x)).astype(np.int64)
-        vs, ws = [np.cumsum(x[0].astype(np.int64)) for _, x in asked], [x[1].astype(np.int64) for _, x in asked]
-        v, w, t = cat(vs), cat(ws), cat(x[2] for _, x in asked)
-        often = cat(np.unpackbits(x[3], count=len(x[1])) for _, x in asked) + 1
-        cv, cw = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)  # a chunk says them of what its training rows have
-        cv[t > 0], cw[t > 0] = cat(x[4] for _, x in asked), cat(x[5] for _, x in asked)
-        order = np.lexsort((w, v))
-        first = starts(v[order], w[order])
-        place = np.empty(len(v), np.int64)
-        place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
-        t, often = np.add.reduceat(t[order], first), np.add.reduceat(often[order], first) > 1
-        cv, cw = np.maximum.reduceat(cv[order], first), np.maximum.reduceat(cw[order], first)
-        v, w, held = v[order][first], w[order][first], t > 0
-        level = Level(v[held], w[held], quantise((t[held] + mass2 * base(cw[held])) / (cv[held] + mass2)))
-        at = 0
-        for (chunk, _), a, b in zip(asked, vs, ws, strict=True):
-            mine = place[at : at + len(a)]
-            at += len(a)
-            yield chunk, (narrow(level.find(a, b) + 1), narrow(t[mine]), np.packbits(often[mine]))
-
-    def of_pairs(payload, answers: dict):
-        """Of the chunk's pairs in key order: codes (-1: not in training), counts, whether any row has it again."""
-        ids = payload[2].astype(np.int64)
-        v, w, back, _, mask = distinct(payload)
-        order, runs = in_shards(pair_shard(ids[v], ids[w], shards), ids[v], ids[w])
-        code, count, often = np.full(len(v), -1, np.int64), np.zeros(len(v), np.int64), np.zeros(len(v), bool)
-        for k, a, b in runs:
-            got, n, flags = answers[k]
-            code[order[a:b]], count[order[a:b]], often[order[a:b]] = got.astype(np.int64) - 1, n, np.unpackbits(flags, count=b - a).astype(bool)
-        return v, w, back, mask, code, count, often
-
-    def triples(payload, back: np.ndarray, often: np.ndarray, pairs_: int):
-        """Places of tokens with two words before them (or one and the start), those to ask about, and their distinct triples."""
-        n = payload[1].astype(np.int64) + 1
-        at = np.delete(np.arange(len(back)), np.cumsum(n) - n)
-        asked = at[often[back[at]] & often[back[at - 1]]]
-        key, which = np.unique(back[asked - 1] * pairs_ + back[asked], return_inverse=True)
-        return at, asked, key // pairs_, key % pairs_, which
-
-    def ask_triples(payload, answers: dict):
-        ids = payload[2].astype(np.int64)
-        v, w, back, mask, code, count, often = of_pairs(payload, answers)
-        _, asked, one, two, which = triples(payload, back, often, len(v))
-        t = np.bincount(which[mask[asked]], minlength=len(one))
-        a, b, c = ids[v[one]], ids[w[one]], ids[w[two]]
-        order, runs = in_shards(pair_shard(pair_shard(a, b, 1 << 62), c, shards), a, b, c)
-        a, b, c, t, one, two = a[order], b[order], c[order], t[order], one[order], two[order]
-        for k, lo, hi in runs:
-            seen = t[lo:hi] > 0
-            yield k, (narrow(np.diff(a[lo:hi], prepend=0)), narrow(b[lo:hi]), narrow(c[lo:hi]), narrow(t[lo:hi]), narrow(count[one[lo:hi]][seen]), code[two[lo:hi]][seen].astype(np.uint16))
-
-    def answer_triples(shard: int, asked: list):
-        first = [np.cumsum(x[0].astype(np.int64)) for _, x in asked]
-        span = 1 + max((int(x[1].max(initial=0)) for _, x in asked), default=0)
-        contexts = [a * span + x[1] for a, (_, x) in zip(first, asked, strict=True)]
-        ws = [x[2].astype(np.int64) for _, x in asked]
-        seen = [x[3] > 0 for _, x in asked]
-        cat = lambda x: np.concatenate(x).astype(np.int64)
-        at = lambda x: cat([a[s] for a, s in zip(x, seen, strict=True)])
-        v, w, t, c, code = at(contexts), at(ws), at([x[3] for _, x in asked]), cat([x[4] for _, x in asked]), cat([x[5] for _, x in asked])
-        order = np.lexsort((w, v))
-        first = starts(v[order], w[order])
-        t = np.add.reduceat(t[order], first) if len(first) else t
-        v, w, c, code = (x[order][first] for x in (v, w, c, code))
-        level = Level(v, w, quantise((t + mass3 * 10 ** (-code / STEP)) / (c + mass3)))
-        for (chunk, _), a, b in zip(asked, contexts, ws, strict=True):
-            yield chunk, narrow(level.find(a, b) + 1)
+    def ask_grams(payload):
+        g = Grams(payload, shards, n_all)
+        t = np.bincount(g.back[np.repeat(g.train, g.n)], minlength=len(g.w))
+        total = np.add.reduceat(t, g.first) if len(t) else t
+        for k, pair, _, triple in g.runs():
+            place = np.searchsorted(pair, g.pair_of[triple])  # both in order
+            many = np.bincount(place, minlength=len(pair))
+            other = total[pair] - np.bincount(place, t[triple], len(pair)).astype(np.int64)
+            seen = total[pair] > 0
+            u, v = g.u[pair], g.v[pair]
+            yield k, (narrow(np.diff(g.ids[u], prepend=0)), narrow(g.ids[v]), narrow(many), narrow(other), narrow(g.c[u][seen]), narrow(g.c[v][seen]), narrow(g.ids[g.w[triple]]), narrow(t[triple]))
+
+    def answer_grams(shard: int, asked: list):
+        cat = lambda k: np.concatenate([x[k] for _, x in asked]).astype(np.int64)
+        u, v = np.concatenate([np.cumsum(x[0].astype(np.int64)) for _, x in asked]), cat(1)
+        w, t, of = cat(6), cat(7), np.repeat(np.arange(len(u)), cat(2))
+        count = cat(3) + np.bincount(of, t, len(u)).astype(np.int64)
+        cu, cv = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)  # a chunk says them of what its training rows have
+        cu[count > 0], cv[count > 0] = cat(4), cat(5)
+        order = np.lexsort((v, u))
+        first = starts(u[order], v[order])
+        place = np.empty(len(u), np.int64)
+        place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(u))))
+        count, cu, cv = np.add.reduceat(count[order], first), np.maximum.reduceat(cu[order], first), np.maximum.reduceat(cv[order], first)
+        u, v = u[order][first], v[order][first]
+        held = count > 0
+        two = Level(u[held], v[held], quantise((count[held] + mass2 * base(cv[held])) / (cu[held] + mass2)))
+        code2 = narrow(two.find(u, v) + 1)[place]
+        below = quantise(mass3 / (count + mass3))[place]
+        span = int(w.max(initial=0)) + 1
+        key, back = np.unique(place[of] * span + w, return_inverse=True)
+        at, w = np.divmod(key, span)
+        t = np.bincount(back, t, len(key))
+        held = t > 0
+        three = Level(at[held], w[held], quantise(t[held] / (count[at[held]] + mass3)))
+        code3 = narrow(three.find(at, w) + 1)[back]
+        a = b = 0
+        for chunk, x in asked:
+            a, b, lo, hi = a + len(x[1]), b + len(x[6]), a, b
+            yield chunk, (code2[lo:a], below[lo:a], code3[hi:b])
 
     def finish(chunk: int, payload, answers: dict) -> pa.Table:
-        kept, n, ids, c, seq = payload
-        n, c, ids = n.astype(np.int64), c.astype(np.int64), ids.astype(np.int64)
-        first, second, _ = rounds(answers)
-        v, w, back, mask, code, count, often = of_pairs(payload, first)
-        p2 = np.where(code >= 0, -code / STEP, np.log10(mass2 * base(c[w]) / (c[v] + mass2)))
-        at, asked, one, two, which = triples(payload, back, often, len(v))
-        logs = p2[back]
-        # a triple with a pair that occurs nowhere else occurs here alone; others are asked about
-        here, before = mask[at].astype(np.int64), count[back[at - 1]]
-        logs[at] = np.log10((here + mass3 * 10 ** p2[back[at]]) / (before + mass3))
-        a, b = ids[v[one]], ids[w[one]]
-        order, runs = in_shards(pair_shard(pair_shard(a, b, 1 << 62), ids[w[two]], shards), a, b, ids[w[two]])
-        p3 = p2[two] + np.log10(mass3 / (count[one] + mass3))  # not in training
-        for k, lo, hi in runs:
-            got = second[k].astype(np.int64)
-            p3[order[lo:hi]] = np.where(got > 0, -(got - 1) / STEP, p3[order[lo:hi]])
-        logs[asked] = p3[which]
-        tokens = np.insert(seq.astype(np.int64), np.cumsum(n), len(ids) - 1)
-        start = np.cumsum(n + 1) - (n + 1)
-        sums = lambda x: np.add.reduceat(x, start)
-        return pa.table({id_col: kept.column(0), "held_out": pa.array(~kept.column("train").to_numpy().astype(bool)), "n_tokens": pa.array(n + 1), "n_known": pa.array(sums((c > 0).astype(np.int64)[tokens])), "train_tokens": pa.array(np.full(len(n), n_all)), "base_score": pa.array(sums(np.log10(base(c))[tokens])), "score": pa.array(sums(logs))})
-
-    of_two = tagged(ask(chunks, ask_pairs, answer_pairs), 1)
-    of_three = tagged(served(answered(chunks, of_two, lambda chunk, payload, a: asks(chunk, ask_triples(payload, rounds(a)[0])), ASKS), answer_triples), 2)
-    return answered(chunks, of_two.unionByName(of_three), finish, f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        g = Grams(payload, shards, n_all)
+        code2, below = np.zeros(len(g.u), np.int64), np.zeros(len(g.u), np.int64)
+        code3 = np.zeros(len(g.w), np.int64)
+        for k, pair, _, triple in g.runs():
+            code2[pair], below[pair], code3[triple] = answers[k]
+        p2 = np.where(code2 > 0, 10 ** (-(code2 - 1) / STEP), mass2 * base(g.c[g.v]) / (g.c[g.u] + mass2))
+        pair = g.pair_of[g.back]
+        # a token's own pair begins the next triple; that of a text's first word begins its first
+        ends = np.cumsum(g.n)
+        own = p2[np.append(pair[1:], 0)] if len(pair) else p2[:0]
+        p = np.where(code3 > 0, 10 ** (-(code3 - 1) / STEP), 0)[g.back] + 10 ** (-below[pair] / STEP) * own
+        p[ends - 1] = p2[pair[ends - g.n]]
+        sums = lambda x: np.add.reduceat(x, ends - g.n)
+        c = np.where(g.tokens > 0, g.c[g.tokens], 0)
+        c[ends - 1] = g.c[g.v[pair[ends - g.n]]]
+        return pa.table({id_col: payload[0].column(0), "held_out": pa.array(~g.train), "n_tokens": pa.array(g.n), "n_known": pa.array(sums((c > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(g.n), n_all)), "base_score": pa.array(sums(np.log10(base(c)))), "score": pa.array(sums(np.log10(p)))})
+
+    return answered(chunks, ask(chunks, ask_grams, answer_grams), finish, f"{id_col} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
