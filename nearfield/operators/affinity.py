@@ -110,7 +110,9 @@ def _entropy_step(h: np.ndarray, none: np.ndarray, px: float, kind: str, dof: fl
 
 
 def equalize(h: DataFrame, perplexity: float, iterations: int = 100, start: DataFrame | None = None, kind: str = "softmax", dof: float = 1.0, mvr: float = 1.0, scaled_start: bool = True) -> DataFrame:
-    """j, px, entropy. start: j, px to begin with (default: from the distances; scaled_start keeps the first guess positive)."""
+    """j, px, entropy, reached: whether the entropy is the target's within a thousandth; of columns that can't reach it (fewer
+    neighbours than the perplexity, tails too heavy) the last of the iterations is returned. start: j, px to begin with (default:
+    from the distances; scaled_start keeps the first guess positive)."""
     target = math.log(abs(perplexity))
     rows = h.groupBy("j").agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("c")).select("j", F.transform("c", lambda s: s["i"]).alias("is"), F.transform("c", lambda s: s["h"]).alias("hs"))
     rows = rows.join(start.select("j", F.col("px").alias("px0")), "j", "left") if start is not None else rows.withColumn("px0", F.lit(None).cast("double"))
@@ -140,7 +142,7 @@ def equalize(h: DataFrame, perplexity: float, iterations: int = 100, start: Data
     stop = far.where(F.col("worst") < 1e-3 * abs(target)).agg(F.min("t").alias("t")).first().t
     t = F.lit(iterations - 1 if stop is None else stop)
     pick = lambda c: F.get(c, F.least(t, F.size(c) - 1))
-    return paths.select("j", pick("pxs").alias("px"), pick("es").alias("entropy"))
+    return paths.select("j", pick("pxs").alias("px"), pick("es").alias("entropy"), (F.abs(pick("es") - target) < 1e-3 * abs(target)).alias("reached"))
 
 
 def levels(n: int, perplexity: float, power: float = 1.0) -> list[float]:
@@ -151,11 +153,11 @@ def levels(n: int, perplexity: float, power: float = 1.0) -> list[float]:
 
 
 def multi_equalize(h: DataFrame, n: int, perplexity: float, multi: bool = True, power: float = 1.0, kind: str = "softmax", dof: float = 1.0, mvr: float = 1.0) -> DataFrame:
-    """scale (1: the coarsest), perplexity, j, px, entropy; each scale starts from the one before, and from the third on from its last ratio."""
+    """scale (1: the coarsest), perplexity, j, px, entropy, reached; each scale starts from the one before, and from the third on from its last ratio."""
     out, before, start = None, None, None
     for k, p in enumerate(levels(n, perplexity, power) if multi else [max(2.0, abs(perplexity))]):
         got = equalize(h, p, start=start, kind=kind, dof=dof, mvr=mvr)
-        rows = got.select(F.lit(k + 1).alias("scale"), F.lit(float(p)).alias("perplexity"), "j", "px", "entropy")
+        rows = got.select(F.lit(k + 1).alias("scale"), F.lit(float(p)).alias("perplexity"), "j", "px", "entropy", "reached")
         out = rows if out is None else out.unionByName(rows)
         if before is not None and k >= 2:
             start = got.select("j", "px").join(before.select("j", F.col("px").alias("b")), "j").select("j", (F.col("px") * F.col("px") / F.col("b")).alias("px"))

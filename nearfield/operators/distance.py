@@ -1,19 +1,22 @@
 """All-pairs distances, neighbourhood graphs and orders.
 
-Pairs are made in blocks: points are dealt into blocks by hash, packed to one row a block, and every pair of blocks is one
-NumPy task (differences summed in order of dimension). Nothing is broadcast, and no pair of rows is shuffled to be made;
-nearest-neighbour and radius graphs filter inside the block task, so only what is kept leaves it.
+Pairs are made in blocks: points are dealt into blocks by hash and packed to one row a block; an equi-join on block numbers
+makes each unordered pair of blocks once, and a NumPy task emits both directions (differences summed in order of dimension).
+Nothing is broadcast, and no pair of rows is shuffled to be made; nearest-neighbour and radius graphs filter inside the block
+task, so only what is kept leaves it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import ranked
+
 BLOCK_ROWS = 512
 
 
@@ -26,48 +29,87 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.array(rows, float).reshape(len(rows), -1)
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Of a column of lists of one length."""
+    rows = column.combine_chunks()
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
 
 
-def block_pairs(left: DataFrame, right: DataFrame, columns: list[str], emit: Callable, spec: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """emit(ids of left, ids of right, one squared-distance matrix for each column) -> pa.Table, for each pair of blocks."""
-    n = max(left.count(), right.count())
-    blocks = max(1, -(-n // block_rows))
-    parts = F.sequence(F.lit(0), F.lit(blocks - 1))
-    a = left.select("id", *columns, (F.pmod(F.xxhash64("id"), F.lit(blocks))).cast("int").alias("bj"), F.explode(parts).alias("bi"))
-    # new names: with the same ones on both sides, a table grouped with itself loses the right side's columns
-    b = right.select(F.col("id").alias("r_id"), *[F.col(c).alias(f"r_{c}") for c in columns], (F.pmod(F.xxhash64("id"), F.lit(blocks))).cast("int").alias("r_bi"), F.explode(parts).alias("r_bj"))
+def packed(points: DataFrame, columns: list[str], blocks: int) -> DataFrame:
+    """A row a block: blk, ids and each column, as bytes of whole numbers and doubles, in order of id."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        return pa.table({"blk": [key[0].as_py()], "ids": [t["id"].to_numpy().astype(np.int64).tobytes()], **{c: [matrix(t[c]).tobytes()] for c in columns}})
 
-    empty = emit(np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros((0, 0))] * len(columns))
+    blk = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long").alias("blk")
+    return points.select(blk, "id", *columns).groupBy("blk").applyInArrow(run, ", ".join(["blk long, ids binary", *(f"{c} binary" for c in columns)]))
 
-    def run(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
-        return emit(x["id"].to_numpy(), y["r_id"].to_numpy(), *[squared(_matrix(x[c]), _matrix(y[f"r_{c}"])) for c in columns]) if x.num_rows and y.num_rows else empty
 
-    return a.groupBy("bj", "bi").cogroup(b.groupBy("r_bj", "r_bi")).applyInArrow(run, spec)
+def unpacked(ids: bytes, column: bytes | None = None) -> np.ndarray:
+    out = np.frombuffer(ids, np.int64)
+    return out if column is None else np.frombuffer(column, float).reshape(len(out), -1)
 
 
-def pairwise_sq(points: DataFrame, landmarks: DataFrame | None = None, column: str = "x", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """j (source; a landmark if given), i, d2 of all pairs, those with themselves included."""
+def block_pairs(left: DataFrame, right: DataFrame, columns: list[str], emit: Callable, spec: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """emit(ids of left, ids of right, one squared-distance matrix for each column) -> pa.Table, for each pair of blocks. Where
+    both are the same table, a pair of blocks is worked out once and emitted in both directions."""
+    same = left is right
+    blocks = max(1, -(-max(left.count(), 0 if same else right.count()) // block_rows))
+    partners = lambda low, high: F.explode(F.sequence(low, high))
+    zero, last, own = F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"), F.col("blk")
+    a = packed(left, columns, blocks).select(own.alias("bj"), partners(own if same else zero, last).alias("bi"), F.struct("ids", *columns).alias("a"))
+    b = packed(right, columns, blocks).select(partners(zero, own if same else last).alias("bj"), own.alias("bi"), F.struct("ids", *columns).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bj, bi, x, y in zip(*batch.columns, strict=True):
+                x, y = x.as_py(), y.as_py()
+                j, i = unpacked(x["ids"]), unpacked(y["ids"])
+                d = [squared(unpacked(x["ids"], x[c]), unpacked(y["ids"], y[c])) for c in columns]
+                yield from emit(j, i, *d).combine_chunks().to_batches()
+                if same and bj.as_py() != bi.as_py():
+                    yield from emit(i, j, *(m.T for m in d)).combine_chunks().to_batches()
+
+    return a.join(b, ["bj", "bi"]).select("bj", "bi", "a", "b").mapInArrow(run, spec)
+
+
+def pairwise_sq(points: DataFrame, landmarks: DataFrame | None = None, column: str = "x", block_rows: int = BLOCK_ROWS, below: bool = False) -> DataFrame:
+    """j (source; a landmark if given), i, d2 of all pairs, those with themselves included. below: only those with j < i."""
 
     def emit(j, i, d2):
+        if below:
+            a, b = np.nonzero(j[:, None] < i[None, :])
+            return pa.table({"j": j[a], "i": i[b], "d2": d2[a, b]})
         return pa.table({"j": np.repeat(j, len(i)), "i": np.tile(i, len(j)), "d2": d2.ravel()})
 
     return block_pairs(points if landmarks is None else landmarks, points, [column], emit, "j long, i long, d2 double", block_rows)
 
 
-def pairwise_two(points: DataFrame, sources: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """j, i, dx, dy: squared distances in both spaces, of points with columns x and y."""
+def against_all(points: DataFrame, sources: DataFrame, columns: list[str], emit: Callable, spec: str, cells: int = 4_000_000) -> DataFrame:
+    """emit(ids of a block of sources, ids of all points, one squared-distance matrix for each column) -> pa.Table. For what
+    needs a source's whole row: points are in order of id, and a task holds about ``cells`` distances a column."""
+    n = points.count()
+    blocks = max(1, -(-sources.count() * max(n, 1) // cells))
+    whole = packed(points, columns, max(1, -(-n // 4096))).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("blk"), F.col("ids").alias("r_ids"), *[F.col(c).alias(f"r_{c}") for c in columns])
 
-    def emit(j, i, dx, dy):
-        return pa.table({"j": np.repeat(j, len(i)), "i": np.tile(i, len(j)), "dx": dx.ravel(), "dy": dy.ravel()})
+    def run(key: tuple, x: pa.Table, y: pa.Table) -> Iterator[pa.Table] | pa.Table:
+        nothing = emit(np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros((0, 0))] * len(columns))
+        if not x.num_rows or not y.num_rows:
+            return nothing
+        mine, ids = unpacked(x["ids"][0].as_py()), np.concatenate([unpacked(r.as_py()) for r in y["r_ids"]])
+        order = np.argsort(ids, kind="stable")
+        d = []
+        for c in columns:
+            rows = np.concatenate([unpacked(i.as_py(), v.as_py()) for i, v in zip(y["r_ids"], y[f"r_{c}"], strict=True)])[order]
+            d.append(squared(unpacked(x["ids"][0].as_py(), x[c][0].as_py()), rows))
+        return emit(mine, ids[order], *d)
 
-    return block_pairs(points if sources is None else sources, points, ["x", "y"], emit, "j long, i long, dx double, dy double", block_rows)
+    return packed(sources, columns, blocks).groupBy("blk").cogroup(whole.groupBy("blk")).applyInArrow(run, spec)
 
 
-def pairwise_euclid(points: DataFrame, landmarks: DataFrame | None = None) -> DataFrame:
-    return pairwise_sq(points, landmarks).select("j", "i", F.sqrt(F.greatest("d2", F.lit(0.0))).alias("d"))
+def pairwise_euclid(points: DataFrame, landmarks: DataFrame | None = None, below: bool = False) -> DataFrame:
+    return pairwise_sq(points, landmarks, below=below).select("j", "i", F.sqrt(F.greatest("d2", F.lit(0.0))).alias("d"))
 
 
 def isdist(dist: DataFrame, eps: float = 2.2e-16) -> DataFrame:
@@ -115,29 +157,50 @@ def complete_graph(points: DataFrame) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("j").orderBy("d", "i")))
 
 
+def circumspheres(corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and squared radii of simplices (m, dim + 1, dim); flat ones have an infinite radius."""
+    base, sides = corners[:, 0], corners[:, 1:] - corners[:, :1]
+    right = (sides**2).sum(2) / 2
+    flat = np.abs(np.linalg.det(sides)) < 1e-300
+    sides = np.where(flat[:, None, None], np.eye(sides.shape[1]), sides)
+    off = np.linalg.solve(sides, right[..., None])[..., 0]
+    return base + off, np.where(flat, np.inf, (off**2).sum(1))
+
+
+def delaunay_edges(x: np.ndarray) -> np.ndarray:
+    """Pairs (a < b) of rows that the Delaunay triangulation joins, in two or three dimensions: points are put in one by one,
+    and the hole of the simplices whose sphere holds a point is filled with simplices to it."""
+    n, dim = x.shape
+    middle, span = x.mean(0), max(float(np.ptp(x, axis=0).max()), 1e-12)
+    outer = 1e4 * span * np.concatenate([-np.ones((1, dim)), (dim + 1) * np.eye(dim) - 1])
+    all_ = np.concatenate([x - middle, outer])
+    simplex = np.arange(n, n + dim + 1)[None]
+    center, r2 = circumspheres(all_[simplex])
+    faces = [[c for c in range(dim + 1) if c != k] for k in range(dim + 1)]
+    for k in range(n):
+        inside = ((center - all_[k]) ** 2).sum(1) < r2 * (1 - 1e-13)
+        sides = np.sort(simplex[inside][:, faces].reshape(-1, dim), axis=1)
+        sides, many = np.unique(sides, axis=0, return_counts=True)
+        new = np.concatenate([sides[many == 1], np.full((int((many == 1).sum()), 1), k)], axis=1)
+        c, r = circumspheres(all_[new])
+        simplex, center, r2 = np.concatenate([simplex[~inside], new]), np.concatenate([center[~inside], c]), np.concatenate([r2[~inside], r])
+    pairs = np.concatenate([np.sort(simplex[:, [a, b]], axis=1) for a in range(dim + 1) for b in range(a)])
+    return np.unique(pairs[(pairs < n).all(1)], axis=0)
+
+
 def delaunay_graph(points: DataFrame) -> DataFrame:
-    """In 2-D the Delaunay triangulation (one task: an edge is one if some circle through both ends is empty); in more
-    dimensions the substitute, nearest neighbours with k = 2 (dim + 1)."""
+    """In two and three dimensions the Delaunay triangulation (one task); in others the substitute, nearest neighbours with
+    k = 2 (dim + 1)."""
     dim = points.agg(F.max(F.size("x"))).first()[0] or 0
-    if dim != 2:
+    if dim not in (2, 3):
         return knn_graph(points, 2 * (dim + 1)).select("j", "i", "d")
 
     def run(t: pa.Table) -> pa.Table:
-        ids, x = t["id"].to_numpy(), _matrix(t["x"])
-        out = []
-        for a in range(len(ids)):
-            for b in range(a + 1, len(ids)):
-                u, v = x[a], x[b]
-                mid, d = (u + v) / 2, v - u
-                normal = np.array([-d[1], d[0]])
-                rest = np.delete(x, [a, b], 0) - mid
-                # centre mid + t * normal; a point outside needs (rest . rest - |d|^2 / 4) >= 2 t (rest . normal)
-                side, gap = 2 * rest @ normal, (rest * rest).sum(1) - d @ d / 4
-                lo = np.max(gap[side < 0] / side[side < 0], initial=-np.inf)
-                hi = np.min(gap[side > 0] / side[side > 0], initial=np.inf)
-                if lo <= hi and (gap[side == 0] >= 0).all():
-                    out += [(ids[a], ids[b], float(np.sqrt(d @ d))), (ids[b], ids[a], float(np.sqrt(d @ d)))]
-        return pa.table({k: pa.array([o[n] for o in out], kind) for n, (k, kind) in enumerate((("j", pa.int64()), ("i", pa.int64()), ("d", pa.float64())))})
+        t = t.sort_by("id")
+        ids, x = t["id"].to_numpy(), matrix(t["x"])
+        a, b = delaunay_edges(x).T
+        d = np.sqrt(((x[a] - x[b]) ** 2).sum(1))
+        return pa.table({"j": np.concatenate([ids[a], ids[b]]), "i": np.concatenate([ids[b], ids[a]]), "d": np.concatenate([d, d])})
 
     return points.select("id", "x").groupBy(F.lit(1).alias("g")).applyInArrow(run, "j long, i long, d double")
 
@@ -165,4 +228,4 @@ def gravity_center(points: DataFrame) -> DataFrame:
 
 def canonical_order(points: DataFrame) -> DataFrame:
     """id, pos (from 1) by sum of squared distances."""
-    return distance_sums(points).select("id", F.row_number().over(Window.orderBy(F.round("s", 9), "id")).alias("pos"))
+    return ranked(distance_sums(points).select("id", F.round("s", 9).alias("s")), ["s", "id"], "pos").select("id", "pos")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import center, dims
+from ..plans.lineage import ranked
 
 
 def pca(points: DataFrame, k: int) -> DataFrame:
@@ -70,16 +71,9 @@ def pcoa(dist: DataFrame, k: int | None = None, share: float = 0.999, whiten: bo
     return double_center(dist).groupBy(F.lit(1).alias("g")).applyInArrow(run, "id long, y array<double>")
 
 
-def explained(dist: DataFrame, share: float = 0.999) -> int:
-    """How many components make up the share."""
-    return pcoa(dist, None, share).select(F.size("y").alias("n")).first().n
-
-
 def distance_init(dist: DataFrame, dim: int, whiten: bool = False) -> DataFrame:
     """Canonically ordered classical scaling: id, pos, y."""
-    from pyspark.sql import Window
-
-    order = dist.groupBy(F.col("j").alias("id")).agg(F.round(F.sum("d2"), 9).alias("s")).select("id", F.row_number().over(Window.orderBy("s", "id")).alias("pos"))
+    order = ranked(dist.groupBy(F.col("j").alias("id")).agg(F.round(F.sum("d2"), 9).alias("s")), ["s", "id"], "pos").select("id", "pos")
     return order.join(pcoa(dist, dim, whiten=whiten), "id")
 
 

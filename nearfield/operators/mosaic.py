@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import ranked
+
 
 def cells(points: DataFrame, columns: int, rows: int) -> DataFrame:
     """Each point (id, y) with the cells (h, v from 1) that hold it. Cells have both edges, so a point on an inner edge is in
@@ -33,9 +35,8 @@ def means(points: DataFrame, columns: int, rows: int) -> DataFrame:
 
 def clipped_nearest(dist: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """j, nn: the distance to the nearest other point (0 and less don't count), held between two order statistics."""
-    near = dist.groupBy("j").agg(F.min(F.when(F.col("d") <= 0, 1e100).otherwise(F.col("d"))).alias("nn"))
-    w = Window.orderBy("nn", "j")
+    near = ranked(dist.groupBy("j").agg(F.min(F.when(F.col("d") <= 0, 1e100).otherwise(F.col("d"))).alias("nn")), ["nn", "j"], "r")
     n = near.count()
     lo, hi = max(1, -(-int(round(low * n * 1000)) // 1000)), max(1, int(high * n))
-    ends = near.withColumn("r", F.row_number().over(w)).agg(F.max(F.when(F.col("r") == lo, F.col("nn"))).alias("lo"), F.max(F.when(F.col("r") == hi, F.col("nn"))).alias("hi"))
+    ends = near.agg(F.max(F.when(F.col("r") == lo, F.col("nn"))).alias("lo"), F.max(F.when(F.col("r") == hi, F.col("nn"))).alias("hi"))
     return near.join(F.broadcast(ends)).select("j", F.least(F.greatest("nn", "lo"), "hi").alias("nn"))

@@ -6,10 +6,12 @@ high-dimensional rank is the larger, x the others; B = x - n.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .distance import pairwise_two
+from .distance import against_all
 
 
 def ranks(dist: DataFrame, d: str = "d2", name: str = "k") -> DataFrame:
@@ -17,13 +19,44 @@ def ranks(dist: DataFrame, d: str = "d2", name: str = "k") -> DataFrame:
     return dist.select("j", "i", (F.row_number().over(Window.partitionBy("j").orderBy(d, "i")) - 1).alias(name))
 
 
+def both_ranks(dx: np.ndarray, dy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of distances in rows (columns in order of id): each entry's ranks in both spaces, where neither is 0."""
+    k, l = (np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1, kind="stable").ravel() for d in (dx, dy))  # noqa: E741
+    some = (k > 0) & (l > 0)
+    return k[some], l[some]
+
+
 def coranking(points: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """k, l, c of points (id, x, y): pairs by both ranks, rank 0 left out. Both rankings share one shuffle by j. sources:
-    the landmarks whose ranks count (default: all)."""
-    d = pairwise_two(points, sources)
-    by = Window.partitionBy("j")
-    both = d.select((F.row_number().over(by.orderBy("dx", "i")) - 1).alias("k"), (F.row_number().over(by.orderBy("dy", "i")) - 1).alias("l"))
-    return both.where("k > 0 and l > 0").groupBy("k", "l").agg(F.count(F.lit(1)).alias("c"))
+    """k, l, c of points (id, x, y): pairs by both ranks, rank 0 left out. A source's ranks are made in the task that holds its
+    row, and counts leave it. sources: the landmarks whose ranks count (default: all)."""
+
+    def emit(j, i, dx, dy):
+        k, l = both_ranks(dx, dy)  # noqa: E741
+        at, c = np.unique(k * max(1, len(i)) + l, return_counts=True)
+        return pa.table({"k": at // max(1, len(i)), "l": at % max(1, len(i)), "c": c})
+
+    parts = against_all(points, points if sources is None else sources, ["x", "y"], emit, "k long, l long, c long")
+    return parts.groupBy("k", "l").agg(F.sum("c").alias("c"))
+
+
+def rank_sums(points: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """K, n, x, p: how many pairs have K as the larger of their ranks, by which of them it is (neither: p). What curves need of
+    the co-ranking matrix, with one row a K and task in place of its entries."""
+
+    def emit(j, i, dx, dy):
+        k, l = both_ranks(dx, dy)  # noqa: E741
+        top = np.maximum(k, l)
+        at = lambda mask: np.bincount(top[mask], minlength=max(1, len(i)))[1:]
+        return pa.table({"K": np.arange(1, max(1, len(i))), "n": at(k > l), "x": at(l > k), "p": at(k == l)})
+
+    parts = against_all(points, points if sources is None else sources, ["x", "y"], emit, "K long, n long, x long, p long")
+    return parts.groupBy("K").agg(*(F.sum(c).alias(c) for c in "nxp"))
+
+
+def per_rank(corank: DataFrame) -> DataFrame:
+    """The same of a co-ranking matrix."""
+    when = lambda c: F.sum(F.when(c, F.col("c")).otherwise(0))
+    return corank.groupBy(F.greatest("k", "l").cast("long").alias("K")).agg(when(F.col("k") > F.col("l")).alias("n"), when(F.col("l") > F.col("k")).alias("x"), when(F.col("l") == F.col("k")).alias("p"))
 
 
 def coranking_check(corank: DataFrame, columns: int) -> DataFrame:
@@ -32,21 +65,18 @@ def coranking_check(corank: DataFrame, columns: int) -> DataFrame:
     return sums.agg(F.sum("s").alias("total"), F.min("s").alias("least"), F.max("s").alias("largest")).withColumn("valid", (F.col("least") == F.col("largest")) & (F.col("largest") <= columns))
 
 
-def trusion_counts(corank: DataFrame, n: int) -> DataFrame:
-    """K (1 .. n - 1) and the running counts n_count, x_count, p_count."""
-    spine = corank.sparkSession.range(1, n).withColumnRenamed("id", "K")
-    per = corank.groupBy(F.greatest("k", "l").cast("long").alias("K")).agg(
-        F.sum(F.when(F.col("k") > F.col("l"), F.col("c")).otherwise(0)).alias("n"), F.sum(F.when(F.col("l") > F.col("k"), F.col("c")).otherwise(0)).alias("x"), F.sum(F.when(F.col("l") == F.col("k"), F.col("c")).otherwise(0)).alias("p")
-    )
+def trusion_counts(counts: DataFrame, n: int) -> DataFrame:
+    """K (1 .. n - 1) and the running counts n_count, x_count, p_count, of a co-ranking matrix or of rank_sums."""
+    spine = counts.sparkSession.range(1, n).withColumnRenamed("id", "K")
     run = Window.orderBy("K").rowsBetween(Window.unboundedPreceding, 0)  # one row for each K, not for each pair
-    full = spine.join(per, "K", "left").fillna(0)
+    full = spine.join(counts if "K" in counts.columns else per_rank(counts), "K", "left").fillna(0)
     return full.select("K", *[F.sum(c).over(run).alias(f"{c}_count") for c in ("n", "x", "p")])
 
 
-def rates(corank: DataFrame, n: int, m: int | None = None) -> DataFrame:
+def rates(counts: DataFrame, n: int, m: int | None = None) -> DataFrame:
     """K, n, x, p, b: counts over m * K (m sources, default n), and b = K / (n - 1)."""
     m = m or n
-    c = trusion_counts(corank, n)
+    c = trusion_counts(counts, n)
     return c.select("K", *[(F.col(f"{k}_count") / (F.col("K") * m)).alias(k) for k in ("n", "x", "p")], (F.col("K") / (n - 1)).alias("b"))
 
 
@@ -96,3 +126,23 @@ def stars(curve: DataFrame) -> DataFrame:
         (F.sum((methods + 1 - F.col("tr")) / F.col("K")) / w).alias("average_rank"),
         (F.sum((F.col("tr") - 1) * F.lit(5.0 / max(1, methods - 1)) / F.col("K")) / w).alias("stars"),
     )
+
+
+#: Above so many points, as many landmarks stand for all of them.
+LANDMARKS = 6144
+
+
+def scores(views: DataFrame, embeddings: DataFrame, most: int = LANDMARKS, seed: int = 0) -> DataFrame:
+    """view, method, sample, K, q, bb, lcmc, r of every embedding (method, sample, id, y) against every view (view, id, x). All
+    points are sources up to ``most``; of more, as many with the least hash of the id. Views, methods and samples are few."""
+    out = None
+    for view in sorted(r.view for r in views.select("view").distinct().collect()):
+        x = views.where(F.col("view") == view).select("id", "x")
+        n = x.count()
+        for method, sample in sorted((r.method, r["sample"]) for r in embeddings.select("method", "sample").distinct().collect()):
+            both = x.join(embeddings.where((F.col("method") == method) & (F.col("sample") == sample)).select("id", "y"), "id")
+            some = both if n <= most else both.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most)
+            curve = curves(rates(rank_sums(both, None if n <= most else some), n, min(n, most)))
+            curve = curve.select(F.lit(view).alias("view"), F.lit(method).alias("method"), F.lit(sample).alias("sample"), *curve.columns)
+            out = curve if out is None else out.unionByName(curve)
+    return out

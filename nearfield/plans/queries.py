@@ -56,12 +56,12 @@ def r6(c, name: str):
 
 @query(f"WITH {PAIRS} SELECT j, i, round(d2, 6) AS d2 FROM d WHERE j < i")
 def pairwise_sq(spark, sf_dir):
-    return D.pairwise_sq(load(spark, sf_dir)).where("j < i").select("j", "i", r6("d2", "d2"))
+    return D.pairwise_sq(load(spark, sf_dir), below=True).select("j", "i", r6("d2", "d2"))
 
 
 @query(f"WITH {PAIRS} SELECT j, i, round(sqrt(d2), 6) AS d FROM d WHERE j < i")
 def pairwise_euclid(spark, sf_dir):
-    return D.pairwise_euclid(load(spark, sf_dir)).where("j < i").select("j", "i", r6("d", "d"))
+    return D.pairwise_euclid(load(spark, sf_dir), below=True).select("j", "i", r6("d", "d"))
 
 
 @query(f"WITH {PAIRS} SELECT j, i, round(d2, 6) AS d2 FROM d WHERE j % 7 = 0")
@@ -100,6 +100,21 @@ def delaunay_substitute(spark, sf_dir):
     return D.delaunay_graph(load(spark, sf_dir)).groupBy("j").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {POINTS}, e AS (SELECT a.id AS j, b.id AS i, a.x[1] AS ax, a.x[2] AS ay, b.x[1] - a.x[1] AS dx, b.x[2] - a.x[2] AS dy FROM p a JOIN p b ON a.id < b.id),
+    t AS (SELECT e.*, 2 * ((c.x[1] - ax - dx / 2) * -dy + (c.x[2] - ay - dy / 2) * dx) AS side, (c.x[1] - ax - dx / 2) ** 2 + (c.x[2] - ay - dy / 2) ** 2 - (dx * dx + dy * dy) / 4 AS gap FROM e JOIN p c ON c.id <> j AND c.id <> i),
+    k AS (SELECT j, i, sqrt(any_value(dx * dx + dy * dy)) AS d FROM t GROUP BY j, i HAVING coalesce(max(gap / side) FILTER (side < 0), -1e300) <= coalesce(min(gap / side) FILTER (side > 0), 1e300))
+    SELECT j, i, round(d, 6) AS d FROM k""")
+def delaunay_plane(spark, sf_dir):
+    p = load(spark, sf_dir).select("id", F.slice("x", 1, 2).alias("x"))
+    return D.delaunay_graph(p).where("j < i").select("j", "i", r6("d", "d"))
+
+
+@query()  # too many spheres for SQL: tested against all of them on a small set
+def delaunay_space(spark, sf_dir):
+    p = load(spark, sf_dir).select("id", F.slice("x", 1, 3).alias("x"))
+    return D.delaunay_graph(p).select("j", "i", r6("d", "d"))
+
+
 @query(f"WITH {PAIRS}, s AS (SELECT j, round(sum(d2), 9) AS s FROM d GROUP BY j) SELECT arg_min(j, (s, j)) AS center_id FROM s")
 def gravity_center(spark, sf_dir):
     return D.gravity_center(load(spark, sf_dir))
@@ -117,10 +132,10 @@ def planar(points: DataFrame, first: int) -> DataFrame:
     return points.withColumn("y", F.slice("x", first, 2))
 
 
-def corank_of(spark, sf_dir, first: int = 1, landmarks: bool = False) -> tuple[DataFrame, int, int]:
+def corank_of(spark, sf_dir, first: int = 1, landmarks: bool = False, make=Q.coranking) -> tuple[DataFrame, int, int]:
     p = planar(load(spark, sf_dir), first)
     s = p.where("id % 7 = 0") if landmarks else p
-    return Q.coranking(p, s if landmarks else None), p.count(), s.count()
+    return make(p, s if landmarks else None), p.count(), s.count()
 
 
 def corank_sql(first: int = 1, where: str = "true", name: str = "c", rows: str = "rk") -> str:
@@ -177,7 +192,7 @@ def nx_rates_landmark(spark, sf_dir):
 
 @query(f"WITH {PAIRS}, {corank_sql()}, {counts_sql()}, {curves_sql()} SELECT K, round(q, 6) + 0.0 AS q, round(bb, 6) + 0.0 AS bb, round(lcmc, 6) + 0.0 AS lcmc, round(r, 6) + 0.0 AS r FROM cv")
 def quality_curves(spark, sf_dir):
-    c, n, m = corank_of(spark, sf_dir)
+    c, n, m = corank_of(spark, sf_dir, make=Q.rank_sums)
     return Q.curves(Q.rates(c, n, m)).select("K", *[r6(x, x) for x in ("q", "bb", "lcmc", "r")])
 
 
@@ -185,7 +200,7 @@ def all_curves(spark, sf_dir) -> DataFrame:
     """method, K, q, bb, lcmc, r of three trivial embeddings."""
     out = None
     for method, first in EMBEDDINGS.items():
-        c, n, m = corank_of(spark, sf_dir, first)
+        c, n, m = corank_of(spark, sf_dir, first, make=Q.rank_sums)
         one = Q.curves(Q.rates(c, n, m)).withColumn("method", F.lit(method))
         out = one if out is None else out.unionByName(one)
     return written(out, "curves")
@@ -199,6 +214,16 @@ def quality_auc(spark, sf_dir):
     return Q.summary(all_curves(spark, sf_dir), ["method"]).select("method", *[r6(c, c) for c in ("q_auc", "b_auc", "r_auc")], F.round("k_avg", 3).alias("k_avg"))
 
 
+@query(f"WITH {ALL_CURVES} SELECT 'points' AS view, method, CAST(1 AS INTEGER) AS sample, K, round(q, 6) + 0.0 AS q, round(bb, 6) + 0.0 AS bb, round(lcmc, 6) + 0.0 AS lcmc, round(r, 6) + 0.0 AS r FROM a")
+def quality_scores(spark, sf_dir):
+    p, y = load(spark, sf_dir), None
+    for method, first in EMBEDDINGS.items():
+        one = p.select(F.lit(method).alias("method"), F.lit(1).alias("sample"), "id", F.slice("x", first, 2).alias("y"))
+        y = one if y is None else y.unionByName(one)
+    got = Q.scores(p.select(F.lit("points").alias("view"), "id", "x"), y)
+    return got.select("view", "method", "sample", "K", *[r6(x, x) for x in ("q", "bb", "lcmc", "r")])
+
+
 @query(f"WITH {ALL_CURVES}, m AS (SELECT K, avg(r) AS mean, min(r) AS least, max(r) AS largest FROM a GROUP BY K) SELECT K, round(mean, 6) + 0.0 AS mean, round(least, 6) + 0.0 AS least, round(largest, 6) + 0.0 AS largest FROM m")
 def quality_over_samples(spark, sf_dir):
     rows = all_curves(spark, sf_dir).withColumn("view", F.lit("v")).withColumnRenamed("method", "sample").withColumn("method", F.lit("trivial"))
@@ -223,7 +248,7 @@ def method_stars(spark, sf_dir):
 DEPTH = 5
 
 
-def tree_sql(kind: str, select: str, depth: int = DEPTH) -> str:
+def tree_sql(kind: str, select: str, depth: int = DEPTH, farthest: tuple[int, ...] = ()) -> str:
     at = (lambda v, w: f"[{v}[{w}]]") if kind == "kd" else (lambda v, w: v)
     parts = [POINTS, "m0 AS MATERIALIZED (SELECT CAST(2 AS BIGINT) AS node, id, x FROM p)"]
     for k in range(depth + 1):
@@ -232,7 +257,8 @@ def tree_sql(kind: str, select: str, depth: int = DEPTH) -> str:
             f"c{k} AS MATERIALIZED (SELECT node, list(m ORDER BY d) AS m, (list(d ORDER BY sd DESC, d))[1] AS w FROM s{k} GROUP BY node)",
             f"g{k} AS MATERIALIZED (SELECT node, (list({{'id': id, 'x': x}} ORDER BY round({SQ.format(a='x', b='c.m')}, 12), id))[1] AS o, any_value(c.w) AS w FROM m{k} JOIN c{k} c USING (node) GROUP BY node)",
             f"v{k} AS MATERIALIZED (SELECT node, (list({{'id': id, 'x': x, 'e': e}} ORDER BY e DESC, id))[1] AS v, any_value(o) AS o, any_value(w) AS w FROM (SELECT node, id, x, o, w, {SQ.format(a=at('x', 'w'), b=at('o.x', 'w'))} AS e FROM m{k} JOIN g{k} USING (node)) GROUP BY node)",
-            f"r{k} AS MATERIALIZED (SELECT node, id, x, o.id AS center_id, v.id AS vp_id, v.e AS maxd, w, d2, row_number() OVER (PARTITION BY node ORDER BY d2, id) AS rn, count(*) OVER (PARTITION BY node) AS n FROM (SELECT m.node, id, x, o, v, w, {SQ.format(a=at('x', 'w'), b=at('v.x', 'w'))} AS d2 FROM m{k} m JOIN v{k} USING (node)))",
+            f"f{k} AS MATERIALIZED (SELECT node, (list({{'id': id, 'x': x, 'e': e}} ORDER BY e DESC, id))[1] AS v, any_value(o) AS o, any_value(w) AS w FROM (SELECT node, id, x, o, w, {SQ.format(a=at('x', 'w'), b=at('v.x', 'w'))} AS e FROM m{k} JOIN v{k} USING (node)) GROUP BY node)",
+            f"r{k} AS MATERIALIZED (SELECT node, id, x, o.id AS center_id, v.id AS vp_id, v.e AS maxd, w, d2, row_number() OVER (PARTITION BY node ORDER BY d2, id) AS rn, count(*) OVER (PARTITION BY node) AS n FROM (SELECT m.node, id, x, o, v, w, {SQ.format(a=at('x', 'w'), b=at('v.x', 'w'))} AS d2 FROM m{k} m JOIN {'f' if k in farthest else 'v'}{k} USING (node)))",
             f"m{k + 1} AS MATERIALIZED (SELECT CASE WHEN rn <= ceil(n / 2) THEN 2 * node - 1 ELSE 2 * node END AS node, id, x FROM r{k})",
         ]
     every = " UNION ALL ".join(f"SELECT {k} AS level, * FROM r{k}" for k in range(depth + 1))
@@ -265,10 +291,10 @@ def tree_prototypes(spark, sf_dir):
     return T.prototypes(T.tree(load(spark, sf_dir), "kd", DEPTH)[1])
 
 
-@query(f"WITH {POINTS}, l AS (SELECT unnest(range(0, {DEPTH + 1})) AS level) SELECT CAST(level AS INTEGER) AS level, {N} AS n, CAST(least(2 ** level, {N}) AS BIGINT) AS nodes FROM l")
+@query(tree_sql("vp", "SELECT level, node, id, vp_id FROM e", farthest=(0, 2, 4)))
 def tree_farthest_vantage(spark, sf_dir):
-    members = T.tree(load(spark, sf_dir), "vp", DEPTH, farthest_levels=(0, 2, 4))[0]
-    return members.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("node").alias("nodes"))
+    members, nodes = T.tree(load(spark, sf_dir), "vp", DEPTH, farthest_levels=(0, 2, 4))
+    return members.join(nodes.select("level", "node", "vp_id"), ["level", "node"]).select("level", "node", "id", "vp_id")
 
 
 # To the leaves of one or two points, as the reference builds them. Unrolled SQL would grow with the table, so none is given.
@@ -340,16 +366,37 @@ def sym_affinity(spark, sf_dir):
     return A.symmetrized(A.softmax(halves(spark, sf_dir), 20), n).where("j < i").select("j", "i", r6(F.col("p") * n * n, "pn"))
 
 
-@query(f"WITH {POINTS} SELECT id AS j, true AS positive, true AS within FROM p")
+def newton_sql(first: str, log_similarity: str, alone: str, slope: str, target: float | str, steps: int) -> str:
+    """px of each j when all columns are within the tolerance: as many steps unrolled as are needed at most."""
+    parts = [PAIRS, f"h AS MATERIALIZED (SELECT j, i, d2 / 2 AS h, {alone} AS alone FROM d)", f"n0 AS MATERIALIZED (SELECT j, {first} AS px FROM h GROUP BY j)"]
+    for k in range(steps):
+        parts += [
+            f"l{k} AS (SELECT j, px, alone, {log_similarity} AS l, {slope} AS g FROM h JOIN n{k} USING (j))",
+            f"s{k} AS (SELECT j, px, g, CASE WHEN alone THEN -746.0 ELSE l - max(CASE WHEN NOT alone THEN l END) OVER (PARTITION BY j) END AS l FROM l{k})",
+            f"p{k} AS MATERIALIZED (SELECT j, px, g, l - ln(sum(exp(l)) OVER (PARTITION BY j)) AS lp FROM s{k})",
+            f"g{k} AS (SELECT j, sum(exp(lp) * g) AS mean FROM p{k} GROUP BY j)",
+            f"e{k} AS MATERIALIZED (SELECT j, any_value(px) AS px, -sum(exp(lp) * lp) - ln({target}) AS off, sum(exp(lp) * (1 + lp) * (g - mean)) AS slope FROM p{k} JOIN g{k} USING (j) GROUP BY j)",
+            f"n{k + 1} AS MATERIALIZED (SELECT j, px - greatest(-px / 2, least(px / 2, off / slope)) AS px FROM e{k})",
+        ]
+    each = " UNION ALL ".join(f"SELECT {k} AS t, j, px, off FROM e{k}" for k in range(steps))
+    return f"WITH {', '.join(parts)}, every AS ({each}), stop AS (SELECT min(t) AS t FROM (SELECT t, max(abs(off)) AS worst FROM every GROUP BY t) WHERE worst < 1e-3 * ln({target})) SELECT j, round(ln(px), 6) AS log_px, true AS within FROM every JOIN stop USING (t)"
+
+
+def precisions(e: DataFrame, target: float) -> DataFrame:
+    return e.select("j", r6(F.log("px"), "log_px"), (F.abs(F.col("entropy") - math.log(target)) < 1e-3 * math.log(target)).alias("within"))
+
+
+@query(newton_sql(f"1 / ({N} / ({N} - 1) * avg(h) - min(h) FILTER (h > 1e-64))", "-px * h", "h <= 1e-64", "h", 30, 14))
 def equalize_precision(spark, sf_dir):
-    e = A.equalize(halves(spark, sf_dir), 30)
-    return e.select("j", (F.col("px") > 0).alias("positive"), (F.abs(F.col("entropy") - math.log(30)) < 1e-3 * math.log(30)).alias("within"))
+    return precisions(A.equalize(halves(spark, sf_dir), 30), 30)
 
 
-@query(f"WITH {POINTS} SELECT id AS j, true AS positive, true AS within FROM p")
+@query(newton_sql("10 / max(h)", "-ln(1 + 2 * px * h)", "i = j", "2 * h / (1 + 2 * px * h)", f"(0.84 * {N})", 40).replace(SQ.format(a="a.x", b="b.x"), SQ.format(a="a.x[1:2]", b="b.x[1:2]")))
 def equalize_student(spark, sf_dir):
-    e = A.equalize(halves(spark, sf_dir), 60, kind="student", dof=100.0)  # heavy tails can't reach it on such even distances
-    return e.select("j", (F.col("px") > 0).alias("positive"), (F.abs(F.col("entropy") - math.log(60)) < 1e-3 * math.log(60)).alias("within"))
+    # in the plane, where distances are uneven enough for heavy tails of one degree of freedom to reach the target
+    y = load(spark, sf_dir).select("id", F.slice("x", 1, 2).alias("x"))
+    target = 0.84 * y.count()
+    return precisions(A.equalize(A.half_squared(D.pairwise_sq(y)), target, kind="student", dof=1.0), target)
 
 
 @query(f"WITH {POINTS}, k AS (SELECT unnest(range(1, 1 + greatest(1, CAST(round(log2({N} / 30)) AS BIGINT)))) AS k) SELECT CAST(k AS INTEGER) AS scale, {N} AS n, true AS within FROM k")
@@ -359,11 +406,15 @@ def multi_equalize(spark, sf_dir):
     return e.groupBy("scale").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.abs(F.col("entropy") - F.log("perplexity")) < 1e-3 * F.log("perplexity")).alias("within"))
 
 
-@query("SELECT true AS ordered, true AS finite")
+@query(f"""WITH {POINTS}, k AS (SELECT unnest(range(1, 6)) AS scale), r AS (SELECT scale, id, (1 + abs(x[1])) * pow(2, scale * (1 + abs(x[2])) + scale * scale * abs(x[3]) / 9) AS px FROM p, k),
+    g AS (SELECT scale, avg(2 / (log2(nxt) - log2(px))) AS v FROM (SELECT scale, px, lead(px) OVER (PARTITION BY id ORDER BY scale) AS nxt FROM r) WHERE nxt IS NOT NULL GROUP BY scale)
+    SELECT round(max(v) FILTER (scale = 4), 6) AS small, round(max(v), 6) AS mid, round(max(v) FILTER (scale = 1), 6) AS large FROM g""")
 def intrinsic_dim(spark, sf_dir):
-    p = load(spark, sf_dir)
-    d = A.intrinsic_dimension(A.multi_equalize(halves(spark, sf_dir), p.count(), 30))
-    return d.select((F.col("mid") >= F.greatest("small", "large")).alias("ordered"), (F.abs("mid") < float("inf")).alias("finite"))
+    at = lambda k: F.abs(F.get("x", F.lit(k - 1)))
+    s = F.col("scale")
+    prec = load(spark, sf_dir).withColumn("scale", F.explode(F.array(*map(F.lit, range(1, 6))))).select("scale", F.col("id").alias("j"), ((1 + at(1)) * F.pow(F.lit(2.0), s * (1 + at(2)) + s * s * at(3) / 9)).alias("px"))
+    d = A.intrinsic_dimension(prec)
+    return d.select(*[r6(c, c) for c in ("small", "mid", "large")])
 
 
 PLANAR = f"{PAIRS}, dy AS MATERIALIZED (SELECT a.id AS j, b.id AS i, {SQ.format(a='a.x[1:2]', b='b.x[1:2]')} AS d2 FROM p a, p b)"
@@ -375,9 +426,24 @@ def both_softmax(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return A.softmax(halves(spark, sf_dir), 20), A.softmax(A.half_squared(y), 40)
 
 
+#: Each branch of the divergence, written out for its parameters.
+WRITTEN_OUT = {
+    "e0": "pow(ln(q / p), 2) / 2", "hellinger": "2 * abs(q - p)", "e1": "pow(q - p, 2) / 2", "ea": "8 * pow(pow(q, 0.25) - pow(p, 0.25), 2)",
+    "js1_t2": "2 * q * ln(q) + 2 * p * ln(p) - 2 * (p + q) * ln((p + q) / 2)",
+    "jsa_t2": "4 * sqrt(q) * ln(q) + 4 * sqrt(p) * ln(p) - 8 * (sqrt(q) + sqrt(p)) * ln((sqrt(q) + sqrt(p)) / 2)",
+    "isa_t2": "ln(0.7 * sqrt(q) + 0.3 * sqrt(p)) * 2 / 0.105 - ln(q) / 0.15 - ln(p) / 0.35",
+    "ab_t2": "(pow(q, 0.75) / 0.3 + pow(p, 0.75) / 0.7 - pow(0.7 * sqrt(q) + 0.3 * sqrt(p), 1.5) / 0.21) / 0.1875",
+    "gkl1_t1": "q - p + p * ln(p / q)",
+    "gkla_t1": "0.75 * (4 * (sqrt(q) - sqrt(p)) + 2 * sqrt(p) * ln(p / q)) + 0.25 * (4 * (sqrt(p) - sqrt(q)) + 2 * sqrt(q) * ln(q / p))",
+    "glk1_t1": "p - q + q * ln(q / p)",
+    "glkb_t1": "0.75 * (4 * (sqrt(p) - sqrt(q)) + 2 * sqrt(q) * ln(q / p)) + 0.25 * (4 * (sqrt(q) - sqrt(p)) + 2 * sqrt(p) * ln(p / q))",
+    "isa_t1": "0.75 * 4 * (0.5 * ln(q / p) + sqrt(p / q) - 1) + 0.25 * 4 * (0.5 * ln(p / q) + sqrt(q / p) - 1)",
+    "ab_t1": "0.75 * (pow(p, 0.75) * 0.5 + pow(q, 0.75) * 0.25 - 0.75 * sqrt(p) * pow(q, 0.25)) / 0.09375 + 0.25 * (pow(q, 0.75) * 0.5 + pow(p, 0.75) * 0.25 - 0.75 * sqrt(q) * pow(p, 0.25)) / 0.09375",
+}
+
+
 def _divergence(key: str, params: tuple[float, float, float]) -> None:
-    text = A.divergence(*params)[1]
-    sql = f"WITH {PLANAR}, {softmax_sql(20.0)}, {softmax_sql(40.0, 'dy', 'q')} SELECT j, round(sum({text}), 6) + 0.0 AS div FROM (SELECT s.j, s.p, s.lp, q.p AS q, q.lp AS lq FROM s JOIN q USING (j, i) WHERE i <> j) GROUP BY j"
+    sql = f"WITH {PLANAR}, {softmax_sql(20.0)}, {softmax_sql(40.0, 'dy', 'q')} SELECT j, round(sum({WRITTEN_OUT[key]}), 6) + 0.0 AS div FROM (SELECT s.j, s.p, q.p AS q FROM s JOIN q USING (j, i) WHERE i <> j) GROUP BY j"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return A.divergences(*both_softmax(spark, sf_dir), *params).select("j", r6("div", "div"))
@@ -440,21 +506,31 @@ def apsp_hops(spark, sf_dir):
     return G.shortest_paths(graph6(spark, sf_dir)[1]).select("j", "i", "hops")
 
 
-@query(f"WITH {POINTS} SELECT true AS lengths_agree, true AS edges_exist, true AS some_terminals")
+#: The vertex before the end of each path (of equal lengths fewer hops, then the smaller vertex) and the one after its beginning.
+FOLLOWED = f"""{paths_sql()}, z AS MATERIALIZED (SELECT j, i, d, hops FROM a{ROUNDS} UNION ALL SELECT id, id, 0.0, 0 FROM p),
+    pr AS MATERIALIZED (SELECT z.j, u.i, min((z.d + u.d, z.hops + 1, u.j)) AS m FROM z JOIN u ON z.i = u.j WHERE z.j <> u.i GROUP BY z.j, u.i),
+    b AS MATERIALIZED (SELECT j, i, m[1] AS d, m[3] AS pred FROM pr), f(j, i, succ) AS (SELECT j, i, i FROM b WHERE pred = j UNION ALL SELECT b.j, b.i, f.succ FROM f JOIN b ON b.j = f.j AND b.pred = f.i)"""
+
+
+@query(f"WITH RECURSIVE {FOLLOWED} SELECT j, i, pred, succ, round(d, 6) AS s FROM b JOIN f USING (j, i)")
 def apsp_stretched(spark, sf_dir):
     _, e = graph6(spark, sf_dir)
-    paths = written(G.shortest_paths(e), "apsp")
-    s = G.stretched(paths, e)
-    edges = s.join(e.select("j", F.col("i").alias("succ"), F.lit(1).alias("ok")), ["j", "succ"], "left")
-    ends = G.terminals(paths).limit(1)
-    return edges.agg(F.bool_and(F.abs(F.col("s") - F.col("d")) < 1e-9).alias("lengths_agree"), F.bool_and(F.col("ok").isNotNull()).alias("edges_exist")).join(ends.agg((F.count(F.lit(1)) == 1).alias("some_terminals")))
+    s = G.stretched(written(G.shortest_paths(e), "apsp"), e)
+    return s.select("j", "i", "pred", "succ", r6("s", "s"))
+
 
+@query(f"WITH RECURSIVE {FOLLOWED} SELECT j, i FROM b WHERE NOT EXISTS (SELECT 1 FROM b t WHERE t.j = b.j AND t.pred = b.i)")
+def apsp_terminals(spark, sf_dir):
+    return G.terminals(G.shortest_paths(graph6(spark, sf_dir)[1]))
 
-@query(f"WITH {POINTS} SELECT true AS at_most_sums, true AS at_least_zero")
+
+@query(f"WITH {POINTS} SELECT true AS at_most_sums, true AS at_least_straight")
 def angle_paths(spark, sf_dir):
+    """Vertices are passed through in order, too many times for SQL: values are tested against paths made by hand."""
     p, e = graph6(spark, sf_dir)
-    a = G.angle_paths(p, e, 90.0).withColumnRenamed("d", "da").join(G.angle_paths(p, e, 180.0), ["j", "i"])
-    return a.agg(F.bool_and(F.col("da") <= F.col("d") + 1e-9).alias("at_most_sums"), F.bool_and(F.col("da") >= 0).alias("at_least_zero"))
+    a = G.angle_paths(p, e, 90.0).withColumnRenamed("d", "da").join(G.angle_paths(p, e, 0.0).withColumnRenamed("d", "d0"), ["j", "i"]).join(G.angle_paths(p, e, 180.0), ["j", "i"])
+    at_least = lambda c: F.bool_and(F.col(c) >= F.col("d") / math.sqrt(2) - 1e-9)  # noqa: E731  half of 1 - 1 / sqrt(2) at most at each vertex, of both its edges
+    return a.agg(F.bool_and((F.col("da") <= F.col("d") + 1e-9) & (F.col("d0") <= F.col("d") + 1e-9)).alias("at_most_sums"), at_least("da").alias("at_least_straight"))
 
 
 NEAREST = f"{PAIRS}, k1 AS MATERIALIZED (SELECT j, i FROM (SELECT j, i, row_number() OVER (PARTITION BY j ORDER BY d2, i) - 1 AS r FROM d) WHERE r = 1), e1 AS (SELECT j, i FROM k1 UNION SELECT i, j FROM k1)"
@@ -475,11 +551,26 @@ def component_links(spark, sf_dir):
     return G.component_links(D.pairwise_euclid(p), of, 2).select("cj", "ci", "j", "i", F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS components")
+def merging_sql(ks: list[int], turns: int) -> str:
+    """Links between components, as many turns as are needed at most (later ones find no two components)."""
+    parts = [f"{PAIRS}, g0 AS MATERIALIZED (SELECT j, i, d FROM (SELECT j, i, sqrt(d2) AS d, row_number() OVER (PARTITION BY j ORDER BY d2, i) - 1 AS r FROM d) WHERE r = 1)"]
+    for t in range(turns):
+        parts += [
+            f"b{t} AS MATERIALIZED (SELECT j, i FROM g{t} UNION SELECT i, j FROM g{t})",
+            f"c{t}(id, m) AS (SELECT id, id FROM p UNION SELECT b.i, c.m FROM c{t} c JOIN b{t} b ON c.id = b.j AND c.m < b.i)",
+            f"f{t} AS MATERIALIZED (SELECT id, min(m) AS component FROM c{t} GROUP BY id)",
+            f"l{t} AS (SELECT a.component AS cj, b.component AS ci, min((sqrt(d2), j, i)) AS m FROM d JOIN f{t} a ON a.id = j JOIN f{t} b ON b.id = i WHERE a.component <> b.component GROUP BY ALL)",
+            f"k{t} AS MATERIALIZED (SELECT m[2] AS j, m[3] AS i, m[1] AS d FROM (SELECT m, row_number() OVER (PARTITION BY cj ORDER BY m[1], ci) AS r FROM l{t}) WHERE r <= {ks[min(t, len(ks) - 1)]})",
+            f"g{t + 1} AS MATERIALIZED (SELECT j, i, d FROM g{t} UNION SELECT j, i, d FROM k{t} UNION SELECT i, j, d FROM k{t})",
+        ]
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT j, i, round(d, 6) AS d FROM g{turns}"
+
+
+@query(merging_sql([1, 2], 5))
 def component_merging(spark, sf_dir):
     p = load(spark, sf_dir)
     e = G.connected(p, written(D.pairwise_euclid(p), "dist"), D.knn_graph(p, 1).select("j", "i", "d"), [1, 2])
-    return G.components(p, e).agg(F.count_distinct("component").alias("components"))
+    return e.select("j", "i", r6("d", "d"))
 
 
 # Rows and matrices.
@@ -662,37 +753,71 @@ def source_parquet(spark, sf_dir):
     return S.read_parquet(spark, path).select("id", F.size("x").alias("dims"), "label")
 
 
-# Embeddings: what holds for any run.
+# Embeddings: what holds for any run. Coordinates differ from machine to machine, so twins state what a fitted embedding must meet:
+# it covers all points, its cost has fallen, and it keeps more neighbours than the coordinates it began with.
 
-HOLDS = f"WITH {POINTS} SELECT {N} AS n, {N} AS distinct_ids, true AS finite, true AS energy"
+HOLDS = f"WITH {POINTS} SELECT {N} AS n, {N} AS distinct_ids, true AS finite, true AS cost_fell, true AS neighbours_kept"
 
 
-def holds(e: DataFrame) -> DataFrame:
+def kept_neighbours(p: DataFrame, y: DataFrame, k: int = 15) -> DataFrame:
+    """One row, share: of the k nearest neighbours, how many are among the k nearest in y."""
+    both = p.select("id", "x").join(y.select("id", "y"), "id")
+    n = both.count()
+    return Q.rates(Q.rank_sums(both), n).where(F.col("K") == k).select((F.col("n") + F.col("x") + F.col("p")).alias("share"))
+
+
+def holds(points: DataFrame, e: DataFrame) -> DataFrame:
+    e = written(e, "embedding")
+    before, after = kept_neighbours(points, L.pca(points, 2)).withColumnRenamed("share", "before"), kept_neighbours(points, e)
     finite = F.bool_and(F.forall("y", lambda c: F.abs(c) < 1e9))
-    return e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("distinct_ids"), finite.alias("finite"), F.bool_and(F.abs("kl") < 1e9).alias("energy"))
+    facts = e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("distinct_ids"), finite.alias("finite"), F.bool_and(F.col("kl") < F.col("first_kl")).alias("cost_fell"))
+    return facts.join(after).join(before).select("n", "distinct_ids", "finite", "cost_fell", (F.col("share") > F.col("before")).alias("neighbours_kept"))
 
 
 @query(HOLDS)
 def embed_tsne(spark, sf_dir):
-    return holds(E.tsne(load(spark, sf_dir), 30, 60))
+    p = load(spark, sf_dir)
+    return holds(p, E.tsne(p, 30))
 
 
 @query(HOLDS)
 def embed_tsne_regularized(spark, sf_dir):
-    return holds(E.tsne(load(spark, sf_dir), 30, 40, size=1.0, reg=0.1))
+    p = load(spark, sf_dir)
+    return holds(p, E.tsne(p, 30, size=1.0, reg=0.1))
 
 
 @query(HOLDS)
 def embed_tsne_shrunk(spark, sf_dir):
-    return holds(E.tsne(load(spark, sf_dir), 30, 40, size=1.0, reg=-0.1))
+    p = load(spark, sf_dir)
+    return holds(p, E.tsne(p, 30, size=1.0, reg=-0.1))
+
+
+@query(HOLDS)
+def embed_tsne_random(spark, sf_dir):
+    p = load(spark, sf_dir)
+    return holds(p, E.tsne(p, 30, start=L.provided_init(p, L.random_init(p))))
+
+
+@query(HOLDS)
+def embed_tsne_large(spark, sf_dir):
+    p = load(spark, sf_dir)
+    return holds(p, E.tsne_large(p, 30))
 
 
 @query(HOLDS)
 def embed_coarse_to_fine(spark, sf_dir):
     p = load(spark, sf_dir)
-    return holds(E.coarse_to_fine(p, *T.tree(p, "kd"), 30, 20))
+    return holds(p, E.coarse_to_fine(p, *T.tree(E.reduced(p), "kd"), 30))
 
 
 @query(HOLDS)
 def embed_multiscale(spark, sf_dir):
-    return holds(E.multi_scale(load(spark, sf_dir), 0.5, 16, 8))
+    p = load(spark, sf_dir)
+    return holds(p, E.multi_scale(p))
+
+
+@query(HOLDS)
+def embed_multiscale_single(spark, sf_dir):
+    """One scale a level, mixed divergences both ways, precisions by the perplexity alone."""
+    p = load(spark, sf_dir)
+    return holds(p, E.multi_scale(p, "j", -16))
