@@ -33,7 +33,7 @@ from .chunks import answered, ascii_words, ask, narrow, pack, placed, shard_coun
 from .common import text_or_empty, written
 
 #: Steps of the quantised negative log10 probabilities.
-STEP = 4096
+STEP = 1024
 POPULATION = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: The place of the k-th one in a byte.
 PLACE = np.array([[next((p for p in range(8) if (b >> p) & 1 and bin(b & ((1 << p) - 1)).count("1") == k), 0) for k in range(8)] for b in range(256)], np.uint8)
@@ -159,6 +159,17 @@ def mixed(v: np.ndarray, w: np.ndarray | int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def told_apart(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and each key's place among them."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    back = np.empty(len(key), np.int32)
+    back[order] = np.cumsum(new) - 1
+    return key[new], back
+
+
 class Grams:
     """Of a numbered chunk: its distinct triples in order of words' numbers, the pairs they begin with, and where all go.
 
@@ -169,42 +180,42 @@ class Grams:
         order = np.argsort(ids, kind="stable")
         self.ids = np.concatenate([[0], ids[order].astype(np.int64) + 1])  # 0: nothing
         self.c = np.concatenate([[0], c[order].astype(np.int64)])
-        rank = np.empty(len(ids), np.int64)
+        rank = np.empty(len(ids), np.int32)
         rank[order] = np.arange(1, len(ids) + 1)
-        n, end = n.astype(np.int64), rank[-1]
+        n, size = n.astype(np.int64), len(self.ids)
         stops = np.cumsum(n + 3)
         inside = np.ones(int(stops[-1]) if len(n) else 0, bool)
         inside[np.concatenate([stops - n - 3, stops - 2, stops - 1])] = False
-        s = np.full(len(inside), end)
+        s = np.full(len(inside), rank[-1], np.int32)
         s[inside], s[stops - 1] = rank[seq], 0
-        starts_here = np.ones(len(s), bool)
-        starts_here[np.concatenate([stops - 2, stops - 1])] = False
-        at = np.flatnonzero(starts_here)
-        u, v, w, size = s[at], s[at + 1], s[at + 2], len(self.ids)
-        if size**3 < 2**63:
-            key, self.back = np.unique((u * size + v) * size + w, return_inverse=True)
-            pair, self.w = np.divmod(key, size)
-            first = starts(pair)
-            pair = pair[first]
-        else:
-            pair, which = np.unique(u * size + v, return_inverse=True)
-            key, self.back = np.unique(which * size + w, return_inverse=True)
-            which, self.w = np.divmod(key, size)
-            first = starts(which)
+        inside[:] = True
+        inside[np.concatenate([stops - 2, stops - 1])] = False
+        at = np.flatnonzero(inside)
+        self.tokens = s[at + 2]
+        pair = s[at].astype(np.int64) * size + s[at + 1]
+        distinct = None if size**3 < 2**63 else np.unique(pair)
+        key, self.back = told_apart((pair if distinct is None else np.searchsorted(distinct, pair)) * size + self.tokens)
+        del s, at, inside, pair
+        self.w = (key % size).astype(np.int32)
+        key //= size
+        first = starts(key)
+        pair = key[first] if distinct is None else distinct
         self.u, self.v = np.divmod(pair, size)
-        self.first, self.many = first, np.diff(np.append(first, len(key)))
-        self.n, self.tokens, self.train = n + 1, w, kept.column("train").to_numpy().astype(bool)
+        del key
+        self.first, self.many = first, np.diff(np.append(first, len(self.w)))
+        self.n, self.train = n + 1, kept.column("train").to_numpy().astype(bool)
         # shards: those of a split pair follow one another
         parts = np.minimum(shards, 1 + SPLIT * np.minimum(self.c[self.u], self.c[self.v]) // max(1, n_all))
         base = (mixed(self.ids[self.u], self.ids[self.v]) % np.uint64(shards)).astype(np.int64)
-        self.pair_of = np.repeat(np.arange(len(pair)), self.many)
-        several = parts[self.pair_of]
-        part = np.where(several > 1, (mixed(self.ids[self.w], 7) % several.astype(np.uint64)).astype(np.int64), 0)
-        self.row_pair = np.repeat(np.arange(len(pair)), parts)
-        row_part = np.arange(len(self.row_pair)) - np.repeat(np.cumsum(parts) - parts, parts)
-        row_shard, shard = (base[self.row_pair] + row_part) % shards, (base[self.pair_of] + part) % shards
+        self.pair_of = np.repeat(np.arange(len(pair), dtype=np.int32), self.many)
+        shard = base[self.pair_of]
+        split = np.flatnonzero(parts[self.pair_of] > 1)
+        shard[split] += (mixed(self.ids[self.w[split]], 7) % parts[self.pair_of[split]].astype(np.uint64)).astype(np.int64)
+        self.row_pair = np.repeat(np.arange(len(pair), dtype=np.int32), parts)
+        row_shard = base[self.row_pair] + np.arange(len(self.row_pair)) - np.repeat(np.cumsum(parts) - parts, parts)
         small = np.uint16 if shards < 2**16 else np.int64  # sixteen bits are sorted by radix
-        self.row_order, self.order = np.argsort(row_shard.astype(small), kind="stable"), np.argsort(shard.astype(small), kind="stable")
+        row_shard, shard = (row_shard % shards).astype(small), (shard % shards).astype(small)
+        self.row_order, self.order = np.argsort(row_shard, kind="stable").astype(np.int32), np.argsort(shard, kind="stable").astype(np.int32)
         self.row_shard, self.shard = row_shard[self.row_order], shard[self.order]
 
     def runs(self):
@@ -216,7 +227,7 @@ class Grams:
             yield int(k), self.row_pair[self.row_order[a:b]], self.row_order[a:b], self.order[lo:hi]
 
 
-def score(docs: DataFrame, train, mass2: float = 200.0, mass3: float = 20.0, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 3_000_000) -> DataFrame:
+def score(docs: DataFrame, train, mass2: float = 200.0, mass3: float = 20.0, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = 2_000_000) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score. train: a boolean column expression."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     shards = shard_count(spark)
@@ -241,11 +252,13 @@ def score(docs: DataFrame, train, mass2: float = 200.0, mass3: float = 20.0, id_
         codes = every.indices.to_numpy().astype(np.int64)
         c = np.bincount(codes, weights=np.concatenate([x.astype(np.float64) for _, (_, x) in asked]), minlength=len(every.dictionary)).astype(np.int64)
         yield -1 - shard, (int((c > 0).sum()), int(c.sum()))
+        frequent = np.empty(len(c), np.int64)  # small numbers for frequent words: they compress better
+        frequent[np.argsort(-c, kind="stable")] = np.arange(len(c))
         at = 0
         for chunk, (words, _) in asked:
             mine = codes[at : at + len(words)]
             at += len(words)
-            yield chunk, (narrow(mine), narrow(c[mine]))
+            yield chunk, (narrow(frequent[mine]), narrow(c[mine]))
 
     def number(chunk: int, payload, answers: dict) -> pa.Table:
         """The chunk with each word's number and count in place of its text; of a shard, its totals."""
@@ -311,16 +324,17 @@ def score(docs: DataFrame, train, mass2: float = 200.0, mass3: float = 20.0, id_
 
     def finish(chunk: int, payload, answers: dict) -> pa.Table:
         g = Grams(payload, shards, n_all)
-        code2, below = np.zeros(len(g.u), np.int64), np.zeros(len(g.u), np.int64)
-        code3 = np.zeros(len(g.w), np.int64)
+        code2, below, code3 = np.zeros(len(g.u), np.uint32), np.zeros(len(g.u), np.uint16), np.zeros(len(g.w), np.uint32)
         for k, pair, _, triple in g.runs():
             code2[pair], below[pair], code3[triple] = answers[k]
-        p2 = np.where(code2 > 0, 10 ** (-(code2 - 1) / STEP), mass2 * base(g.c[g.v]) / (g.c[g.u] + mass2))
+        p2 = np.where(code2 > 0, 10 ** ((1 - code2.astype(float)) / STEP), mass2 * base(g.c[g.v]) / (g.c[g.u] + mass2))
+        p3 = np.where(code3 > 0, 10 ** ((1 - code3.astype(float)) / STEP), 0)
         pair = g.pair_of[g.back]
         # a token's own pair begins the next triple; that of a text's first word begins its first
         ends = np.cumsum(g.n)
-        own = p2[np.append(pair[1:], 0)] if len(pair) else p2[:0]
-        p = np.where(code3 > 0, 10 ** (-(code3 - 1) / STEP), 0)[g.back] + 10 ** (-below[pair] / STEP) * own
+        p = p2[np.append(pair[1:], 0)] if len(pair) else p2[:0]
+        p *= (10 ** (-below.astype(float) / STEP))[pair]
+        p += p3[g.back]
         p[ends - 1] = p2[pair[ends - g.n]]
         sums = lambda x: np.add.reduceat(x, ends - g.n)
         c = np.where(g.tokens > 0, g.c[g.tokens], 0)
