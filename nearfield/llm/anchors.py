@@ -67,18 +67,15 @@ def blocks(sizes: np.ndarray, length: int):
         yield at, upto + length - 1, upto
 
 
-def anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int):
-    """For texts laid end to end: runs of passages with one anchor, as arrays (first passage, last passage, gram's hash,
-    hash of the whole run's bytes and its shape). Passages never cross texts."""
+def anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts laid end to end: runs of passages with one anchor, as arrays (first passage, last passage, anchor). Passages
+    never cross texts."""
     ends = np.cumsum(sizes)
     starts = ends - sizes
     ok_to = np.maximum(starts, ends - length + 1)  # passages start in [starts, ok_to)
     out = []
     for at, end, upto in blocks(sizes, length):
-        part = data[at:end]
-        roll, other = Rolling(part, 1), Rolling(part, 2)
-        key = roll.grams(gram)
-        key = mixed(key)
+        key = mixed(Rolling(data[at:end], 1).grams(gram))
         key &= ~PLACE_MASK
         key |= np.arange(len(key), dtype=np.uint64)
         place = sliding_min(key, length - gram + 1)
@@ -99,27 +96,18 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int):
         if len(gaps):
             nxt = np.searchsorted(gaps, first)
             stop = np.minimum(stop, np.where(nxt < len(gaps), gaps[np.minimum(nxt, len(gaps) - 1)], len(valid)))
-        last = stop - 1
-        p = place[first].astype(np.int64)
-        shape = ((p - first) * 512 + (last - first)).astype(np.uint64)
-        whole = mixed(other.of(first, last + length) + shape * np.uint64(0x9E3779B97F4A7C15))
-        out.append((first + at, last + at, mixed(roll.of(p, p + gram)), whole))
-    return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64 if i < 2 else np.uint64) for i in range(4))
-
-
-def passages(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each passage that starts in the runs [first, last], run by run: the identifiers of its bucket (its first gram) and
-    of the bucket of the later offset at which its last gram starts."""
-    size = last - first + 1
-    a, b = np.empty(int(size.sum()), np.uint64), np.empty(int(size.sum()), np.uint64)
-    at = np.cumsum(size) - size
+        out.append((first + at, stop - 1 + at, place[first].astype(np.int64) + at))
+    return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """Of the substrings [start, end), which begin in rising order: a block's rolling hash serves those that begin in it."""
+    out = np.empty(len(start), np.uint64)
     i = 0
-    while i < len(first):
-        base = first[i]
-        j = max(i + 1, int(np.searchsorted(last, base + BLOCK, "right")))
-        roll = Rolling(data[base : last[j - 1] + length], 1)
-        run = np.repeat(first[i:j] - base - (at[i:j] - at[i]), size[i:j]) + np.arange(int(size[i:j].sum()))
-        span = slice(int(at[i]), int(at[i]) + len(run))
-        a[span], b[span] = mixed(roll.of(run, run + gram)), mixed(roll.of(run + length - gram, run + length))
+    while i < len(start):
+        base = int(start[i])
+        j = int(np.searchsorted(start, base + BLOCK))
+        roll = Rolling(data[base : int(end[i:j].max())], seed)
+        out[i:j] = roll.of(start[i:j] - base, end[i:j] - base)
         i = j
-    return a, b
+    return mixed(out)

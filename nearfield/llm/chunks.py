@@ -102,8 +102,9 @@ def pack(docs: DataFrame, words: Callable[[pa.RecordBatch], tuple[np.ndarray, pa
     return docs.mapInArrow(run, CHUNK_SPEC)
 
 
-def pack_bytes(docs: DataFrame, chunk_bytes: int = 8_000_000) -> DataFrame:
-    """docs: the columns to keep, text last. A payload is (kept columns, each text's bytes, all texts end to end)."""
+def pack_bytes(docs: DataFrame, chunk_bytes: int, more: Callable[[np.ndarray, np.ndarray], tuple]) -> DataFrame:
+    """docs: the columns to keep, text last. A payload is (kept columns, each text's bytes, all texts end to end, what ``more``
+    makes of the latter two)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -112,7 +113,7 @@ def pack_bytes(docs: DataFrame, chunk_bytes: int = 8_000_000) -> DataFrame:
             text = pa.concat_arrays([t for _, t in held])
             n = pc.binary_length(text).to_numpy(zero_copy_only=False)
             data = np.frombuffer(b"".join(t.as_py() for t in text), np.uint8)
-            payload = (pa.Table.from_batches([k for k, _ in held]).combine_chunks(), narrow(n), data)
+            payload = (pa.Table.from_batches([k for k, _ in held]).combine_chunks(), narrow(n), data, more(data, n.astype(np.int64)))
             return pa.RecordBatch.from_pylist([{"chunk_id": (task << 32) + made, "payload": squeeze(payload)}], schema=pa.schema([("chunk_id", pa.int64()), ("payload", pa.binary())]))
 
         for b in batches:
@@ -174,13 +175,21 @@ def ascii_words(b: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
     return n, flat.filter(some)
 
 
+#: Rounds of questions that one chunk can ask, at most.
+ROUNDS = 8
+
+
 def tagged(answers: DataFrame, k: int) -> DataFrame:
-    """Answers of round k (1 to 3), told apart by their shard's number: 4 * shard + k."""
-    return answers.withColumn("shard", F.col("shard") * 4 + k)
+    """Answers of round k (from 0), told apart by their shard's number."""
+    return answers.withColumn("shard", F.col("shard") * ROUNDS + k)
 
 
 def rounds(answers: dict) -> list[dict]:
-    return [{s // 4: x for s, x in answers.items() if s % 4 == k} for k in (1, 2, 3)]
+    """Answers by round and shard."""
+    out: list[dict] = [{} for _ in range(ROUNDS)]
+    for s, x in answers.items():
+        out[s % ROUNDS][s // ROUNDS] = x
+    return out
 
 
 ASKS = "chunk_id long, shard long, blob binary"

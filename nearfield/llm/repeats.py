@@ -1,18 +1,21 @@
 """Suffix-array dedup: removal of every passage of ``length`` bytes that occurs more than once in the corpus.
 
 Bucket-pointer refinement over sampled suffixes. Each passage has its anchor (see anchors.py), so the suffixes at anchors
-suffice. Initial buckets hold the suffixes with one q-gram; their identifiers are hashes of its bytes, so any task can name
-the bucket of any offset. In rounds:
-1. gram buckets: a bucket with one suffix has no repeat; in one whose suffixes agree on the identifier of their whole run
-   of passages, all are repeats;
-2. mixed buckets are refined by that identifier: sub-buckets of several suffixes are repeats;
-3. what is left is refined passage by passage, sorted on the bucket identifier of the passage's first gram and then on that
-   of the later offset length - q, which settles it, as 2q >= length; one suffix stands for each sub-bucket of round 2.
-A round settles buckets for all chunks; the next reuses its result and asks about the rest alone. Buckets and sub-buckets
-are summed up in each chunk first, so a chunk sends an identifier once, however many copies it has.
+suffice. Initial buckets hold the suffixes with one q-gram, q an eighth of the length. A bucket with one suffix is settled:
+nothing in it occurs twice. The others are refined by doubling: a bucket of grams twice as long is named by the identifiers of
+two buckets of the round before, at the suffix and at a later offset, and those in turn by buckets of the round before
+them. Identifiers come from the bytes alone, so any task can name the bucket of any offset without asking. A gram grows to the
+right where it still lies in the passage, and to the left of the anchor where it doesn't, so a run of passages with one anchor
+is parted in two. When grams have half the length, what is left is refined
+* by the whole run of passages: where a run occurs again, all its passages are repeats;
+* then passage by passage, by the identifiers of its first gram and of that at the later offset length - half, which settle
+  it, as both halves make up the passage. One suffix stands for each run that occurs again.
+A round settles buckets for all chunks; the next reuses its result and asks about the rest alone. Buckets are summed up in each
+chunk first, so a chunk sends an identifier once, however many copies it has.
 
 Texts are taken as UTF-8 bytes. Null texts count as empty; rows are kept one for one (a repeated row's text is a repeat);
-shorter texts are returned whole; extra columns are ignored. Identifiers are 64-bit hashes, used in pairs.
+shorter texts are returned whole; extra columns are ignored. Identifiers are 64-bit hashes, used in pairs where they decide
+that bytes go.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import anchors, passages
-from .chunks import ASKS, answered, ask, asks, pack_bytes, placed, rounds, served, shard_count, tagged
+from .anchors import anchors, hashes, mixed
+from .chunks import ASKS, answered, ask, asks, narrow, pack_bytes, placed, rounds, served, shard_count, tagged
 from .common import text_or_empty
 
 
@@ -57,130 +60,178 @@ def back(of: np.ndarray, answers: dict) -> np.ndarray:
     return out
 
 
+def gram_sizes(length: int) -> list[int]:
+    """Of each round's grams; each is at most twice the one before, and the last at least half the length."""
+    return [-(-length // 8), -(-length // 4), -(-length // 2)]
+
+
+def pointers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The name of a bucket by those of two buckets of the round before."""
+    return mixed(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def named(level: int, sizes: list[int], base: dict[int, np.ndarray], at: int) -> np.ndarray:
+    """Identifiers of the grams of a round at an offset, from those of q-grams by offset."""
+    if not level:
+        return base[at]
+    later = sizes[level] - sizes[level - 1]
+    return pointers(named(level - 1, sizes, base, at), named(level - 1, sizes, base, at + later))
+
+
+def offsets(level: int, sizes: list[int]) -> list[int]:
+    """At which offsets of a gram of a round its q-grams begin."""
+    out = [0]
+    for k in range(level):
+        out = sorted({o + later for o in out for later in (0, sizes[k + 1] - sizes[k])})
+    return out
+
+
 class Marked:
-    """What a chunk finds out, round by round."""
+    """What a chunk finds out, round by round. Open units are runs of passages, or parts of them: (run, first, last)."""
 
-    def __init__(self, payload, length: int, gram: int, shards: int):
+    def __init__(self, payload, length: int, shards: int):
         self.kept, self.sizes, self.data = payload[0], payload[1].astype(np.int64), payload[2]
-        self.length, self.gram, self.shards = length, gram, np.uint64(shards)
-        self.first, self.last, self.k, self.c = anchors(self.data, self.sizes, length, gram)
-
-    def grams(self):
-        """Distinct grams: order and starts of their groups; class (of the first), and 0: one suffix, 1: several alike, 2: several classes."""
-        order, first = groups(self.k, self.c)
-        k, c = self.k[order][first], self.c[order][first]
-        n = np.diff(np.append(first, len(order)))
-        new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        classes = np.diff(np.append(new, len(k)))
-        code = np.where(classes > 1, 2, (n[new] > 1).astype(np.int64)) if len(k) else np.zeros(0, np.int64)
-        self.order, self.class_first, self.class_k, self.class_c, self.class_n = order, first, k, c, n
-        self.gram_of_class = np.repeat(np.arange(len(new)), classes)
-        return k[new], c[new], code.astype(np.uint8)
-
-    def round1(self):
-        k, c, code = self.grams()
-        return by_shard(k % self.shards, k, c, code)
-
-    def round2(self, one: dict):
-        """Classes of mixed grams."""
-        k, _, _ = self.grams()
-        self.gram_code = back(k % self.shards, one)
-        self.open = np.flatnonzero(self.gram_code[self.gram_of_class] == 2)
-        k, c = self.class_k[self.open], self.class_c[self.open]
-        return by_shard((k ^ (c >> np.uint64(7))) % self.shards, k, c, np.minimum(self.class_n[self.open], 2).astype(np.uint8))
-
-    def round3(self, one: dict, two: dict):
-        """Passages of classes with one suffix, or for which this chunk answers."""
-        for _ in self.round2(one):
-            pass
-        k, c = self.class_k[self.open], self.class_c[self.open]
-        code = back((k ^ (c >> np.uint64(7))) % self.shards, two)
-        self.class_code = np.where(self.gram_code[self.gram_of_class] == 1, 1, 0)
-        self.class_code[self.open] = np.where(code > 0, 1, 2)
-        asks = np.sort(self.order[self.class_first[self.open[code != 1]]])
-        self.runs = self.first[asks], self.last[asks]
-        a, b = passages(self.data, *self.runs, self.length, self.gram)
-        order, first = groups(a, b)
-        self.passage_order, self.passage_first = order, first
-        a, b, n = a[order][first], b[order][first], np.diff(np.append(first, len(order)))
-        self.passage_shard = (a ^ (b >> np.uint64(7))) % self.shards
-        return by_shard(self.passage_shard, a, b, np.minimum(n, 2).astype(np.uint8))
-
-    def covered(self, one: dict, two: dict, three: dict) -> np.ndarray:
+        jump, span, place = (x.astype(np.int64) for x in payload[3])
+        first = np.cumsum(jump)
+        self.length, self.grams, self.shards = length, gram_sizes(length), np.uint64(shards)
+        self.anchor, self.unit = first + place, (np.arange(len(first)), first, first + span)
+        self.base: dict[int, np.ndarray] = {}
+
+    def q_grams(self, runs: np.ndarray, at: int) -> np.ndarray:
+        """Identifiers of the q-grams at an offset from the anchors of some runs (in order)."""
+        if at not in self.base:
+            start = np.clip(self.anchor, -at, len(self.data) - self.grams[0] - at) + at
+            if (np.diff(start) < 0).any():
+                order = np.argsort(start, kind="stable")
+                found = np.empty(len(start), np.uint64)
+                found[order] = hashes(self.data, start[order], start[order] + self.grams[0], 1)
+            else:
+                found = hashes(self.data, start, start + self.grams[0], 1)
+            self.base[at] = found
+        return self.base[at][runs]
+
+    def parted(self, level: int) -> None:
+        """Open units with the sides to which their grams grow: those whose gram begins at the anchor, and before it."""
+        run, first, last = self.unit
+        cut = np.clip(self.anchor[run] - (self.length - self.grams[level]), first, last + 1)
+        left, right = cut > first, cut <= last
+        order = np.argsort(np.concatenate([run[left], run[right]]), kind="stable")
+        join = lambda a, b: np.concatenate([a[left], b[right]])[order]
+        self.unit = join(run, run), join(first, cut), join(cut - 1, last)
+        self.before = join(np.ones(len(run), bool), np.zeros(len(run), bool))
+
+    def keys(self, level: int) -> np.ndarray:
+        """Identifiers of the open units' grams of a round."""
+        run, _, _ = self.unit
+        if not level:
+            self.before = np.zeros(len(run), bool)
+            return self.q_grams(run, 0)
+        out = np.empty(len(run), np.uint64)
+        for left in (False, True):
+            some = self.before == left
+            at = self.grams[0] - self.grams[level] if left else 0
+            base = {o: self.q_grams(run[some], o + at) for o in offsets(level, self.grams)}
+            out[some] = named(level, self.grams, base, 0)
+        return out
+
+    def asked(self, a: np.ndarray, b: np.ndarray | None = None):
+        """Distinct identifiers, dealt to shards: each with 1, or 2 if the chunk has several."""
+        self.order, self.first = groups(a) if b is None else groups(a, b)
+        n = np.minimum(np.diff(np.append(self.first, len(self.order))), 2).astype(np.uint8)
+        columns = [x[self.order][self.first] for x in (a, b) if x is not None]
+        self.of = (columns[0] ^ (columns[-1] >> np.uint64(7))) % self.shards
+        return by_shard(self.of, *columns, n)
+
+    def told(self, answers: dict) -> np.ndarray:
+        """Of each identifier that was asked about: 0: once, 1: several times, 2: that, and the chunk stands for it."""
+        out = np.zeros(len(self.order), np.uint8)
+        out[self.order] = np.repeat(back(self.of, answers), np.diff(np.append(self.first, len(self.order))))
+        return out
+
+    def ask(self, k: int, answers: list[dict]):
+        """The questions of round k, given the answers to those before."""
+        levels = len(self.grams)
+        for level in range(min(k, levels - 1) + 1):
+            if level:
+                self.parted(level)
+            key = self.keys(level)
+            questions = self.asked(key)
+            if level == k:
+                return questions
+            self.keep(self.told(answers[level]) > 0)
+            key = key[self.kept_units]
+        run, first, last = self.unit
+        order = np.argsort(first, kind="stable")
+        whole = np.empty(len(run), np.uint64)
+        whole[order] = hashes(self.data, first[order], last[order] + self.length, 2)
+        place = self.anchor[run]
+        questions = self.asked(key, pointers(whole, ((place - first) * self.length + (last - first)).astype(np.uint64)))
+        if k == levels:
+            return questions
+        code = self.told(answers[levels])
+        # where one run occurs again, one of its suffixes in the chunk that stands for it is enough
+        stands = np.zeros(len(code), bool)
+        stands[self.order[self.first]] = True
+        self.again = first[code > 0], last[code > 0]
+        self.keep((code == 0) | ((code == 2) & stands))
+        _, first, last = self.unit
+        size = last - first + 1
+        self.start = np.sort(np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum())))
+        half = self.grams[-1]
+        ids = {o: hashes(self.data, self.start + o, self.start + o + self.grams[0], 1) for at in (0, self.length - half) for o in (at + x for x in offsets(levels - 1, self.grams))}
+        return self.asked(*(named(levels - 1, self.grams, {o: ids[o + at] for o in offsets(levels - 1, self.grams)}, 0) for at in (0, self.length - half)))
+
+    def keep(self, some: np.ndarray) -> None:
+        self.kept_units = some
+        self.unit = tuple(x[some] for x in self.unit)
+        self.before = self.before[some]
+
+    def covered(self, answers: list[dict]) -> np.ndarray:
         """Which bytes go."""
-        for _ in self.round3(one, two):
+        last_round = len(self.grams) + 1
+        for _ in self.ask(last_round, answers):
             pass
+        hit = self.start[self.told(answers[last_round]) > 0]
         edge = np.zeros(len(self.data) + 1, np.int32)
-        code = np.zeros(len(self.k), np.int64)
-        code[self.order] = np.repeat(self.class_code, self.class_n)
-        whole = code == 1
-        np.add.at(edge, self.first[whole], 1)
-        np.add.at(edge, self.last[whole] + self.length, -1)
-        first, last = self.runs
-        size = last - first + 1
-        start = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        hit = np.zeros(len(start), bool)
-        hit[self.passage_order] = np.repeat(back(self.passage_shard, three), np.diff(np.append(self.passage_first, len(start)))) > 0
-        np.add.at(edge, start[hit], 1)
-        np.add.at(edge, start[hit] + self.length, -1)
+        for first, last in (self.again, (hit, hit)):
+            np.add.at(edge, first, 1)
+            np.add.at(edge, last + self.length, -1)
         return np.cumsum(edge[:-1]) > 0
 
 
-def serve_grams(shard: int, asked: list):
-    """0: one suffix in all, 1: several of one class, 2: several classes."""
-    k, c, code = (np.concatenate([x[i] for _, x in asked]) for i in range(3))
-    order = np.argsort(k, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], k[order][1:] != k[order][:-1]]))
-    n = np.diff(np.append(first, len(order)))
-    several = (np.maximum.reduceat(code[order], first) == 2) | (np.minimum.reduceat(c[order], first) != np.maximum.reduceat(c[order], first))
-    got = np.where(several, 2, (n > 1) | (np.maximum.reduceat(code[order], first) > 0)).astype(np.uint8)
-    yield from dealt(asked, order, n, got)
-
-
-def dealt(asked: list, order: np.ndarray, n: np.ndarray, got: np.ndarray):
+def serve(shard: int, asked: list):
+    """0: once in all, 1: several times, 2: that, and the chunk stands for it."""
+    keys = [np.concatenate([x[i] for _, x in asked]) for i in range(len(asked[0][1]) - 1)]
+    many = np.concatenate([x[-1] for _, x in asked])
+    order, first = groups(*keys)
     flat = np.empty(len(order), np.uint8)
-    flat[order] = np.repeat(got, n)
+    flat[order] = np.repeat(sums(many[order].astype(np.int64), first) > 1, np.diff(np.append(first, len(order))))
+    flat[order[first]] *= 2  # lexsort is stable: the first chunk
     at = 0
     for chunk, x in asked:
         yield chunk, flat[at : at + len(x[0])]
         at += len(x[0])
 
 
-def serve_classes(shard: int, asked: list):
-    """0: one suffix, 1: several, 2: several and the chunk answers for them."""
-    k, c, many = (np.concatenate([x[i] for _, x in asked]) for i in range(3))
-    order, first = groups(k, c)
-    n = np.diff(np.append(first, len(order)))
-    flat = np.empty(len(order), np.uint8)
-    flat[order] = np.repeat(sums(many[order].astype(np.int64), first) > 1, n)
-    stands = order[first]  # lexsort is stable: the first chunk
-    flat[stands] *= 2
-    at = 0
-    for chunk, x in asked:
-        yield chunk, flat[at : at + len(x[0])]
-        at += len(x[0])
-
-
-def serve_passages(shard: int, asked: list):
-    a, b, many = (np.concatenate([x[i] for _, x in asked]) for i in range(3))
-    order, first = groups(a, b)
-    yield from dealt(asked, order, np.diff(np.append(first, len(order))), (sums(many[order].astype(np.int64), first) > 1).astype(np.uint8))
-
-
 def remove_repeats(docs: DataFrame, length: int = 200, keep: list[str] | None = None, text_col: str = "text", chunk_bytes: int = 8_000_000) -> DataFrame:
     """keep (columns; default doc_id), n_bytes, spans array<struct<start,end>> in bytes, kept binary, kept_text (whole characters)."""
     keep = keep or ["doc_id"]
-    gram = (length + 1) // 2
-    shards = shard_count(docs.sparkSession)
-    chunks = placed(pack_bytes(docs.select(*keep, text_or_empty(text_col).alias("__text")), chunk_bytes))
-    mark = lambda payload: Marked(payload, length, gram, shards)
-    one = tagged(ask(chunks, lambda payload: mark(payload).round1(), serve_grams), 1)
-    two = tagged(served(answered(chunks, one, lambda c, p, a: asks(c, mark(p).round2(rounds(a)[0])), ASKS), serve_classes), 2)
-    three = tagged(served(answered(chunks, one.unionByName(two), lambda c, p, a: asks(c, mark(p).round3(*rounds(a)[:2])), ASKS), serve_passages), 3)
+    shards, last_round = shard_count(docs.sparkSession), len(gram_sizes(length)) + 1
+
+    def runs(data: np.ndarray, sizes: np.ndarray) -> tuple:
+        first, last, place = anchors(data, sizes, length, gram_sizes(length)[0])
+        return narrow(np.diff(first, prepend=0)), narrow(last - first), narrow(place - first)
+
+    chunks = placed(pack_bytes(docs.select(*keep, text_or_empty(text_col).alias("__text")), chunk_bytes, runs))
+    mark = lambda payload: Marked(payload, length, shards)
+    told = tagged(ask(chunks, lambda payload: mark(payload).ask(0, []), serve), 0)
+    for k in range(1, last_round + 1):
+        more = answered(chunks, told, lambda chunk, payload, answers, k=k: asks(chunk, mark(payload).ask(k, rounds(answers))), ASKS)
+        told = told.unionByName(tagged(served(more, serve), k))
 
     def finish(chunk: int, payload, answers: dict) -> pa.Table:
         m = mark(payload)
-        gone = m.covered(*rounds(answers))
+        gone = m.covered(rounds(answers))
         ends = np.cumsum(m.sizes)
         starts = ends - m.sizes
         edge = np.zeros(len(gone) + 1, bool)
@@ -207,7 +258,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep: list[str] | None =
 
     kinds = dict(docs.dtypes)
     spec = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_text string"])
-    return answered(chunks, one.unionByName(two).unionByName(three), finish, spec)
+    return answered(chunks, told, finish, spec)
 
 
 def digests(done: DataFrame, id_col: str = "doc_id") -> DataFrame:
