@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -426,3 +427,14 @@ def test_every_noisy_stretch_is_read(noisy):
 def test_one_letter_before_signs_and_other_scripts_are_read():
     lm = toxicity.CharLM(Counter(g for g in toxicity.grams("ass")) + Counter(g for g in toxicity.grams("שלום")))
     assert toxicity.Restorer(lm).text("a$$") == "ass" and toxicity.Restorer(lm).text("שלוווום") == "שלום"
+
+
+def test_long_stretches_are_read_like_short_ones():
+    lm, rng = toy_lm(), np.random.default_rng(21)
+    for signs in ("*(!$6", "idot1!0._ ", "st00p!d|1l", "-=aai!"):
+        noisy = "".join(rng.choice(list(signs), 150))
+        got, want = (f(lm, noisy) for f in (toxicity.restore_long, toxicity.restore))
+        assert got == want, signs
+    assert toxicity.restore_long(lm, "1d!0t", block=2) == "idiot"
+    began = time.time()
+    assert toxicity.Restorer(lm).text("x" + "*(!$6" * 4000)[0] == "x" and time.time() - began < 60
