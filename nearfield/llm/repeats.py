@@ -7,7 +7,8 @@ two buckets of the round before, at the suffix and at a later offset, and those
 them. Identifiers come from the bytes alone, so any task can name the bucket of any offset without asking. A gram grows to the
 right where it still lies in the passage, and to the left of the anchor where it doesn't, so a run of passages with one anchor
 is parted in two. When grams have half the length, what is left is refined
-* by the whole run of passages: where a run occurs again, all its passages are repeats;
+* by the whole run of passages: where a run occurs again, all its passages are repeats, and if its bucket holds no other run,
+  that is all;
 * then passage by passage, by the identifiers of its first gram and of that at the later offset length - half, which settle
   it, as both halves make up the passage. One suffix stands for each run that occurs again.
 A round settles buckets for all chunks; the next reuses its result and asks about the rest alone. Buckets are summed up in each
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors, hashes, mixed
-from .chunks import ASKS, answered, ask, asks, narrow, pack_bytes, placed, rounds, served, shard_count, tagged
-from .common import text_or_empty
+from .chunks import ASKS, answered, ask, asks, narrow, pack_bytes, placed, rounds, served, tagged
+from .common import partitions, text_or_empty
 
 
 def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,16 +135,17 @@ class Marked:
             out[some] = named(level, self.grams, base, 0)
         return out
 
-    def asked(self, a: np.ndarray, b: np.ndarray | None = None):
-        """Distinct identifiers, dealt to shards: each with 1, or 2 if the chunk has several."""
+    def asked(self, a: np.ndarray, b: np.ndarray | None = None, spread: bool = True):
+        """Distinct identifiers, dealt to shards (spread: by both): each with 1, or 2 if the chunk has several."""
         self.order, self.first = groups(a) if b is None else groups(a, b)
         n = np.minimum(np.diff(np.append(self.first, len(self.order))), 2).astype(np.uint8)
         columns = [x[self.order][self.first] for x in (a, b) if x is not None]
-        self.of = (columns[0] ^ (columns[-1] >> np.uint64(7))) % self.shards
+        self.of = ((columns[0] ^ (columns[-1] >> np.uint64(7))) if spread else columns[0]) % self.shards
         return by_shard(self.of, *columns, n)
 
     def told(self, answers: dict) -> np.ndarray:
-        """Of each identifier that was asked about: 0: once, 1: several times, 2: that, and the chunk stands for it."""
+        """Of each identifier that was asked about: 0: once, 1: several times, 2: that, and the chunk stands for it; 3: several
+        times, and nothing else is in the bucket."""
         out = np.zeros(len(self.order), np.uint8)
         out[self.order] = np.repeat(back(self.of, answers), np.diff(np.append(self.first, len(self.order))))
         return out
@@ -165,11 +167,12 @@ class Marked:
         whole = np.empty(len(run), np.uint64)
         whole[order] = hashes(self.data, first[order], last[order] + self.length, 2)
         place = self.anchor[run]
-        questions = self.asked(key, pointers(whole, ((place - first) * self.length + (last - first)).astype(np.uint64)))
+        questions = self.asked(key, pointers(whole, ((place - first) * self.length + (last - first)).astype(np.uint64)), False)
         if k == levels:
             return questions
         code = self.told(answers[levels])
-        # where one run occurs again, one of its suffixes in the chunk that stands for it is enough
+        # where one run occurs again, one of its suffixes in the chunk that stands for it is enough, and none in a bucket that
+        # holds no other run
         stands = np.zeros(len(code), bool)
         stands[self.order[self.first]] = True
         self.again = first[code > 0], last[code > 0]
@@ -199,14 +202,21 @@ class Marked:
         return np.cumsum(edge[:-1]) > 0
 
 
-def serve(shard: int, asked: list):
-    """0: once in all, 1: several times, 2: that, and the chunk stands for it."""
+def serve(shard: int, asked: list, runs: bool = False):
+    """0: once in all, 1: several times, 2: that, and the chunk stands for it. runs: the first identifier is that of a bucket,
+    which the shard holds whole; 3: several times, and the bucket has nothing else."""
     keys = [np.concatenate([x[i] for _, x in asked]) for i in range(len(asked[0][1]) - 1)]
     many = np.concatenate([x[-1] for _, x in asked])
     order, first = groups(*keys)
     flat = np.empty(len(order), np.uint8)
     flat[order] = np.repeat(sums(many[order].astype(np.int64), first) > 1, np.diff(np.append(first, len(order))))
     flat[order[first]] *= 2  # lexsort is stable: the first chunk
+    if runs:
+        bucket = keys[0][order]
+        begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        kinds = np.add.reduceat(np.isin(np.arange(len(order)), first, assume_unique=True).astype(np.int64), begins)
+        alone = np.repeat(kinds == 1, np.diff(np.append(begins, len(order)))) & (flat[order] > 0)
+        flat[order[alone]] = 3
     at = 0
     for chunk, x in asked:
         yield chunk, flat[at : at + len(x[0])]
@@ -216,7 +226,7 @@ def serve(shard: int, asked: list):
 def remove_repeats(docs: DataFrame, length: int = 200, keep: list[str] | None = None, text_col: str = "text", chunk_bytes: int = 8_000_000) -> DataFrame:
     """keep (columns; default doc_id), n_bytes, spans array<struct<start,end>> in bytes, kept binary, kept_text (whole characters)."""
     keep = keep or ["doc_id"]
-    shards, last_round = shard_count(docs.sparkSession), len(gram_sizes(length)) + 1
+    shards, last_round = partitions(docs.sparkSession), len(gram_sizes(length)) + 1
 
     def runs(data: np.ndarray, sizes: np.ndarray) -> tuple:
         first, last, place = anchors(data, sizes, length, gram_sizes(length)[0])
@@ -227,7 +237,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep: list[str] | None =
     told = tagged(ask(chunks, lambda payload: mark(payload).ask(0, []), serve), 0)
     for k in range(1, last_round + 1):
         more = answered(chunks, told, lambda chunk, payload, answers, k=k: asks(chunk, mark(payload).ask(k, rounds(answers))), ASKS)
-        told = told.unionByName(tagged(served(more, serve), k))
+        told = told.unionByName(tagged(served(more, lambda shard, asked, runs=k == last_round - 1: serve(shard, asked, runs)), k))
 
     def finish(chunk: int, payload, answers: dict) -> pa.Table:
         m = mark(payload)
