@@ -1,8 +1,8 @@
 """Chat formatting by a template compiler.
 
 A small sandboxed language: text, ``{{ expression }}``, ``{% for x in messages %}``, ``{% if %}``, ``{% else %}``,
-``{% generation %}`` (what a model is to learn) and ``{% end... %}``. Expressions are names, string literals, fields of the
-loop's message (only role and text), ``==``, ``!=``, ``+`` and the filters ``escape``, ``escape_line``, ``upper``,
+``{% generation %}`` (what a model is to learn) and ``{% end... %}``. Expressions are string literals, fields of the message of a
+loop around them (only role and text), ``==``, ``!=``, ``+`` and the filters ``escape``, ``escape_line``, ``upper``,
 ``lower`` and ``trim``; nothing else can be reached. Templates are parsed to a tree, constants are folded, and each node
 becomes a Python closure that appends to the output; generation blocks note the span they fill.
 
@@ -131,13 +131,22 @@ class ExpressionParser:
         return Node("name", value)
 
 
+def in_scope(node: Node, scope: list[str]) -> Node:
+    """The expression, if it only names messages of loops around it, and those by field."""
+    if node.kind == "name" or (node.kind == "field" and node.value[0] not in scope):
+        raise TemplateError(f"no value is named {node.value if node.kind == 'name' else node.value[0]}")
+    for p in node.parts:
+        in_scope(p, scope)
+    return node
+
+
 def parse(source: str) -> Node:
     root = Node("block")
     stack: list[tuple[Node, list[Node]]] = [(root, root.parts)]
     scope: list[str] = []
     for piece in re.split(r"(\{\{.*?\}\}|\{%.*?%\})", source, flags=re.S):
         if piece.startswith("{{"):
-            stack[-1][1].append(ExpressionParser(piece[2:-2]).whole())
+            stack[-1][1].append(in_scope(ExpressionParser(piece[2:-2]).whole(), scope))
         elif piece.startswith("{%"):
             verb, _, rest = piece[2:-2].strip().partition(" ")
             if verb == "for":
@@ -145,15 +154,17 @@ def parse(source: str) -> Node:
                 if not m:
                     raise TemplateError(f"cannot read for {rest!r}")
                 node = Node("for", m[1])
+                scope.append(m[1])
             elif verb == "if":
-                node = Node("if", ExpressionParser(rest).whole())
+                node = Node("if", in_scope(ExpressionParser(rest).whole(), scope))
             elif verb == "generation":
                 node = Node("generation")
             elif verb == "else" and stack[-1][0].kind == "if":
                 stack[-1] = (stack[-1][0], stack[-1][0].other)
                 continue
             elif verb.startswith("end") and len(stack) > 1 and stack[-1][0].kind == verb[3:]:
-                stack.pop()
+                if stack.pop()[0].kind == "for":
+                    scope.pop()
                 continue
             else:
                 raise TemplateError(f"unexpected {verb}")
@@ -201,12 +212,9 @@ def compile_value(node: Node) -> Callable[[dict], object]:
     if node.kind in ("text", "truth"):
         value = node.value
         return lambda env: value
-    if node.kind == "name":
-        name = node.value
-        return lambda env: env.get(name, "") if isinstance(env.get(name, ""), str) else ""
     if node.kind == "field":
         name, part = node.value[0], FIELDS.index(node.value[1])
-        return lambda env: env[name][part] if name in env else ""
+        return lambda env: env[name][part]
     parts = [compile_value(p) for p in node.parts]
     if node.kind == "filter":
         f, inner = FILTERS[node.value], parts[0]

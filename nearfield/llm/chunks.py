@@ -6,8 +6,10 @@ a chunk sends each shard one request with what it wants to know, at most once a
 chunks, and answers each. Requests and answers are compressed columns; a frequent word costs one entry a chunk, so no
 key is hot. Shards grow in number with ``spark.sql.shuffle.partitions``, which is to grow with the data.
 
-Chunk ids come from the task's place and the chunk's; input rows must be re-readable in the same order (files, not an
-unordered shuffle), as is the case for tables and written pipeline stages.
+Chunk ids come from the task's place and the chunk's, so a task that is run again must read the same rows in the same order.
+Tables and written stages are read so; an input that comes out of a shuffle is written first.
+A blob holds what one chunk asks one shard, so blobs grow in number with both: choose chunks and shards so that a blob
+still holds hundreds of entries.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, partitions
+from .common import give_back, partitions, written
 
 CHUNK_SPEC = "chunk_id long, payload binary"
 
@@ -69,6 +71,11 @@ def encoded(flat: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return d.indices.to_numpy(), d.dictionary
 
 
+def rereadable(df: DataFrame) -> DataFrame:
+    """df, written first if its rows come out of a shuffle, whose order may change when it is made again."""
+    return written(df, "input") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def pack(docs: DataFrame, words: Callable[[pa.RecordBatch], tuple[np.ndarray, pa.Array]], chunk_tokens: int = 4_000_000) -> DataFrame:
     """docs: the columns to keep, text last. words: of a batch, each row's number of words, and all words in order.
 
@@ -99,7 +106,7 @@ def pack(docs: DataFrame, words: Callable[[pa.RecordBatch], tuple[np.ndarray, pa
             held = []
         give_back()
 
-    return docs.mapInArrow(run, CHUNK_SPEC)
+    return rereadable(docs).mapInArrow(run, CHUNK_SPEC)
 
 
 def pack_bytes(docs: DataFrame, chunk_bytes: int, more: Callable[[np.ndarray, np.ndarray], tuple]) -> DataFrame:
@@ -130,7 +137,7 @@ def pack_bytes(docs: DataFrame, chunk_bytes: int, more: Callable[[np.ndarray, np
             held = []
         give_back()
 
-    return docs.mapInArrow(run, CHUNK_SPEC)
+    return rereadable(docs).mapInArrow(run, CHUNK_SPEC)
 
 
 def placed(chunks: DataFrame) -> DataFrame:

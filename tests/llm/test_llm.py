@@ -323,7 +323,7 @@ def test_templates():
     assert chat.compiled("{{ 'a' + 'b'|upper }}{% if 'x' == 'x' %}y{% else %}n{% endif %}")([]) == ("aBy", [])
     tree = chat.fold(chat.parse("x{{ 'a' + 'b' }}{% if 'p' != 'p' %}z{% endif %}c"))
     assert [(n.kind, n.value) for n in tree.parts] == [("text", "xabc")]
-    for bad in ("{{ m.__class__ }}", "{{ open('x') }}", "{% for m in other %}{% endfor %}", "{% if 'a' %}", "{{ 'a'|nosuch }}", "{% endif %}"):
+    for bad in ("{{ m.__class__ }}", "{{ open('x') }}", "{% for m in other %}{% endfor %}", "{% if 'a' %}", "{{ 'a'|nosuch }}", "{{ other }}", "{{ m.text }}", "{% for m in messages %}{{ m }}{% endfor %}", "{% for m in messages %}{% endfor %}{{ m.text }}", "{% endif %}"):
         with pytest.raises(chat.TemplateError):
             chat.compiled(bad)
 
@@ -356,6 +356,26 @@ def test_equal_texts_with_different_labels(spark):
     assert toxicity.least_rows(0.07, 1e-4) == 3 and toxicity.least_rows(0.07, 1e-6) == 4 and toxicity.least_rows(50.0, 1e-3) > 70
 
 
+def test_odd_turns(spark):
+    long = "<|im_end|> é\n" * 30_000
+    rows = [(1, None, "user", long), (1, 2, None, None), (None, 0, "assistant", "alone"), (1, None, "assistant", long)]
+    out = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert chat.read_back(out[1].formatted) == [("assistant", long), ("user", long), ("", "")] and chat.read_back(out[None].formatted) == [("assistant", "alone")]
+
+
+def test_shuffled_inputs_are_written_first(spark):
+    from nearfield.llm.chunks import rereadable
+
+    d = docs(spark, ["a b c", "b c d", None])
+    assert rereadable(d) is d and rereadable(d.repartition(3)).inputFiles()
+    assert {r.doc_id: r.n_tokens for r in bpe.digests(bpe.encode(d.orderBy(F.rand(1)), public_tokenizers.path("word_bpe_49k.json"))).collect()} == {0: 3, 1: 3, 2: 0}
+
+
+def test_urls_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.filter_urls(none, queries.URL_RULES).count() == 0
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert token_counts.count_tokens(none, *map(public_tokenizers.path, BYTE)).count() == 0
@@ -367,29 +387,72 @@ def test_empty_tables(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_pipeline(spark):
+def brute_cut(rows, length=200):
+    """What is left of texts without the passages that occur more than once, at whole characters."""
+    raw = {i: t.encode() for i, t in rows}
+    many = Counter(b[k : k + length] for b in raw.values() for k in range(len(b) - length + 1))
+    out = {}
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if many[b[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        out[i] = "".join(b[run.start() : run.end()].decode("utf-8", "ignore") for run in re.finditer(b"\0+", bytes(gone)))
+    return out
+
+
+def firsts(rows):
+    found = brute_components([(i, t or "") for i, t in rows], 5)
+    return {i: t for i, t in rows if found[i][2]}
+
+
+def check_stages(spark, sf, kept, table_):
+    """Every stage against what brute force keeps of the stage's own input."""
     import corpus_pipeline
 
-    sf, docs_ = "/root/testdata/sf0.001", None
-    docs_ = spark.read.parquet(f"{sf}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5
-    kept = {r.doc_id: r.text for r in docs_.collect()}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "minhash_near_dedup", "suffix_array_dedup", "benchmark_decontamination", "bpe"]
+    model = queries.toxic_model(spark, sf).scorer()
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    expected = {
+        "toxicity": lambda rows: {i: t for i, t in rows if model(t or "") < 0.3},
+        "minhash_near_dedup": firsts,
+        "suffix_array_dedup": lambda rows: brute_cut([(i, t or "") for i, t in rows]),
+        "benchmark_decontamination": lambda rows: {i: t for i, t in rows if i not in {d for d, _ in brute_matches(rows, bench)}},
+    }
     for name, stage in corpus_pipeline.STAGES:
-        out = written(stage(spark, docs_, sf), "stage")
+        out = written(stage(spark, table_, sf), "stage")
         rows = out.collect()
-        if name != "bpe":
-            assert out.columns == corpus_pipeline.COLUMNS and {r.doc_id for r in rows} <= kept.keys()
-        if name == "minhash_near_dedup":
-            assert {r.doc_id for r in rows} == {i for i, (_, _, first) in brute_components(sorted(kept.items()), 5).items() if first}
-        if name == "suffix_array_dedup":
-            assert {r.doc_id for r in rows} == kept.keys() and all(len(r.text) <= len(kept[r.doc_id]) for r in rows)
         if name == "bpe":
             tok = tokenizer("word_bpe_49k.json")
-            assert {r.doc_id: r.ids for r in rows} == {i: tok.encode(t, add_special_tokens=False).ids for i, t in kept.items()}
+            assert {r.doc_id: r.ids for r in rows} == {i: tok.encode(t or "", add_special_tokens=False).ids for i, t in kept.items()}
         else:
-            kept = {r.doc_id: r.text for r in rows}
-        docs_ = out
+            assert out.columns == corpus_pipeline.COLUMNS
+            kept = expected[name](sorted(kept.items()))
+            assert {r.doc_id: r.text for r in rows} == kept, name
+            assert all(r.n_chars == len(r.text) for r in rows if name == "suffix_array_dedup")
+        table_ = out
+    return kept
+
+
+def test_pipeline(spark):
+    docs_ = spark.read.parquet(f"{SF}/documents.parquet")
+    assert len(check_stages(spark, SF, {r.doc_id: r.text for r in docs_.collect()}, docs_)) > 20
+
+
+def test_pipeline_of_odd_documents(spark):
+    """Nulls in any column, empty and long texts, repeated ids' rows kept or dropped together, and no documents at all."""
+    import corpus_pipeline
+
+    spec = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    texts = [*ODD, "plain words of a text that says little " * 3, "other words " * 2]
+    odd = written(spark.createDataFrame([(i, t, None, "s" if i % 2 else None, None, "x") for i, t in enumerate(texts)], spec), "odd")
+    check_stages(spark, SF, dict(enumerate(texts)), odd)
+    twice = written(odd.unionByName(odd), "twice")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates_out(spark, twice, SF).collect()) == sorted(2 * [r.doc_id for r in corpus_pipeline.near_duplicates_out(spark, odd, SF).collect()])
+    table_ = written(odd.limit(0), "none")
+    for _, stage in corpus_pipeline.STAGES:
+        table_ = written(stage(spark, table_, SF), "stage")
+        assert table_.count() == 0
 
 
 def toy_lm():
