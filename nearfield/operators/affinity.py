@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
+from .distance import against_all, block_pairs
 
 NEGLIGIBLE = 1e-64
 LOG_ZERO = -746.0
@@ -74,6 +75,33 @@ def kl(p: DataFrame, q: DataFrame, eps: float = 2.2e-16) -> DataFrame:
     return p.where("i <> j").join(q.select("j", "i", "lq"), ["j", "i"]).agg(F.sum(F.col("p") * (F.log(F.col("p") + eps) - F.col("lq"))).alias("kl"))
 
 
+def kl_of_points(points: DataFrame, precision: float, dof: float = 1.0, eps: float = 2.2e-16) -> DataFrame:
+    """One row, kl: what kl gives of the symmetrized softmax of x (at one precision) and the student_joint of y, for points (id,
+    x, y). Each source's sums are made where its row is, and divergences by pairs of blocks; no pair is shuffled."""
+    tail = (dof + 1) / 2
+
+    def sums(j, i, dx, dy):
+        h = dx / 2
+        none = np.abs(h) <= NEGLIGIBLE
+        least = np.where(none, np.inf, h).min(1, initial=np.inf)
+        z = np.where(none, np.exp(LOG_ZERO), np.exp(-precision * (h - np.where(np.isfinite(least), least, 0)[:, None]))).sum(1)
+        return pa.table({"id": j, "least": least, "z": z, "s": ((1 + dy / dof) ** -tail).sum(1) - (j[:, None] == i[None, :]).sum(1)})
+
+    per = written(against_all(points, points, ["x", "y"], sums, "id long, least double, z double, s double"), "sums")
+    total = per.agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n")).first()
+    n, log_total = max(1, total.n), math.log(total.s) if total.s else 0.0
+
+    def divergence_of(j, i, dx, dy, of_j, of_i):
+        h = dx / 2
+        one_way = lambda least, z: np.exp(np.where(np.abs(h) <= NEGLIGIBLE, LOG_ZERO, -precision * (h - least))) / z
+        p = (one_way(of_j[:, :1], of_j[:, 1:]) + one_way(of_i[:, 0], of_i[:, 1])) / (2 * n)
+        kl_ = p * (np.log(p + eps) + tail * np.log(1 + dy / dof) + log_total)
+        return pa.table({"kl": [float(kl_[j[:, None] != i[None, :]].sum())]})
+
+    points = points.join(per.select("id", F.array("least", "z").alias("about")), "id")
+    return block_pairs(points, points, ["x", "y"], divergence_of, "kl double", carried=("about",)).agg(F.sum("kl").alias("kl"))
+
+
 def student_joint(dist: DataFrame, dof: float = 1.0) -> DataFrame:
     """j, i, s, q, lq: the embedding's kernel, normalized over all pairs; the total is one number."""
     a = dist.where("i <> j").select("j", "i", (1 + F.col("d2") / dof).alias("a")).withColumn("s", F.pow("a", F.lit(-(dof + 1) / 2)))

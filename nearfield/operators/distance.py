@@ -51,15 +51,17 @@ def unpacked(ids: bytes, column: bytes | None = None) -> np.ndarray:
     return out if column is None else np.frombuffer(column, float).reshape(len(out), -1)
 
 
-def block_pairs(left: DataFrame, right: DataFrame, columns: list[str], emit: Callable, spec: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def block_pairs(left: DataFrame, right: DataFrame, columns: list[str], emit: Callable, spec: str, block_rows: int = BLOCK_ROWS, carried: tuple[str, ...] = ()) -> DataFrame:
     """emit(ids of left, ids of right, one squared-distance matrix for each column) -> pa.Table, for each pair of blocks. Where
-    both are the same table, a pair of blocks is worked out once and emitted in both directions."""
+    both are the same table, a pair of blocks is worked out once and emitted in both directions. carried: columns of lists that
+    are handed on as matrices, those of left and then those of right."""
     same = left is right
     blocks = max(1, -(-max(left.count(), 0 if same else right.count()) // block_rows))
     partners = lambda low, high: F.explode(F.sequence(low, high))
     zero, last, own = F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"), F.col("blk")
-    a = packed(left, columns, blocks).select(own.alias("bj"), partners(own if same else zero, last).alias("bi"), F.struct("ids", *columns).alias("a"))
-    b = packed(right, columns, blocks).select(partners(zero, own if same else last).alias("bj"), own.alias("bi"), F.struct("ids", *columns).alias("b"))
+    every = [*columns, *carried]
+    a = packed(left, every, blocks).select(own.alias("bj"), partners(own if same else zero, last).alias("bi"), F.struct("ids", *every).alias("a"))
+    b = packed(right, every, blocks).select(partners(zero, own if same else last).alias("bj"), own.alias("bi"), F.struct("ids", *every).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,9 +69,10 @@ def block_pairs(left: DataFrame, right: DataFrame, columns: list[str], emit: Cal
                 x, y = x.as_py(), y.as_py()
                 j, i = unpacked(x["ids"]), unpacked(y["ids"])
                 d = [squared(unpacked(x["ids"], x[c]), unpacked(y["ids"], y[c])) for c in columns]
-                yield from emit(j, i, *d).combine_chunks().to_batches()
+                mine, other = ([unpacked(t["ids"], t[c]) for c in carried] for t in (x, y))
+                yield from emit(j, i, *d, *mine, *other).combine_chunks().to_batches()
                 if same and bj.as_py() != bi.as_py():
-                    yield from emit(i, j, *(m.T for m in d)).combine_chunks().to_batches()
+                    yield from emit(i, j, *(m.T for m in d), *other, *mine).combine_chunks().to_batches()
 
     return a.join(b, ["bj", "bi"]).select("bj", "bi", "a", "b").mapInArrow(run, spec)
 
