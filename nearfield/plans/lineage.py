@@ -20,12 +20,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+#: Tables that this process has written to the shared folder and not removed.
+_WRITTEN: list[str] = []
+
+
+def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage, and survives the loss of any executor."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _WRITTEN.append(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Removes the tables written so far, and says how many. Results are lazy and may read them: call it when they have been
+    saved or are not needed any more."""
+    paths, _WRITTEN[:] = list(_WRITTEN), []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def ranked(df: DataFrame, by: list[str], name: str) -> DataFrame:
     """df with each row's place (from 1) in the order of ``by``, which should tell rows apart. Ranges are sorted side by side
     and written; a place is that in the range plus the sizes of the ranges before it, of which there are few."""
