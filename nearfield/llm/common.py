@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.plans import lineage
 from nearfield.plans.lineage import shared_dir
 
 __all__ = ["SPLIT_SQL", "give_back", "partitions", "remainder", "shared_dir", "table", "text_or_empty", "written"]
@@ -21,11 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Written to the shared folder and read again (see plans.lineage, also for removing such tables)."""
+    return lineage.written(df, what, "zstd")
 
 
 def partitions(spark: SparkSession) -> int:
