@@ -100,14 +100,20 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tupl
     return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """Of the substrings [start, end), which begin in rising order: a block's rolling hash serves those that begin in it."""
-    out = np.empty(len(start), np.uint64)
+def hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray | int, offsets: list[int], seed: int) -> list[np.ndarray]:
+    """Of the substrings of a size at each offset from some places (in rising order), an array an offset; places that lie
+    outside are moved to the ends. A block's rolling hash is made once for all places in it and all offsets."""
+    out = [np.empty(len(start), np.uint64) for _ in offsets]
+    sizes = np.broadcast_to(np.asarray(size, np.int64), start.shape)
     i = 0
     while i < len(start):
-        base = int(start[i])
-        j = int(np.searchsorted(start, base + BLOCK))
-        roll = Rolling(data[base : int(end[i:j].max())], seed)
-        out[i:j] = roll.of(start[i:j] - base, end[i:j] - base)
+        j = int(np.searchsorted(start, start[i] + BLOCK))
+        n = sizes[i:j]
+        low = max(0, min(int(start[i]) + min(offsets), len(data) - int(n.max())))
+        roll = Rolling(data[low : int(start[j - 1]) + max(offsets) + int(n.max())], seed)
+        end = len(roll.sums) - 1
+        for o, to in zip(offsets, out, strict=True):
+            at = np.clip(start[i:j] + (o - low), 0, end - n)
+            to[i:j] = roll.of(at, at + n)
         i = j
-    return mixed(out)
+    return [mixed(x) for x in out]

@@ -98,18 +98,13 @@ class Marked:
         self.anchor, self.unit = first + place, (np.arange(len(first)), first, first + span)
         self.base: dict[int, np.ndarray] = {}
 
-    def q_grams(self, runs: np.ndarray, at: int) -> np.ndarray:
-        """Identifiers of the q-grams at an offset from the anchors of some runs (in order)."""
-        if at not in self.base:
-            start = np.clip(self.anchor, -at, len(self.data) - self.grams[0] - at) + at
-            if (np.diff(start) < 0).any():
-                order = np.argsort(start, kind="stable")
-                found = np.empty(len(start), np.uint64)
-                found[order] = hashes(self.data, start[order], start[order] + self.grams[0], 1)
-            else:
-                found = hashes(self.data, start, start + self.grams[0], 1)
-            self.base[at] = found
-        return self.base[at][runs]
+    def q_grams(self, levels: int) -> None:
+        """Identifiers of the q-grams at all offsets from the anchors that grams of so many rounds need."""
+        places = sorted({o + side for k in range(levels) for o in offsets(k, self.grams) for side in (0, self.grams[0] - self.grams[k])})
+        order = np.argsort(self.anchor, kind="stable")
+        for at, found in zip(places, hashes(self.data, self.anchor[order], self.grams[0], places, 1), strict=True):
+            self.base[at] = np.empty(len(order), np.uint64)
+            self.base[at][order] = found
 
     def parted(self, level: int) -> None:
         """Open units with the sides to which their grams grow: those whose gram begins at the anchor, and before it."""
@@ -126,12 +121,12 @@ class Marked:
         run, _, _ = self.unit
         if not level:
             self.before = np.zeros(len(run), bool)
-            return self.q_grams(run, 0)
+            return self.base[0][run]
         out = np.empty(len(run), np.uint64)
         for left in (False, True):
             some = self.before == left
             at = self.grams[0] - self.grams[level] if left else 0
-            base = {o: self.q_grams(run[some], o + at) for o in offsets(level, self.grams)}
+            base = {o: self.base[o + at][run[some]] for o in offsets(level, self.grams)}
             out[some] = named(level, self.grams, base, 0)
         return out
 
@@ -153,6 +148,7 @@ class Marked:
     def ask(self, k: int, answers: list[dict]):
         """The questions of round k, given the answers to those before."""
         levels = len(self.grams)
+        self.q_grams(min(k + 1, levels))
         for level in range(min(k, levels - 1) + 1):
             if level:
                 self.parted(level)
@@ -165,7 +161,7 @@ class Marked:
         run, first, last = self.unit
         order = np.argsort(first, kind="stable")
         whole = np.empty(len(run), np.uint64)
-        whole[order] = hashes(self.data, first[order], last[order] + self.length, 2)
+        whole[order] = hashes(self.data, first[order], (last - first)[order] + self.length, [0], 2)[0]
         place = self.anchor[run]
         questions = self.asked(key, pointers(whole, ((place - first) * self.length + (last - first)).astype(np.uint64)), False)
         if k == levels:
@@ -180,9 +176,10 @@ class Marked:
         _, first, last = self.unit
         size = last - first + 1
         self.start = np.sort(np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum())))
-        half = self.grams[-1]
-        ids = {o: hashes(self.data, self.start + o, self.start + o + self.grams[0], 1) for at in (0, self.length - half) for o in (at + x for x in offsets(levels - 1, self.grams))}
-        return self.asked(*(named(levels - 1, self.grams, {o: ids[o + at] for o in offsets(levels - 1, self.grams)}, 0) for at in (0, self.length - half)))
+        inner, later = offsets(levels - 1, self.grams), self.length - self.grams[-1]
+        places = sorted({o + at for o in inner for at in (0, later)})
+        ids = dict(zip(places, hashes(self.data, self.start, self.grams[0], places, 1), strict=True))
+        return self.asked(*(named(levels - 1, self.grams, {o: ids[o + at] for o in inner}, 0) for at in (0, later)))
 
     def keep(self, some: np.ndarray) -> None:
         self.kept_units = some
