@@ -644,6 +644,19 @@ def pca_distances(spark, sf_dir):
     return D.pairwise_sq(y.select("id", F.col("y").alias("x"))).where("j < i").select("j", "i", r6("d2", "d2"))
 
 
+@query(f"WITH {POINTS} SELECT {N} AS n, 5 AS dims, true AS uncorrelated, true AS beats_coordinates, true AS per_point_scale FROM p LIMIT 1")
+def pca_truncated(spark, sf_dir):
+    """Five of 64 components: no two go together, and they hold more variance than any five coordinates do."""
+    p = load(spark, sf_dir)
+    y, at = L.pca(p, 5), lambda c, k: F.get(c, F.lit(k))
+    apart = [F.abs(F.covar_samp(at("y", a), at("y", b))) < 1e-9 for a in range(5) for b in range(a)]
+    facts = y.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("y")).alias("dims"), F.array_min(F.array(*apart)).alias("uncorrelated"), sum(F.var_samp(at("y", k)) for k in range(5)).alias("kept"))
+    best = p.agg(F.slice(F.sort_array(F.array(*[F.var_samp(at("x", k)) for k in range(64)]), asc=False), 1, 5).alias("v")).select(F.aggregate("v", F.lit(0.0), lambda a, c: a + c).alias("coordinates"))
+    norm = F.sqrt(F.sum(F.aggregate("y", F.lit(0.0), lambda a, c: a + c * c)))
+    scale = L.pca_init(p, 2, 3.0, per_point=True).agg((F.abs(norm / (3 * F.count(F.lit(1))) - 1) < 1e-9).alias("per_point_scale"))
+    return facts.join(best).join(scale).select("n", "dims", "uncorrelated", (F.col("kept") > F.col("coordinates")).alias("beats_coordinates"), "per_point_scale")
+
+
 @query(f"WITH {PAIRS} SELECT j, i, round(d2, 6) AS d2 FROM d WHERE j < i")
 def pcoa_distances(spark, sf_dir):
     y = L.pcoa(D.pairwise_sq(load(spark, sf_dir)), 64)
@@ -677,10 +690,15 @@ def random_init(spark, sf_dir):
     return y.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.abs(F.get("y", F.lit(0))) < 1e-3).alias("small"))
 
 
-@query(f"WITH {POINTS} SELECT {N} AS n, true AS centered")
+@query(f"WITH {POINTS} SELECT count(*) AS n, true AS centered, true AS uncorrelated, true AS in_order, round(var_samp(x[1]) + var_samp(x[2]) + var_samp(x[3]), 6) AS variance FROM p")
 def rotate_final(spark, sf_dir):
     y = L.rotate(load(spark, sf_dir).select("id", F.slice("x", 1, 3).alias("y")))
-    return y.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.avg(F.get("y", F.lit(0)))) < 1e-9).alias("centered"))
+    at = lambda k: F.get("y", F.lit(k))
+    pairs = [F.abs(F.covar_samp(at(a), at(b))) < 1e-9 for a, b in ((0, 1), (0, 2), (1, 2))]
+    return y.agg(
+        F.count(F.lit(1)).alias("n"), (F.abs(F.avg(at(0))) < 1e-9).alias("centered"), (pairs[0] & pairs[1] & pairs[2]).alias("uncorrelated"),
+        ((F.var_samp(at(0)) >= F.var_samp(at(1))) & (F.var_samp(at(1)) >= F.var_samp(at(2)))).alias("in_order"), r6(sum(F.var_samp(at(k)) for k in range(3)), "variance"),
+    )
 
 
 # Grids.
@@ -721,22 +739,41 @@ def gen_toroid(spark, sf_dir):
     return S.gen_toroid(spark).select("id", *[r6(F.get("x", F.lit(k)), f"x{k + 1}") for k in range(3)], r6("label", "label"))
 
 
-def _generator(name: str, make, n: int, d: int, lo: float, hi: float) -> None:
-    sql = f"SELECT CAST({n} AS BIGINT) AS n, {d} AS least_dim, {d} AS largest_dim, true AS inside, true AS labelled"
+def _generator(name: str, make, n: int, d: int, lo: float, hi: float, shape) -> None:
+    """shape: what each point must meet, given a function that gets its coordinates (from 0)."""
+    sql = f"SELECT CAST({n} AS BIGINT) AS n, {d} AS least_dim, {d} AS largest_dim, true AS inside, true AS labelled, true AS shaped"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = make(spark)
         inside = F.bool_and(F.forall("x", lambda c: (c >= lo) & (c <= hi)))
-        return g.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("x")).alias("least_dim"), F.max(F.size("x")).alias("largest_dim"), inside.alias("inside"), F.bool_and(F.col("label").isNotNull()).alias("labelled"))
+        shaped = F.bool_and(shape(lambda k: F.get("x", F.lit(k))))
+        return g.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("x")).alias("least_dim"), F.max(F.size("x")).alias("largest_dim"), inside.alias("inside"), F.bool_and(F.col("label").isNotNull()).alias("labelled"), shaped.alias("shaped"))
 
     query(sql, name)(run)
 
 
-_generator("gen_blobs", S.gen_blobs, 625, 20, -200, 200)
-_generator("gen_circle", S.gen_circle, 6000, 10, -1, 1)
-_generator("gen_cube", S.gen_cube, math.ceil(8192 * (2 / math.sqrt(math.pi)) ** 3 * math.gamma(2.5)), 3, -0.5, 0.5)
-_generator("gen_sphere", S.gen_sphere, 3000, 3, -1.0001, 1.0001)
-_generator("gen_roll", S.gen_roll, 6000, 3, -2.0001, 2.0001)
+def near(a, b):
+    return F.abs(a - b) < 1e-9
+
+
+def on_roll(x):
+    r = F.sqrt(x(0) ** 2 + x(1) ** 2)
+    return near(r * F.cos(2 * math.pi * r), x(0)) & near(r * F.sin(2 * math.pi * r), x(1)) & near(F.col("label"), F.ceil(8 + 4 * x(2)))
+
+
+_generator("gen_blobs", S.gen_blobs, 625, 20, -200, 200, lambda x: near(F.col("label"), (F.col("id") - 1) % 5 + 1))
+_generator("gen_circle", S.gen_circle, 6000, 10, -1, 1, lambda x: near(x(0) ** 2 + x(1) ** 2, F.lit(1.0)))
+_generator("gen_cube", S.gen_cube, math.ceil(8192 * (2 / math.sqrt(math.pi)) ** 3 * math.gamma(2.5)), 3, -0.5, 0.5, lambda x: near(F.col("label"), 1 + sum((x(k) > 0).cast("int") * 2 ** (k + 1) for k in range(3))))
+_generator("gen_sphere", S.gen_sphere, 3000, 3, -1.0001, 1.0001, lambda x: near(x(0) ** 2 + x(1) ** 2 + x(2) ** 2, F.lit(1.0)))
+_generator("gen_roll", S.gen_roll, 6000, 3, -2.0001, 2.0001, on_roll)
+
+
+@query("SELECT l, CAST(pow(5, 5 - l) AS BIGINT) AS different, CAST(pow(5, l - 1) AS BIGINT) AS copies FROM (SELECT unnest(range(1, 5)) AS l)")
+def gen_blobs_tiling(spark, sf_dir):
+    """Of each block of coordinates: how many different rows, and how often each occurs."""
+    blocks = S.gen_blobs(spark).select(F.posexplode(F.array(*[F.slice("x", 5 * k + 1, 5) for k in range(4)])).alias("k", "rows"))
+    many = blocks.groupBy("k", "rows").count().groupBy("k").agg(F.count(F.lit(1)).alias("different"), F.min("count").alias("copies"))
+    return many.select((F.col("k") + 1).cast("long").alias("l"), "different", "copies")
 
 
 @query("SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x1, p_retailprice AS x2 FROM part WHERE (p_partkey - 1) % 3 = 0")
