@@ -61,6 +61,9 @@ class Lists:
         self.ids, self.x = ids[by], x[by]
         self.most = int(np.abs(self.x).max(initial=0))
         self.order = np.argsort(self.x, axis=0, kind="stable").T.astype(np.int32) if len(ids) else np.zeros((x.shape[1], 0), np.int32)
+        # the same lists by row: a row's place in each
+        self.place = np.empty(self.x.shape, np.int32)
+        np.put_along_axis(self.place, self.order.T, np.arange(len(ids), dtype=np.int32)[:, None], 0)
         self.as32, self.as64 = None, None
 
     def matrix(self, bound: int):
@@ -92,10 +95,16 @@ class Lists:
             if (m[at, lists] * qq[lists]).sum() < need:
                 break
             to = np.minimum(n, np.ceil(reach * weight).astype(np.int64))
-            met = np.concatenate([self.order[d, n - b : n - a] if high else self.order[d, a:b] for d, high, a, b in zip(lists.tolist(), up.tolist(), depth.tolist(), to.tolist(), strict=True)])
-            before = seen.copy()
-            seen[met] = True
-            new = np.flatnonzero(seen & ~before)
+            if left * len(lists) < (to - depth).sum():  # few are left: which of them lie above the new depths
+                new = np.flatnonzero(~seen)
+                at = self.place[new][:, lists]
+                new = new[np.where(up, at >= n - to, at < to).any(1)]
+                seen[new] = True
+            else:
+                met = np.concatenate([self.order[d, n - b : n - a] if high else self.order[d, a:b] for d, high, a, b in zip(lists.tolist(), up.tolist(), depth.tolist(), to.tolist(), strict=True)])
+                before = seen.copy()
+                seen[met] = True
+                new = np.flatnonzero(seen & ~before)
             left -= len(new)
             new = new[self.ids[new] != me]
             rows.append(new)
