@@ -208,17 +208,22 @@ def brute_matches(texts, items, width=5):
         return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
 
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
-    out = {}
+    out, split_texts = {}, [(i, split(text)) for i, text in texts]
+    held = {k: [{tuple(d[p : p + k]) for p in range(len(d) - k + 1)} for _, d in split_texts] for k in range(1, width + 1)}
     for item, t in items:
         w = split(t)
         k = min(width, len(w))
-        own = counted(w, k)
-        for i, text in texts if w else ():
-            d = split(text)
-            if not own.keys() & counted(d, k).keys():
+        own, places = counted(w, k), defaultdict(list)
+        for o in range(len(w) - k + 1):
+            places[tuple(w[o : o + k])].append(o)
+        for (i, d), shingles in zip(split_texts, held[k], strict=True) if w else ():
+            if own.keys().isdisjoint(shingles):
                 continue
-            aligned = {max(0, p - o) for p in range(len(d) - k + 1) for o in range(len(w) - k + 1) if d[p : p + k] == w[o : o + k]}
+            aligned = {max(0, p - o) for p in range(len(d) - k + 1) for o in places.get(tuple(d[p : p + k]), ())}
+            upto = np.concatenate([[0], np.cumsum([tuple(d[p : p + k]) in own for p in range(len(d) - k + 1)])])
             for s in aligned | set(range(len(d) - len(w) + 1)):
+                if upto[min(s + len(w) - k + 1, len(upto) - 1)] - upto[min(s, len(upto) - 1)] < 0.8 * sum(own.values()):
+                    continue  # fewer shared shingles than 0.8 takes
                 got = counted(d[s : s + len(w)], k)
                 both = sum((got & own).values())
                 sim = both / (sum(got.values()) + sum(own.values()) - both)
