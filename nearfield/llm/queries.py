@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, minhash, ngram_lm, repeats, token_counts, topk, toxicity, url_filter
+from . import bpe, centroids, chat, decontaminate, minhash, ngram_lm, quality_rules, repeats, source_audit, token_counts, topk, toxicity, url_filter
 from .common import remainder, table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -63,7 +63,44 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_lm_scoring, op4_decontamination, op5_exact_topk, op6_suffix_dedup, op7_chat_format, op8_minhash, op9_bpe, op10_url_filter)}
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op2_toxicity, op3_lm_scoring, op4_decontamination, op5_exact_topk, op6_suffix_dedup, op7_chat_format, op8_minhash, op9_bpe, op10_url_filter, op11_source_audit, op12_centroids,
+    op13_quality_rules,
+)}
+
+
+def centroid_rounds(rounds: int = 10, k: int = 8) -> str:
+    """The rounds of operator 12, written out."""
+    near = """SELECT id, v, near.k AS cluster, near.d AS d FROM (
+                  SELECT id, v, rid, unnest(list_transform(cs, lambda e: {'k': e.k, 'd': CAST(list_sum(list_transform(list_zip(v, e.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)})) AS near
+                  FROM kept, (SELECT list({'k': k, 'c': c}) AS cs FROM %s)) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY near.d, near.k) = 1"""
+    steps = [f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || id), v) - 1 AS k, v AS c FROM kept ORDER BY sha256('3:' || id), v LIMIT {k})"""]
+    for r in range(rounds):
+        steps += [
+            f"a{r} AS MATERIALIZED ({near % f'c{r}'})",
+            f"s{r} AS (SELECT cluster, place, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS place FROM a{r}) GROUP BY ALL)",
+            f"m{r} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY place) AS c FROM s{r} GROUP BY cluster)",
+            f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON k = cluster)",
+        ]
+    return f"""
+        WITH kept AS MATERIALIZED (SELECT vec_id AS id, row_number() OVER () AS rid, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+             {", ".join(steps)}, z AS MATERIALIZED ({near % f'c{rounds}'})
+        SELECT id AS vec_id, CAST(cluster AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c, ',')) AS centroid_sha256 FROM z JOIN c{rounds} ON k = cluster"""
 
 ORACLES = {
     "op5_exact_topk": """
@@ -100,4 +137,23 @@ ORACLES = {
              m AS (SELECT page_id, host, path, h || s AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY (h IS NULL), length(h || s) DESC) AS k
                    FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s))
         SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""",
+    "op11_source_audit": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+             w AS MATERIALIZED (SELECT rid, lang, source, unnest(t) AS term FROM d),
+             k AS MATERIALIZED (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+             n AS MATERIALIZED (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS c FROM w JOIN k USING (lang, term) GROUP BY ALL),
+             g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+             v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM k GROUP BY lang),
+             gn AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS total FROM g LEFT JOIN n USING (lang, source) GROUP BY ALL),
+             p AS MATERIALIZED (SELECT gn.lang, gn.source, k.term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 2)) // CAST(total + 2 * v.v AS HUGEINT) AS p
+                   FROM gn JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN n ON n.lang = gn.lang AND n.source = gn.source AND n.term = k.term),
+             q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 2)) // CAST(sum(sum(c)) OVER (PARTITION BY lang) + 2 * any_value(v.v) AS HUGEINT) AS q FROM n JOIN v USING (lang) GROUP BY lang, term),
+             two AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+             r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                          LEFT JOIN two ON two.lang = a.lang AND two.source = a.source AND two.item = b.source
+                   UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+             o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+        SELECT * FROM o WHERE part = 'pair' OR rank <= 10""",
+    "op12_centroids": centroid_rounds(),
 }
