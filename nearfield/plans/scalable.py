@@ -58,7 +58,7 @@ def eps_graph_parts(spark, sf_dir):
 @query("SELECT count(*) * (count(*) - 1) // 2 AS pairs, true AS pruned FROM part")
 def eps_graph_work(spark, sf_dir):
     """Is at most a tenth of all pairs of parts worked out?"""
-    return C.radius_work(parts(spark, sf_dir), 1.0, block_rows=16).select("pairs", (10 * F.col("compared") <= F.col("pairs")).alias("pruned"))
+    return C.radius_work(parts(spark, sf_dir), 1.0, 128, 16).select("pairs", (10 * F.col("compared") <= F.col("pairs")).alias("pruned"))
 
 
 @query(f"""{COMPONENTS}, l AS (SELECT a.component AS cj, b.component AS ci, sqrt(d2) AS d, j, i FROM d JOIN f a ON a.id = j JOIN f b ON b.id = i WHERE a.component <> b.component)
