@@ -2,6 +2,7 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -474,9 +475,10 @@ def every_reading(lm, noisy):
             if c.isalpha():
                 nxt.append((score + lm.log(out[-3:], c), out + c))
                 continue
-            nxt += [(score - 1.0 + lm.log(out[-3:], x), out + x) for x in toxicity.STANDS_FOR[c]]
+            stands = toxicity.STANDS_FOR.get(c, "")
+            nxt += [(score - 1.0 + lm.log(out[-3:], x), out + x) for x in stands]
             nxt += [] if c.isdigit() else [(score - 0.4, out)]
-            nxt += [(score - 4.0 + lm.log(out[-3:], " "), out + " ")] if out[-1] != " " else [(score - 4.0, out)] if c.isdigit() else []
+            nxt += [(score - (4.0 if stands else 3.0) + lm.log(out[-3:], " "), out + " ")] if out[-1] != " " else [(score - 4.0, out)] if c.isdigit() or not stands else []
         paths = nxt
     return max((score + (0 if out[-1] == " " else lm.log(out[-3:], " ")), out.strip()) for score, out in paths)[1]
 
@@ -497,12 +499,46 @@ def test_one_letter_before_signs_and_other_scripts_are_read():
     assert toxicity.Restorer(lm).text("a$$") == "ass" and toxicity.Restorer(lm).text("שלוווום") == "שלום"
 
 
-def test_long_stretches_are_read_like_short_ones():
+def test_long_stretches_are_read_like_short_ones(monkeypatch):
     lm, rng = toy_lm(), np.random.default_rng(21)
-    for signs in ("*(!$6", "idot1!0._ ", "st00p!d|1l", "-=aai!"):
-        noisy = "".join(rng.choice(list(signs), 150))
-        got, want = (f(lm, noisy) for f in (toxicity.restore_long, toxicity.restore))
-        assert got == want, signs
-    assert toxicity.restore_long(lm, "1d!0t", block=2) == "idiot"
-    began = time.time()
-    assert toxicity.Restorer(lm).text("x" + "*(!$6" * 4000)[0] == "x" and time.time() - began < 60
+    for few in (toxicity.crowded, lambda _: 0, lambda _: math.inf, lambda _: 6):  # as it is; all arrays; none; in turns
+        monkeypatch.setattr(toxicity, "crowded", few)
+        for signs in ("*(!$6", "idot1!0._ ", "st00p!d|1l", "-=aai!"):
+            noisy = "".join(rng.choice(list(signs), 150))
+            want = toxicity.restore(lm, noisy)
+            assert {toxicity.restore_long(lm, noisy, b) for b in (None, 7)} == {want}, signs
+        assert toxicity.restore_long(lm, "1d!0t", block=2) == "idiot"
+
+
+def test_long_stretches_take_little_time_and_memory():
+    lm, rng = toy_lm(), np.random.default_rng(22)
+    base64 = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789+"), 40_000))
+    for noisy, seconds in ((base64, 30), ("x" + "*(!$6" * 2000, 60)):
+        began = time.time()
+        tracemalloc.start()
+        assert toxicity.Restorer(lm).text(noisy)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert time.time() - began < seconds and peak < 150e6
+
+
+def test_characters_without_width_part_nothing():
+    assert toxicity.Restorer(toy_lm()).text("an i\u200bd\u00adiot") == "an idiot"
+
+
+def test_scores_by_hand(spark):
+    """The score by plain counting over the text and its best reading, each by its definition."""
+    lm = toy_lm()
+    marks = {"idiot": toxicity.Mark(1e-4, 1.5, 3.0), "mor*": toxicity.Mark(2e-3, 0.7, 0.4), "scum": toxicity.Mark(5e-4, 1.0, 0.2)}
+    model = toxicity.ToxicModel(lm, marks, 0.01)
+    texts = ["", "an idiot", "id!0t talk", "m.o.r.o.n", "idiots moron mortal scum idiot", "table", "sc*m and sc*m", "idiot " * 3000, "@" * 1500]
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, texts + texts[:2]), model).collect()}
+    for k, t in enumerate(texts + texts[:2]):
+        parts = [w if re.fullmatch(r"[a-z]*", w) or len(w) > 20 else every_reading(lm, w) for w in t.split(" ")]
+        seen = [re.findall("[a-z]+", x) for x in (t, " ".join(parts))]
+        odds = model.base
+        for f, m in marks.items():
+            n = max(sum(w.startswith(f[:-1]) if f[-1] == "*" else w == f for w in words_) for words_ in seen)
+            chance = m.rate * (t.count(" ") + t.count("\n") + 1)
+            odds += m.odds * ((chance + m.mean) / chance) ** n * math.exp(-m.mean) if 0 < n < 3000 else math.exp(50) if n else 0
+        assert got[k] == pytest.approx(odds / (1 + odds), abs=1e-9), t
