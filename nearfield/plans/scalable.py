@@ -5,15 +5,19 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import cells as C
 from ..operators import distance as D
 from ..operators import graph as G
+from ..operators import linalg as L
 from ..operators import neighbors as A
+from ..operators import quadtree as B
 from ..operators import select as R
 from ..operators import spectral as W
 from ..operators import tree as T
+from ..operators import upkeep as U
 from ..sources import matrices
 from ..sources import points as S
 from .lineage import shared_dir, written
@@ -119,3 +123,29 @@ def source_matrix(spark, sf_dir):
     x = F.slice("x", 2, 1 << 20)
     rows = spark.read.format("matrix").option("split_bytes", 1 << 20).load(path).select(F.get("x", F.lit(0)).cast("long").alias("id"), x.alias("x"))
     return rows.select("id", F.size("x").alias("dims"), r6(F.aggregate("x", F.lit(0.0), lambda a, c: a + c), "total"), r6(F.get("x", F.lit(63)), "last"))
+
+
+@query()
+def paths_kept_up(spark, sf_dir):
+    """Shortest paths of the two nearest neighbours' graph while its components are linked. Unrolled SQL would grow with the
+    paths' hops; tests hold the table against one made anew."""
+    p = load(spark, sf_dir)
+    paths = U.connected_paths(p, D.undirected(D.knn_graph(p, 2)))[1]
+    return paths.select("j", "i", r6("d", "d"), F.col("hops").cast("long").alias("hops"), "pred")
+
+
+@query(f"WITH {POINTS} SELECT count(*) AS n, true AS sums_near, true AS forces_near FROM p")
+def repulsion_by_cells(spark, sf_dir):
+    """Of two principal components, blown up: are sums within a thousandth and forces within a hundredth of those of all pairs?"""
+    y = written(L.pca(load(spark, sf_dir), 2).select("id", F.transform("y", lambda c: 40 * c).alias("y")), "plane")
+
+    def emit(j, i, d2, yj, yi):
+        w = 1 / (1 + d2) * (j[:, None] != i[None])
+        f = (w**2)[:, :, None] * (yj[:, None] - yi[None])
+        return pa.table({"id": j, "z": w.sum(1), "fx": f[:, :, 0].sum(1), "fy": f[:, :, 1].sum(1)})
+
+    both = y.select("id", F.col("y").alias("x"), "y")
+    exact = D.block_pairs(both, both, ["x"], emit, "id long, z double, fx double, fy double", carried=("y",)).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("z", "fx", "fy")])
+    got = B.repulsion(y).select("id", F.col("z").alias("gz"), "f").join(exact, "id")
+    off = F.sqrt((F.get("f", F.lit(0)) - F.col("fx")) ** 2 + (F.get("f", F.lit(1)) - F.col("fy")) ** 2)
+    return got.agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("gz") / F.col("z") - 1)) < 1e-3).alias("sums_near"), (F.max(off) < 0.01 * F.avg(F.sqrt(F.col("fx") ** 2 + F.col("fy") ** 2))).alias("forces_near"))
