@@ -24,10 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def place(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, which ``clean`` removes with the others."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def written(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, and survives the loss of any executor."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = place(df.sparkSession, what)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -17,7 +17,7 @@ from ..operators import mosaic as M
 from ..operators import quality as Q
 from ..operators import tree as T
 from ..sources import points as S
-from .lineage import shared_dir, written
+from .lineage import place, written
 
 QUERIES, ORACLES = {}, {}
 EMBEDDINGS = {"first": 1, "middle": 31, "last": 63}
@@ -359,7 +359,7 @@ def multiscale_similarity(spark, sf_dir):
     return A.multiscale(halves(spark, sf_dir), [5, 20, 80]).where("i <> j").select("j", "i", r6("lp", "lp"))
 
 
-@query(f"WITH {PAIRS}, {softmax_sql(20.0)} SELECT a.j, a.i, round((a.p + b.p) / 2 * {N}, 6) AS pn FROM s a JOIN s b ON a.j = b.i AND a.i = b.j WHERE a.j < a.i")
+@query(f"WITH {PAIRS}, {softmax_sql(20.0)} SELECT least(j, i) AS j, greatest(j, i) AS i, round(sum(p) / 2 * {N}, 6) AS pn FROM s WHERE j <> i GROUP BY ALL")
 def sym_affinity(spark, sf_dir):
     p = load(spark, sf_dir)
     n = p.count()
@@ -524,7 +524,7 @@ def apsp_stretched(spark, sf_dir):
     return s.select("j", "i", "pred", "succ", r6("s", "s"))
 
 
-@query(f"WITH RECURSIVE {FOLLOWED} SELECT j, i FROM b WHERE NOT EXISTS (SELECT 1 FROM b t WHERE t.j = b.j AND t.pred = b.i)")
+@query(f"WITH RECURSIVE {FOLLOWED} SELECT j, i FROM b EXCEPT SELECT j, pred FROM b")
 def apsp_terminals(spark, sf_dir):
     return G.terminals(G.shortest_paths(graph6(spark, sf_dir)[1]))
 
@@ -778,9 +778,7 @@ def gen_blobs_tiling(spark, sf_dir):
 
 @query("SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x1, p_retailprice AS x2 FROM part WHERE (p_partkey - 1) % 3 = 0")
 def source_csv(spark, sf_dir):
-    import uuid
-
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = place(spark, "csv")
     S.write_csv(part_grid(spark, sf_dir).select("id", "x", "label"), path, 2)
     back = S.read_csv(spark, path, "id long, x1 double, x2 double, label double", ["x1", "x2"], "id", 3)
     return back.select("id", F.get("x", F.lit(0)).alias("x1"), F.get("x", F.lit(1)).alias("x2"))
@@ -788,9 +786,7 @@ def source_csv(spark, sf_dir):
 
 @query("SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS dims, CAST(label AS DOUBLE) AS label FROM embeddings")
 def source_parquet(spark, sf_dir):
-    import uuid
-
-    path = f"{shared_dir(spark)}/points-{uuid.uuid4().hex}"
+    path = place(spark, "points")
     S.write_parquet(load(spark, sf_dir), path)
     return S.read_parquet(spark, path).select("id", F.size("x").alias("dims"), "label")
 

@@ -3,8 +3,6 @@ their twins are the same SQL."""
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -20,7 +18,7 @@ from ..operators import tree as T
 from ..operators import upkeep as U
 from ..sources import matrices
 from ..sources import points as S
-from .lineage import shared_dir, written
+from .lineage import place, written
 from .queries import COMPONENTS, DEPTH, MEMBERS, PAIRS, POINTS, STATS, load, query, r6, tree_sql
 
 NEAR = 6
@@ -117,7 +115,7 @@ def pca_wide(spark, sf_dir):
 @query(f"WITH {POINTS} SELECT id, CAST(len(x) AS INTEGER) AS dims, round(list_sum(x), 6) AS total, round(x[64], 6) + 0.0 AS last FROM p")
 def source_matrix(spark, sf_dir):
     """The points as matrix files (the id in the first column), and read again by splits of rows."""
-    path = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}"
+    path = place(spark, "matrix")
     p = load(matrices.register(spark), sf_dir).select(F.concat(F.array(F.col("id").cast("double")), "x").alias("x"))
     p.write.format("matrix").option("file_rows", 4096).mode("append").save(path)
     x = F.slice("x", 2, 1 << 20)
