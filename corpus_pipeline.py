@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import bpe, decontaminate, minhash, repeats, toxicity
-from nearfield.llm.common import shared_dir, table
+from nearfield.llm.common import table, written
 from nearfield.llm.queries import toxic_model
 from nearfield.plans.ship import ship
 
@@ -57,9 +55,6 @@ STAGES = [("toxicity", toxic_out), ("minhash_near_dedup", near_duplicates_out),
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), f"{k}-{name}")
     return docs
