@@ -7,7 +7,7 @@ so they weigh nothing. All are columns of one source j, so one shuffle by j serv
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
-from .distance import against_all, block_pairs
+from .distance import block_pairs
 
 NEGLIGIBLE = 1e-64
 LOG_ZERO = -746.0
@@ -75,19 +75,39 @@ def kl(p: DataFrame, q: DataFrame, eps: float = 2.2e-16) -> DataFrame:
     return p.where("i <> j").join(q.select("j", "i", "lq"), ["j", "i"]).agg(F.sum(F.col("p") * (F.log(F.col("p") + eps) - F.col("lq"))).alias("kl"))
 
 
-def kl_of_points(points: DataFrame, precision: float, dof: float = 1.0, eps: float = 2.2e-16) -> DataFrame:
-    """One row, kl: what kl gives of the symmetrized softmax of x (at one precision) and the student_joint of y, for points (id,
-    x, y). Each source's sums are made where its row is, and divergences by pairs of blocks; no pair is shuffled."""
-    tail = (dof + 1) / 2
+def softmax_sums(points: DataFrame, precision: float, kernel: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """id, least, z, u, s of each source j: the least h = d2 / 2 that isn't negligible, and over all others the sums of e =
+    exp(-precision * (h - least)), of e * (h - least), and of the kernel of squared distances in y (0 if none is given). Each pair
+    of blocks sends one row a source, taken from the least of that block; what is summed is moved to the least of all."""
 
-    def sums(j, i, dx, dy):
+    def sums(j, i, dx, dy=None):
         h = dx / 2
         none = np.abs(h) <= NEGLIGIBLE
         least = np.where(none, np.inf, h).min(1, initial=np.inf)
-        z = np.where(none, np.exp(LOG_ZERO), np.exp(-precision * (h - np.where(np.isfinite(least), least, 0)[:, None]))).sum(1)
-        return pa.table({"id": j, "least": least, "z": z, "s": ((1 + dy / dof) ** -tail).sum(1) - (j[:, None] == i[None, :]).sum(1)})
+        over = np.where(none, 0, h - np.where(np.isfinite(least), least, 0)[:, None])
+        e = np.where(none, 0, np.exp(-precision * over))
+        s = np.zeros(len(j)) if kernel is None else (kernel(dy) * (j[:, None] != i[None, :])).sum(1)
+        return pa.table({"id": j, "lowest": pa.array(least, mask=~np.isfinite(least)), "z": e.sum(1), "u": (e * over).sum(1), "s": s})
+
+    parts = block_pairs(points, points, ["x"] if kernel is None else ["x", "y"], sums, "id long, lowest double, z double, u double, s double")
+    parts = parts.withColumn("least", F.min("lowest").over(Window.partitionBy("id")))
+    up = F.coalesce(F.col("lowest") - F.col("least"), F.lit(0.0))
+    moved = F.exp(-precision * up)
+    total = parts.groupBy("id").agg(F.coalesce(F.min("least"), F.lit(0.0)).alias("least"), F.sum(F.col("z") * moved).alias("z"), F.sum((F.col("u") + F.col("z") * up) * moved).alias("u"), F.sum("s").alias("s"))
+    return total.select("id", "least", "z", "u", "s")
+
 
-    per = written(against_all(points, points, ["x", "y"], sums, "id long, least double, z double, s double"), "sums")
+def entropy_of_points(points: DataFrame, precision: float) -> DataFrame:
+    """j, entropy: what entropy gives of the softmax of halved squared distances, without a row a pair (null: no other point)."""
+    z = F.col("z")
+    return softmax_sums(points, precision).select(F.col("id").alias("j"), F.when(z > 0, F.log(z) + precision * F.col("u") / z).alias("entropy"))
+
+
+def kl_of_points(points: DataFrame, precision: float, dof: float = 1.0, eps: float = 2.2e-16) -> DataFrame:
+    """One row, kl: what kl gives of the symmetrized softmax of x (at one precision) and the student_joint of y, for points (id,
+    x, y). Sources' sums and divergences are both made by pairs of blocks; no pair is shuffled."""
+    tail = (dof + 1) / 2
+    per = written(softmax_sums(points, precision, lambda dy: (1 + dy / dof) ** -tail), "sums")
     total = per.agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n")).first()
     n, log_total = max(1, total.n), math.log(total.s) if total.s else 0.0
 

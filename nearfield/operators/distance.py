@@ -3,11 +3,13 @@
 Pairs are made in blocks: points are dealt into blocks by hash and packed to one row a block; an equi-join on block numbers
 makes each unordered pair of blocks once, and a NumPy task emits both directions (differences summed in order of dimension).
 Nothing is broadcast, and no pair of rows is shuffled to be made; nearest-neighbour and radius graphs filter inside the block
-task, so only what is kept leaves it.
+task, so only what is kept leaves it. What needs all distances of a source (its ranks, say) is given them packed, a few sources
+a task; the points themselves never meet in one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,8 +57,11 @@ def block_pairs(left: DataFrame, right: DataFrame, columns: list[str], emit: Cal
     """emit(ids of left, ids of right, one squared-distance matrix for each column) -> pa.Table, for each pair of blocks. Where
     both are the same table, a pair of blocks is worked out once and emitted in both directions. carried: columns of lists that
     are handed on as matrices, those of left and then those of right."""
-    same = left is right
-    blocks = max(1, -(-max(left.count(), 0 if same else right.count()) // block_rows))
+    same, tasks = left is right, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = max(left.count(), 0 if same else right.count())
+    # blocks of a small table are smaller, down to 64 rows, so that their pairs are several a task
+    blocks = max(1, -(-rows // block_rows), min(-(-rows // 64), math.isqrt(8 * tasks) + 1))
+    tasks = min(tasks, blocks * (blocks + 1) // 2)
     partners = lambda low, high: F.explode(F.sequence(low, high))
     zero, last, own = F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"), F.col("blk")
     every = [*columns, *carried]
@@ -74,6 +79,8 @@ def block_pairs(left: DataFrame, right: DataFrame, columns: list[str], emit: Cal
                 if same and bj.as_py() != bi.as_py():
                     yield from emit(i, j, *(m.T for m in d), *other, *mine).combine_chunks().to_batches()
 
+    # a stated number of partitions isn't coalesced: the tables are small, the work of a pair isn't
+    a, b = a.repartition(tasks, "bj", "bi"), b.repartition(tasks, "bj", "bi")
     return a.join(b, ["bj", "bi"]).select("bj", "bi", "a", "b").mapInArrow(run, spec)
 
 
@@ -90,25 +97,28 @@ def pairwise_sq(points: DataFrame, landmarks: DataFrame | None = None, column: s
 
 
 def against_all(points: DataFrame, sources: DataFrame, columns: list[str], emit: Callable, spec: str, cells: int = 4_000_000) -> DataFrame:
-    """emit(ids of a block of sources, ids of all points, one squared-distance matrix for each column) -> pa.Table. For what
-    needs a source's whole row: points are in order of id, and a task holds about ``cells`` distances a column."""
-    n = points.count()
-    blocks = max(1, -(-sources.count() * max(n, 1) // cells))
-    whole = packed(points, columns, max(1, -(-n // 4096))).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("blk"), F.col("ids").alias("r_ids"), *[F.col(c).alias(f"r_{c}") for c in columns])
-
-    def run(key: tuple, x: pa.Table, y: pa.Table) -> Iterator[pa.Table] | pa.Table:
-        nothing = emit(np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros((0, 0))] * len(columns))
-        if not x.num_rows or not y.num_rows:
-            return nothing
-        mine, ids = unpacked(x["ids"][0].as_py()), np.concatenate([unpacked(r.as_py()) for r in y["r_ids"]])
+    """emit(ids of some sources, ids of all points, one squared-distance matrix for each column) -> pa.Table. For what needs all
+    distances of a source: they are made by pairs of blocks and sent, packed, to the task of the source, which holds about
+    ``cells`` of them a column (those of one source at least). Points are in order of id. What is shuffled grows with the pairs,
+    8 bytes a column for each; no task holds all points."""
+    many = sources.count()
+    n = many if sources is points else points.count()
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = max(1, min(cells // max(n, 1), -(-many // (4 * tasks))))
+
+    def pack(j, i, *d):
+        runs = [slice(k, k + each) for k in range(0, len(j), each)]
+        own = {"first": [int(j[r.start]) for r in runs], "j": [j[r].tobytes() for r in runs], "i": [i.tobytes()] * len(runs)}
+        return pa.table(own | {f"d{c}": pa.array([np.ascontiguousarray(m[r]).tobytes() for r in runs], pa.binary()) for c, m in enumerate(d)})
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        mine, ids = np.frombuffer(t["j"][0].as_buffer(), np.int64), np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t["i"]])
         order = np.argsort(ids, kind="stable")
-        d = []
-        for c in columns:
-            rows = np.concatenate([unpacked(i.as_py(), v.as_py()) for i, v in zip(y["r_ids"], y[f"r_{c}"], strict=True)])[order]
-            d.append(squared(unpacked(x["ids"][0].as_py(), x[c][0].as_py()), rows))
-        return emit(mine, ids[order], *d)
+        rows = lambda c: np.concatenate([np.frombuffer(x.as_buffer(), float).reshape(len(mine), -1) for x in t[c]], axis=1)[:, order]
+        return emit(mine, ids[order], *(rows(f"d{c}") for c in range(len(columns))))
 
-    return packed(sources, columns, blocks).groupBy("blk").cogroup(whole.groupBy("blk")).applyInArrow(run, spec)
+    packs = block_pairs(sources, points, columns, pack, ", ".join(["first long, j binary, i binary", *(f"d{c} binary" for c in range(len(columns)))]))
+    return packs.groupBy("first").applyInArrow(run, spec)
 
 
 def pairwise_euclid(points: DataFrame, landmarks: DataFrame | None = None, below: bool = False) -> DataFrame:

@@ -13,30 +13,53 @@ from pyspark.sql import functions as F
 
 from .distance import against_all
 
+#: Pairs that a task counts at a time.
+COUNTED = 2_000_000
+
 
 def ranks(dist: DataFrame, d: str = "d2", name: str = "k") -> DataFrame:
     """j, i, rank (0: the nearest, in order of distance and id) in each column j."""
     return dist.select("j", "i", (F.row_number().over(Window.partitionBy("j").orderBy(d, "i")) - 1).alias(name))
 
 
+def places(d: np.ndarray) -> np.ndarray:
+    """Of each entry in its row's order."""
+    out = np.empty(d.shape, np.int64)
+    np.put_along_axis(out, np.argsort(d, axis=1, kind="stable"), np.broadcast_to(np.arange(d.shape[1]), d.shape), axis=1)
+    return out
+
+
 def both_ranks(dx: np.ndarray, dy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of distances in rows (columns in order of id): each entry's ranks in both spaces, where neither is 0."""
-    k, l = (np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1, kind="stable").ravel() for d in (dx, dy))  # noqa: E741
+    k, l = (places(d).ravel() for d in (dx, dy))  # noqa: E741
     some = (k > 0) & (l > 0)
     return k[some], l[some]
 
 
 def coranking(points: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """k, l, c of points (id, x, y): pairs by both ranks, rank 0 left out. A source's ranks are made in the task that holds its
-    row, and counts leave it. sources: the landmarks whose ranks count (default: all)."""
+    """k, l, c of points (id, x, y): pairs by both ranks, rank 0 left out. A source's ranks are made in the task that has its
+    distances, and counts leave it packed by runs of k; a rank k has one pair a source, so runs are even. sources: the landmarks
+    whose ranks count (default: all)."""
 
     def emit(j, i, dx, dy):
+        n = len(i)
         k, l = both_ranks(dx, dy)  # noqa: E741
-        at, c = np.unique(k * max(1, len(i)) + l, return_counts=True)
-        return pa.table({"k": at // max(1, len(i)), "l": at % max(1, len(i)), "c": c})
-
-    parts = against_all(points, points if sources is None else sources, ["x", "y"], emit, "k long, l long, c long")
-    return parts.groupBy("k", "l").agg(F.sum("c").alias("c"))
+        code, c = np.unique(k * n + l, return_counts=True)
+        width = n * max(1, min(COUNTED // n, n // 64))
+        runs = np.split(np.arange(len(code)), np.flatnonzero(np.diff(code // width)) + 1)
+        runs = [r for r in runs if len(r)]
+        packs = {"run": [int(code[r[0]] // width) for r in runs], "n": [n] * len(runs), "code": [code[r].tobytes() for r in runs], "c": [c[r].astype(np.int64).tobytes() for r in runs]}
+        return pa.table(packs, schema=pa.schema([("run", pa.int64()), ("n", pa.int64()), ("code", pa.binary()), ("c", pa.binary())]))
+
+    def count(key: tuple, t: pa.Table) -> pa.Table:
+        code, c = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t[name]]) for name in ("code", "c"))
+        code, at = np.unique(code, return_inverse=True)
+        n, total = t["n"][0].as_py(), np.zeros(len(code), np.int64)
+        np.add.at(total, at, c)
+        return pa.table({"k": code // n, "l": code % n, "c": total})
+
+    parts = against_all(points, points if sources is None else sources, ["x", "y"], emit, "run long, n long, code binary, c binary")
+    return parts.groupBy("run").applyInArrow(count, "k long, l long, c long")
 
 
 def rank_sums(points: DataFrame, sources: DataFrame | None = None) -> DataFrame:

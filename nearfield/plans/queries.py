@@ -345,7 +345,7 @@ def softmax_similarity(spark, sf_dir):
 
 @query(f"WITH {PAIRS}, {softmax_sql(20.0)} SELECT j, round(-sum(p * lp), 6) AS entropy FROM s GROUP BY j")
 def column_entropy(spark, sf_dir):
-    return A.entropy(A.softmax(halves(spark, sf_dir), 20)).select("j", r6("entropy", "entropy"))
+    return A.entropy_of_points(load(spark, sf_dir), 20).select("j", r6("entropy", "entropy"))
 
 
 @query(f"""WITH {PAIRS}, t AS (SELECT j, i, ln(1 + 40 * d2 / 2) AS t FROM d), l AS (SELECT j, i, CASE WHEN i = j THEN -746.0 ELSE -(t - min(CASE WHEN i <> j THEN t END) OVER (PARTITION BY j)) END AS l FROM t)
@@ -524,6 +524,12 @@ def apsp_stretched(spark, sf_dir):
     return s.select("j", "i", "pred", "succ", r6("s", "s"))
 
 
+@query(f"WITH RECURSIVE {FOLLOWED} SELECT j, i, pred, round(d, 6) AS d FROM b")
+def apsp_by_rounds(spark, sf_dir):
+    """As of a graph too large for a task."""
+    return G.shortest_paths(graph6(spark, sf_dir)[1], task_edges=0).select("j", "i", "pred", r6("d", "d"))
+
+
 @query(f"WITH RECURSIVE {FOLLOWED} SELECT j, i FROM b EXCEPT SELECT j, pred FROM b")
 def apsp_terminals(spark, sf_dir):
     return G.terminals(G.shortest_paths(graph6(spark, sf_dir)[1]))
