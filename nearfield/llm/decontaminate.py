@@ -8,7 +8,8 @@
    one of them has touches one block, so at similarity t a window is within the radius r = 2n(1 - t) / (1 + t) of an item
    of n shingles. There are r + ``spare`` blocks: within the radius at least ``spare`` blocks are equal, and a join on
    (length, block, value) finds every window within the radius, but for blocks without a shingle, which are no keys (all
-   equal blocks are empty with a probability of about 6e-7 at nine shingles, and less for longer items). Values have 64 bits, so the join meets little else.
+   equal blocks are empty with a probability of about 6e-7 at nine shingles and less for longer items; of about 7e-5 where
+   the end of a text lacks one of an item's five). Values have 64 bits, so the join meets little else.
 3. Those within the radius are verified: weighted Jaccard similarity of the shingles, the weight of a shingle being how
    often it occurs, at least ``threshold``.
 
