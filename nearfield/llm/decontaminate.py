@@ -1,8 +1,8 @@
 """Benchmark decontamination: which documents hold a passage of a benchmark item. DataFrame functions only.
 
 1. A window of a document can only resemble an item if they share a shingle, so windows are laid where a document has a
-   shingle of some item: as long as the item, aligned on the shared shingle. Benchmark shingles are bounded by
-   ``block_shingles`` a pass; a larger benchmark takes more passes.
+   shingle of some item: as long as the item, aligned on the shared shingle. A pass takes items of at most
+   ``block_shingles`` shingles together (or one item, if it has more); a larger benchmark takes more passes.
 2. Windows and items get fingerprints: their shingles are dealt into blocks by hash, and each block is the 64-bit SimHash of
    its shingles. The Hamming distance of two fingerprints is the number of blocks in which they differ. Each shingle that only
    one of them has touches one block, so at similarity t a window is within the radius r = 2n(1 - t) / (1 + t) of an item
@@ -70,8 +70,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshol
     spark, found = docs.sparkSession, []
     for k in sorted(r.k for r in items.select("k").distinct().collect()):
         own = items.where(F.col("k") == k).select("item", "n", shingles(F.col("w"), k).alias("t"))
-        passes = -(-int(own.agg(F.sum(F.size("t"))).first()[0]) // block_shingles)
-        found += [matches(docs, own.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == p), k, threshold, spare, id_col, text_col) for p in range(passes)]
+        found += [matches(docs, some, k, threshold, spare, id_col, text_col) for some in passes(own, block_shingles)]
     if not found:
         return spark.createDataFrame([], f"{id_col} {dict(docs.dtypes)[id_col]}, {item_col} {dict(benchmark.dtypes)[item_col]}, similarity double, start_word int, n_words int")
     every = found[0]
@@ -81,6 +80,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshol
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "m.similarity", (-F.col("m.less")).alias("start_word"), F.col("m.n").alias("n_words"))
 
 
+def passes(items: DataFrame, most: int) -> list[DataFrame]:
+    """items (item, n, t) in parts of at most ``most`` shingles, or of one item that has more: runs of neighbouring ranges of a hash.
+    Ranges that hold too much are halved twice in each round, so the driver sees a few sums for each pass."""
+    total = int(items.agg(F.sum(F.size("t"))).first()[0] or 0)
+    if total <= most:
+        return [items]
+    hashed, h = items.withColumn("hash", F.xxhash64("item", "t")), F.col("hash")
+    bits, open_, fit = min(60, (-(-total // most)).bit_length() + 2), None, []
+    while True:
+        at = F.shiftright(h, 64 - bits)
+        wide = hashed if open_ is None else hashed.join(F.broadcast(open_), F.shiftright(h, 66 - bits) == F.col("part")).drop("part")
+        sums = wide.groupBy(at.alias("part")).agg(F.sum(F.size("t")).alias("shingles"), F.count(F.lit(1)).alias("items")).collect()
+        apart = [r for r in sums if r.shingles > most and r["items"] > 1 and bits < 64]
+        halved = {r.part for r in apart}
+        fit += [(r.part << (64 - bits), ((r.part + 1) << (64 - bits)) - 1, r.shingles) for r in sums if r.part not in halved]
+        if not apart:
+            break
+        open_ = items.sparkSession.createDataFrame([(r.part,) for r in apart], "part long")  # fewer than there are passes
+        bits += 2
+    runs: list[list[int]] = []
+    for first, last, shingles_ in sorted(fit):
+        if runs and runs[-1][2] + shingles_ <= most:
+            runs[-1][1:] = [last, runs[-1][2] + shingles_]
+        else:
+            runs.append([first, last, shingles_])
+    return [hashed.where(h.between(first, last)).drop("hash") for first, last, _ in runs]
+
+
 def matches(docs: DataFrame, items: DataFrame, k: int, threshold: float, spare: int, id_col: str, text_col: str) -> DataFrame:
     """Of the items of one pass: id, item, start, n, similarity."""
     blocks = radius(F.size("s"), threshold) + spare

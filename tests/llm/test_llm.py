@@ -253,6 +253,16 @@ def test_decontamination_finds_what_all_windows_hold(spark, small, block_shingle
     assert got == pytest.approx(want) and len(got) > (5 if block_shingles < 1000 else 15)
 
 
+def test_passes_hold_no_more_than_is_allowed(spark):
+    sizes = [1] * 300 + [3] * 80 + [60, 60, 60, 250]
+    items = spark.createDataFrame([(k, n, [1000 * k + x for x in range(n)]) for k, n in enumerate(sizes)], "item long, n int, t array<long>")
+    parts = [sorted((r["item"], r.n) for r in part.collect()) for part in decontaminate.passes(items, 100)]
+    assert sorted(x for part in parts for x in part) == sorted(enumerate(sizes))  # each item in one pass
+    assert all(sum(n for _, n in part) <= 100 or len(part) == 1 for part in parts)
+    assert len(parts) <= 3 * sum(sizes) // 100  # and passes aren't many more than it takes
+    assert len(decontaminate.passes(items, 10_000)) == 1 and len(decontaminate.passes(items.limit(0), 1)) == 1
+
+
 def test_decontamination_of_a_long_text_full_of_a_passage(spark):
     item = " ".join(f"w{k}" for k in range(60))
     texts = [(item + " ") * 2000, "lorem " * 100_000 + item]
