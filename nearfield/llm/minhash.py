@@ -126,7 +126,8 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """a, b, both, either (intersection and union counted on full sets) of pairs (a, b); texts: id, text."""
+    """a, b (a < b), both, either (intersection and union counted on full sets) of pairs (a, b); texts: id, text. The text of the one
+    with more partners is joined last and stays where it is: what travels is each partner's text to its hubs, and the hub's once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,9 +141,15 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(common, pa.int64()), pa.array(n + m[hubs.indices.to_numpy()] - np.array(common, np.int64), pa.int64())], names=["a", "b", "both", "either"])
         give_back()
 
+    pairs = written(pairs, "pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("met"))
+    of = lambda x: met.select(F.col("id").alias(x), F.col("met").alias(f"met_{x}"))
+    turn = F.col("met_a") > F.col("met_b")
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b").select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a")
     with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
-    return with_b.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, both long, either long")
+    done = with_b.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, both long, either long")
+    return done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "both", "either")
 
 
 def components(links: DataFrame) -> DataFrame:
