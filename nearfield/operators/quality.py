@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import written
 from .distance import against_all
 
 #: Pairs that a task counts at a time.
@@ -103,11 +104,11 @@ def rates(counts: DataFrame, n: int, m: int | None = None) -> DataFrame:
     return c.select("K", *[(F.col(f"{k}_count") / (F.col("K") * m)).alias(k) for k in ("n", "x", "p")], (F.col("K") / (n - 1)).alias("b"))
 
 
-def curves(rate: DataFrame) -> DataFrame:
-    """K, q, bb, lcmc, r (null at the last K)."""
-    q = rate.select("K", (F.col("n") + F.col("x") + F.col("p")).alias("q"), (F.col("x") - F.col("n")).alias("bb"), "b")
+def curves(rate: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, K, q, bb, lcmc, r (null at the last K)."""
+    q = rate.select(*by, "K", (F.col("n") + F.col("x") + F.col("p")).alias("q"), (F.col("x") - F.col("n")).alias("bb"), "b")
     q = q.withColumn("lcmc", F.col("q") - F.col("b"))
-    return q.select("K", "q", "bb", "lcmc", F.when(F.col("b") < 1, F.col("lcmc") / (1 - F.col("b"))).alias("r"))
+    return q.select(*by, "K", "q", "bb", "lcmc", F.when(F.col("b") < 1, F.col("lcmc") / (1 - F.col("b"))).alias("r"))
 
 
 def summary(curve: DataFrame, by: list[str]) -> DataFrame:
@@ -157,15 +158,34 @@ LANDMARKS = 6144
 
 def scores(views: DataFrame, embeddings: DataFrame, most: int = LANDMARKS, seed: int = 0) -> DataFrame:
     """view, method, sample, K, q, bb, lcmc, r of every embedding (method, sample, id, y) against every view (view, id, x). All
-    points are sources up to ``most``; of more, as many with the least hash of the id. Views, methods and samples are few."""
+    points are sources up to ``most``; of more, as many with the least hash of the id. Views, methods and samples are few: a
+    view's distances are made once, and every embedding's ranks are held against them in the same tasks. Only points that all
+    embeddings have count."""
+    runs = sorted((r.method, r["sample"]) for r in embeddings.select("method", "sample").distinct().collect())
+    names = [f"y{k}" for k in range(len(runs))]
+    own = [F.max(F.when((F.col("method") == m) & (F.col("sample") == s), F.col("y"))).alias(c) for (m, s), c in zip(runs, names, strict=True)]
+    wide = embeddings.groupBy("id").agg(*own)
+    for c in names:
+        wide = wide.where(F.col(c).isNotNull())
     out = None
     for view in sorted(r.view for r in views.select("view").distinct().collect()):
-        x = views.where(F.col("view") == view).select("id", "x")
-        n = x.count()
-        for method, sample in sorted((r.method, r["sample"]) for r in embeddings.select("method", "sample").distinct().collect()):
-            both = x.join(embeddings.where((F.col("method") == method) & (F.col("sample") == sample)).select("id", "y"), "id")
-            some = both if n <= most else both.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most)
-            curve = curves(rates(rank_sums(both, None if n <= most else some), n, min(n, most)))
-            curve = curve.select(F.lit(view).alias("view"), F.lit(method).alias("method"), F.lit(sample).alias("sample"), *curve.columns)
-            out = curve if out is None else out.unionByName(curve)
+        both = written(views.where(F.col("view") == view).select("id", "x").join(wide, "id"), "scored")
+        n = both.count()
+        some = both if n <= most else both.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most)
+
+        def emit(j, i, dx, *dys):
+            width, out = max(1, len(i)), []
+            for run, dy in enumerate(dys):
+                k, l = both_ranks(dx, dy)  # noqa: E741
+                at = lambda mask: np.bincount(np.maximum(k, l)[mask], minlength=width)[1:]  # noqa: B023, E731
+                out.append(pa.table({"run": np.full(width - 1, run), "K": np.arange(1, width), "n": at(k > l), "x": at(l > k), "p": at(k == l)}))
+            return pa.concat_tables(out)
+
+        cells = 8_000_000 // (1 + len(names))
+        counted = against_all(both, some, ["x", *names], emit, "run long, K long, n long, x long, p long", cells).groupBy("run", "K").agg(*(F.sum(c).alias(c) for c in "nxp"))
+        upto = Window.partitionBy("run").orderBy("K").rowsBetween(Window.unboundedPreceding, 0)  # a row for each K, not for each pair
+        rate = counted.select("run", "K", *[(F.sum(c).over(upto) / (F.col("K") * min(n, most))).alias(c) for c in "nxp"], (F.col("K") / max(1, n - 1)).alias("b"))
+        named = embeddings.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(runs)], f"run long, method string, sample {dict(embeddings.dtypes)['sample']}")
+        curve = curves(rate, ("run",)).join(F.broadcast(named), "run").select(F.lit(view).alias("view"), "method", "sample", "K", "q", "bb", "lcmc", "r")
+        out = curve if out is None else out.unionByName(curve)
     return out
