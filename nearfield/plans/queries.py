@@ -11,7 +11,6 @@ from ..functions import vectors as V
 from ..operators import affinity as A
 from ..operators import distance as D
 from ..operators import embed as E
-from ..operators import experiment as X
 from ..operators import graph as G
 from ..operators import linalg as L
 from ..operators import mosaic as M
@@ -866,16 +865,3 @@ def embed_multiscale_single(spark, sf_dir):
     """One scale a level, mixed divergences both ways, precisions by the perplexity alone."""
     p = load(spark, sf_dir)
     return holds(p, E.multi_scale(p, "j", -16))
-
-
-GRID = [*[(f"{m}/{k}", 5) for m in ("random", "pca") for k in X.PERPLEXITIES], *[(f"coarse_to_fine/{k}", 1) for k in X.PERPLEXITIES], ("multi_scale", 1)]
-
-
-@query("SELECT method, CAST(samples AS BIGINT) AS samples, true AS keeps_more FROM (VALUES " + ", ".join(map(str, GRID)) + ") AS g(method, samples), (SELECT 1 FROM embeddings LIMIT 1)")
-def experiment_grid(spark, sf_dir):
-    """Does each method keep more neighbours, at each perplexity and in the mean of its repetitions, than two principal components?"""
-    p = load(spark, sf_dir)
-    plane = L.pca(p, 2).select(F.lit("components").alias("method"), F.lit(None).cast("double").alias("perplexity"), F.lit(1).alias("sample"), "id", "y")
-    areas = written(X.compare(p, X.grid(p).select(*plane.columns).unionByName(plane))[1], "areas")
-    least = areas.where("method = 'components'").select(F.col("r_auc").alias("least"))
-    return areas.where("method <> 'components'").join(F.broadcast(least)).select("method", "samples", (F.col("r_auc") > F.col("least")).alias("keeps_more"))
