@@ -5,15 +5,16 @@ lattices: a symbol may stand for several letters, a separator for nothing or a w
 decoding under a character language model, over all states, picks the likeliest reading; the restored text and the text as it
 is are scored.
 
-The model is fitted on a bounded sample of labelled rows: ``max_toxic`` and ``max_clean`` rows at most, those with the least
-hash of the id. Its features are words and word beginnings, by how often they occur. A feature is taken into account if it
+The model is fitted on all labelled rows (``max_toxic`` and ``max_clean`` can bound them to those with the least hash of the
+id; the queries don't). Its features are words and word beginnings, by how often they occur. A feature is taken into account if it
 is in more toxic rows than chance explains, by one rule for samples of any size: if a feature that no clean row has were half
 as frequent as the rarest one that some has, at most ``chance`` features would be in as many toxic rows (Poisson). It must
 also be four times as frequent in toxic rows as in clean ones. Each is a Poisson model: its rate a word in clean texts against its mean count in toxic ones. A greedy cover keeps those that explain toxic rows not
 yet explained, so words that only go along with them (or belong to copies of one text) are not taken. A text is toxic by one
 of the features or none, so the odds of the mixture are the sum of the features' odds.
-All n-grams of the sample make the character model, and all features that chance doesn't explain are looked at, so the sample
-bounds the model; ``max_grams`` and ``max_features`` can bound it further.
+All n-grams of these rows make the character model, and all features that chance doesn't explain are looked at; ``max_grams`` and
+``max_features`` can bound them. Texts are restored once and written; counts are sums over tasks, and of the cover each
+turn is a count by feature over the rows that are left. What comes to the driver are n-grams and features, never rows.
 
 Null texts count as empty; rows are kept one for one; ids are joined to labels, and of several labels of an id (or of equal
 texts) the highest counts; labels that are null take no part; without labels every score is 0; extra columns are ignored, and
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, text_or_empty
+from .common import give_back, text_or_empty, written
 
 #: What a symbol may stand for.
 STANDS_FOR = {
@@ -425,13 +426,14 @@ class ToxicModel:
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 3000, max_clean: int = 9000, max_features: int | None = None, max_grams: int | None = None, chance: float = 3.0) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int | None = None, max_clean: int | None = None, max_features: int | None = None, max_grams: int | None = None, chance: float = 3.0) -> ToxicModel:
     """labels: the rows to learn from (id, label)."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
     seen = {r.y: r.n for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pick = lambda y, n: marks.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(n)
-    chosen = pick(1, max_toxic).unionByName(pick(0, max_clean))  # bounded: may be broadcast
-    sample = docs.select(id_col, text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), id_col).groupBy("text").agg(F.max("y").alias("y")).select("y", "text").persist()
+    of = lambda y, n: marks.where(F.col("y") == y) if n is None else marks.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(n)
+    chosen = of(1, max_toxic).unionByName(of(0, max_clean))
+    sample = docs.select(id_col, text_or_empty(text_col).alias("text")).join(chosen, id_col).groupBy("text").agg(F.max("y").alias("y")).select("y", "text")
+    sample = written(sample, "labelled")
 
     def lm_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, out = Counter(), Counter()
@@ -444,24 +446,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["g", "n"])
 
     rows = sample.mapInArrow(lm_grams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    rows = (rows if max_grams is None else rows.orderBy(F.desc("n"), "g").limit(max_grams)).collect()  # as bounded as the sample
+    rows = (rows if max_grams is None else rows.orderBy(F.desc("n"), "g").limit(max_grams)).collect()  # of few letters each, so their number levels off
     lm = CharLM({r.g: r.n for r in rows})
 
-    def counted(restorer: Restorer, text: str) -> Counter:
-        low = text.lower()
-        clear = restorer.text(low)
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(lm)
+        for b in batches:
+            for first in range(0, b.num_rows, 1000):
+                part = b.slice(first, 1000)
+                low = [t.as_py().lower() for t in part.column(1)]
+                clear = [restorer.text(t) for t in low]
+                other = [c if c != t else None for c, t in zip(clear, low, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(low, pa.string()), pa.array(other, pa.string())], names=["y", "low", "clear"])
+        give_back()
+
+    def counted(low: str, clear: str | None) -> Counter:
         out = features(LETTERS.findall(low))
-        return out | features(LETTERS.findall(clear)) if clear != low else out
+        return out if clear is None else out | features(LETTERS.findall(clear))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, sums = Restorer(lm), {}
+        sums: dict[str, list[int]] = {}
 
         def emit():
             return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(3))], names=["f", "n1", "k1", "k0"])
 
         for b in batches:
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for f, k in counted(restorer, t).items():
+            for y, low, clear in zip(*b.columns, strict=True):
+                y = y.as_py()
+                for f, k in counted(low.as_py(), clear.as_py()).items():
                     v = sums.setdefault(f, [0, 0, 0])
                     v[0] += y
                     v[1 if y else 2] += k
@@ -475,58 +487,62 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = {r.y: (r.n, r.w) for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.regexp_replace("text", "[^ \n]", "")) + 1).alias("w")).collect()}
     (toxic, toxic_words), (clean, clean_words) = total.get(1, (0, 0)), total.get(0, (0, 1))
     if not toxic:
-        sample.unpersist()
         return ToxicModel(lm, {}, 0.0)
-    tallied = sample.mapInArrow(tally, "f string, n1 long, k1 long, k0 long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("n1", "k1", "k0")))
+    texts = written(sample.mapInArrow(restored, "y long, low string, clear string").withColumn("row", F.monotonically_increasing_id()), "restored")
+    tallied = texts.select("y", "low", "clear").mapInArrow(tally, "f string, n1 long, k1 long, k0 long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("n1", "k1", "k0")))
     lift = F.col("k1") / toxic_words - 4 * (F.col("k0") + 1) / max(clean_words, 1)
-    tallied = tallied.where("n1 > 0").persist()
+    tallied = written(tallied.where("n1 > 0"), "tallied")
     kinds = tallied.count()
     # the least of n1 rows that chance doesn't explain, for the rate of a feature that no clean row has
     bare = least_rows(0.5 * toxic_words / max(clean_words, 1), chance / max(kinds, 1))
     kept = tallied.where((F.col("n1") >= bare) & (lift > 0))
     kept = (kept if max_features is None else kept.orderBy(F.desc(lift), "f").limit(max_features)).collect()  # in bare toxic rows at least
-    tallied.unpersist()
     stats = {r.f: (r.n1, r.k1, r.k0) for r in kept}
 
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(lm)
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [[(f, k) for f, k in counted(restorer, t).items() if f in stats] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([size(t) for t in b.column(1).to_pylist()], pa.int64()), pa.array([[f for f, _ in g] for g in got], pa.list_(pa.string())), pa.array([[k for _, k in g] for g in got], pa.list_(pa.int64()))], names=["y", "n", "fs", "ks"])
+            out = []
+            for y, low, clear, row in zip(*b.columns, strict=True):
+                t = low.as_py()
+                out += [(row.as_py(), y.as_py(), size(t), f, k) for f, k in counted(t, clear.as_py()).items() if f in stats]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["row", "y", "n", "f", "k"])
         give_back()
 
-    rows = sample.mapInArrow(cover, "y long, n long, fs array<string>, ks array<long>").collect()  # as bounded as the sample
-    sample.unpersist()
-    found: dict[str, list[tuple[int, int]]] = {}
-    for i, r in enumerate(rows):
-        for f, k in zip(r.fs, r.ks, strict=True):
-            found.setdefault(f, []).append((i, k))
+    hits = written(texts.select("y", "low", "clear", "row").mapInArrow(met, "row long, y long, n long, f string, k long"), "met")
     scale = seen.get(0, 0) / max(clean, 1) * toxic / max(seen.get(1, 0), 1)  # clean rows for each in the sample
-    explains = {}
+    models = {}
+    in_toxic = {r.f: (r.rows, r.words) for r in hits.where("y = 1").groupBy("f").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("words")).collect()}
     for f, (_, k1, k0) in stats.items():
         rate = (k0 + 0.5) / max(clean_words, 1)
-        hits = [(i, k) for i, k in found.get(f, []) if rows[i].y]
-        mean = max(0.5, (k1 - rate * sum(rows[i].n for i, _ in hits)) / max(1, len(hits)))
-        mark = Mark(rate, mean, max(len(hits), 1) / max(clean * scale, 1))
-        own = [i for i, k in found.get(f, []) if mark.evidence(k, rows[i].n) > 0]
-        explains[f] = (mark, {i for i in own if rows[i].y}, sum(1 for i in own if not rows[i].y))
-    left, taken = {i for i, r in enumerate(rows) if r.y}, {}
+        many, words = in_toxic.get(f, (0, 0))
+        models[f] = Mark(rate, max(0.5, (k1 - rate * words) / max(1, many)), max(many, 1) / max(clean * scale, 1))
+    table = docs.sparkSession.createDataFrame([(f, m.rate, m.mean, math.log(m.odds)) for f, m in models.items()], "f string, rate double, mean double, log_odds double")
+    chance_ = F.col("rate") * F.col("n")
+    evidence = F.col("log_odds") + F.col("k") * F.log((chance_ + F.col("mean")) / chance_) - F.col("mean")  # as Mark has it
+    own = written(hits.join(F.broadcast(table), "f").where(evidence > 0).select("f", "row", "y"), "explained")
+    wrong = {r.f: r.n for r in own.where("y = 0").groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
+    open_, taken, at = own.where("y = 1").select("f", "row"), {}, 0  # of the rows that nothing taken explains
+    left: dict[str, int] = {r.f: r.n for r in open_.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
+    explains = {f: (m, left.get(f, 0), wrong.get(f, 0)) for f, m in models.items()}
+    unexplained = toxic
     while True:
-        gain = {f: len(hits & left) - 4 * wrong * scale for f, (_, hits, wrong) in explains.items()}
+        gain = {f: left.get(f, 0) - 4 * bad * scale for f, (_, _, bad) in explains.items()}
         # few new rows are enough for a feature that marks many
-        ok = [f for f, g in gain.items() if g >= bare or (g >= 1 and len(explains[f][1]) >= 0.04 * toxic)]
+        ok = [f for f, g in gain.items() if g >= bare or (g >= 1 and explains[f][1] >= 0.04 * toxic)]
         if not ok:
             break
         best = max(ok, key=lambda f: (gain[f], len(f), f))
-        mark, hits, _ = explains.pop(best)
-        taken[best] = Mark(mark.rate, mark.mean, max(len(hits & left), 0.3 * len(hits)) / max(clean * scale, 1))
-        left -= hits
+        mark, many, _ = explains.pop(best)
+        taken[best] = Mark(mark.rate, mark.mean, max(left.get(best, 0), 0.3 * many) / max(clean * scale, 1))
+        unexplained, at = unexplained - left.get(best, 0), at + 1
+        open_ = written(open_.join(open_.where(F.col("f") == best).select("row"), "row", "left_anti").select("f", "row"), f"left-{at}")
+        left = {r.f: r.n for r in open_.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
     stem = lambda f: f.rstrip("*")
-    for f in sorted(explains, key=lambda f: (-len(explains[f][1]), -len(f), f)):  # whatever else marks many and no clean one
-        mark, hits, wrong = explains[f]
-        if not wrong and len(hits) >= 0.04 * toxic and not any(stem(f).startswith(stem(t)) or stem(t).startswith(stem(f)) for t in taken):
-            taken[f] = Mark(mark.rate, mark.mean, 0.3 * len(hits) / max(clean * scale, 1))
-    return ToxicModel(lm, taken, min(0.25, len(left) / max(clean * scale + len(left), 1)))
+    for f in sorted(explains, key=lambda f: (-explains[f][1], -len(f), f)):  # whatever else marks many and no clean one
+        mark, many, bad = explains[f]
+        if not bad and many >= 0.04 * toxic and not any(stem(f).startswith(stem(t)) or stem(t).startswith(stem(f)) for t in taken):
+            taken[f] = Mark(mark.rate, mark.mean, 0.3 * many / max(clean * scale, 1))
+    return ToxicModel(lm, taken, min(0.25, unexplained / max(clean * scale + unexplained, 1)))
 
 
 def score(docs: DataFrame, model: ToxicModel, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:

@@ -552,3 +552,12 @@ def test_scores_by_hand(spark):
             chance = m.rate * (t.count(" ") + t.count("\n") + 1)
             odds += m.odds * ((chance + m.mean) / chance) ** n * math.exp(-m.mean) if 0 < n < 3000 else math.exp(50) if n else 0
         assert got[k] == pytest.approx(odds / (1 + odds), abs=1e-9), t
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """Before, from 3,000 toxic rows and 9,000 clean ones."""
+    name = lambda k: "".join(chr(97 + k // 26**p % 26) for p in range(3))
+    texts = [f"scoundrel x{name(k)}" if k < 3100 else f"house x{name(k)}" for k in range(12_300)]
+    labels = spark.createDataFrame([(k, int(k < 3100)) for k in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, texts), labels)
+    assert {m.rate for m in model.marks.values()} == {0.5 / (2 * 9200)} and model.scorer()("a scoundrel") > 0.3
