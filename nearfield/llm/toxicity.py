@@ -464,39 +464,47 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         out = features(LETTERS.findall(low))
         return out if clear is None else out | features(LETTERS.findall(clear))
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list[int]] = {}
-
-        def emit():
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(3))], names=["f", "n1", "k1", "k0"])
-
-        for b in batches:
-            for y, low, clear in zip(*b.columns, strict=True):
-                y = y.as_py()
-                for f, k in counted(low.as_py(), clear.as_py()).items():
-                    v = sums.setdefault(f, [0, 0, 0])
-                    v[0] += y
-                    v[1 if y else 2] += k
-                if len(sums) > 400_000:
-                    yield emit()
-                    sums = {}
-        yield emit()
-        sums = {}
-        give_back()
+    def tally(only: frozenset[str] | None):
+        """f, rows, k: in how many texts each feature (of those given, if any are) is, and how often."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[str, list[int]] = {}
+
+            def emit():
+                return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(2))], names=["f", "rows", "k"])
+
+            for b in batches:
+                for low, clear in zip(*b.columns, strict=True):
+                    for f, k in counted(low.as_py(), clear.as_py()).items():
+                        if only is None or f in only:
+                            v = sums.setdefault(f, [0, 0])
+                            v[0] += 1
+                            v[1] += k
+                    if len(sums) > 400_000:
+                        yield emit()
+                        sums = {}
+            yield emit()
+            sums = {}
+            give_back()
+
+        return run
 
     total = {r.y: (r.n, r.w) for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.regexp_replace("text", "[^ \n]", "")) + 1).alias("w")).collect()}
     (toxic, toxic_words), (clean, clean_words) = total.get(1, (0, 0)), total.get(0, (0, 1))
     if not toxic:
         return ToxicModel(lm, {}, 0.0)
     texts = written(sample.mapInArrow(restored, "y long, low string, clear string").withColumn("row", F.monotonically_increasing_id()), "restored")
-    tallied = texts.select("y", "low", "clear").mapInArrow(tally, "f string, n1 long, k1 long, k0 long").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("n1", "k1", "k0")))
-    lift = F.col("k1") / toxic_words - 4 * (F.col("k0") + 1) / max(clean_words, 1)
-    tallied = written(tallied.where("n1 > 0"), "tallied")
-    kinds = tallied.count()
+    tallies = lambda y, only: texts.where(F.col("y") == y).select("low", "clear").mapInArrow(tally(only), "f string, rows long, k long").groupBy("f").agg(F.sum("rows").alias("rows"), F.sum("k").alias("k"))
+    toxic_ones = written(tallies(1, None), "tallied")
+    kinds = toxic_ones.count()
     # the least of n1 rows that chance doesn't explain, for the rate of a feature that no clean row has
     bare = least_rows(0.5 * toxic_words / max(clean_words, 1), chance / max(kinds, 1))
-    kept = tallied.where((F.col("n1") >= bare) & (lift > 0))
-    kept = (kept if max_features is None else kept.orderBy(F.desc(lift), "f").limit(max_features)).collect()  # in bare toxic rows at least
+    # only what is in bare toxic rows at least is counted in clean ones
+    many = toxic_ones.where(F.col("rows") >= bare).select("f", F.col("rows").alias("n1"), F.col("k").alias("k1"))
+    in_clean = tallies(0, frozenset(r.f for r in many.select("f").collect())).select("f", F.col("k").alias("k0"))
+    lift = F.col("k1") / toxic_words - 4 * (F.col("k0") + 1) / max(clean_words, 1)
+    kept = many.join(in_clean, "f", "left").fillna(0, ["k0"]).where(lift > 0)
+    kept = (kept if max_features is None else kept.orderBy(F.desc(lift), "f").limit(max_features)).collect()
     stats = {r.f: (r.n1, r.k1, r.k0) for r in kept}
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
