@@ -18,9 +18,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxic_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicModel:
-    """Learned from the labelled rows that aren't held out."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.coalesce(remainder("doc_id", 4), F.lit(2)) != 2)
-    return toxicity.fit(table(spark, sf_dir, "documents"), labels)
+    """Learned from the labelled rows that aren't held out (texts of held-out rows aren't shuffled to learn so)."""
+    known = F.coalesce(remainder("doc_id", 4), F.lit(2)) != 2
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(known)
+    return toxicity.fit(table(spark, sf_dir, "documents").where(known), labels)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

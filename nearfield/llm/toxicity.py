@@ -23,10 +23,12 @@ a kept column that has the score's name gives way to it.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,12 +46,15 @@ STANDS_FOR = {
 SYMBOL = r"0-9@$!|+€(¡*"
 #: Three letters or more, each alone, whatever parts them.
 SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]+[^\W_](?![^\W_])){2,}")
-SIGN = re.compile(f"[{SYMBOL}]")
+#: Letters, digits and signs in a row, a sign among them.
+SIGNED = re.compile(rf"(?<![\w{SYMBOL}])[^\W0-9]*+[{SYMBOL}][\w{SYMBOL}]*+")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Characters without width.
 UNSEEN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 ORDER = 4
+#: Different words that a task holds before it adds them up by n-grams or features.
+MOST_WORDS = 400_000
 
 
 @dataclass
@@ -83,11 +88,15 @@ class CharLM:
         return got
 
 
-def grams(word: str) -> Iterator[str]:
+def longest_grams(word: str) -> list[str]:
     s = " " * (ORDER - 1) + word + " "
-    for i in range(ORDER - 1, len(s)):
-        for n in range(ORDER):
-            yield s[i - n : i + 1]
+    return [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]
+
+
+def grams(word: str) -> Iterator[str]:
+    for g in longest_grams(word):
+        for n in range(1, ORDER + 1):
+            yield g[-n:]
 
 
 def restore(lm: CharLM, noisy: str) -> str:
@@ -303,11 +312,48 @@ def restore_long(lm: CharLM, noisy: str, block: int | None = None) -> str:
     return "".join(reversed(out)).strip()
 
 
+@functools.cache
+def alnum() -> np.ndarray:
+    """Of each code point, whether it is a letter or a number."""
+    return np.array([chr(c).isalnum() for c in range(sys.maxunicode + 1)])
+
+
+def code_points(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def may_be_spaced(low: str) -> bool:
+    """Whether SPACED is found: three letters or numbers in a row that each stand alone."""
+    inside = np.concatenate([[False], alnum()[code_points(low)], [False]])
+    starts = np.flatnonzero(inside[1:-1] & ~inside[:-2])
+    alone = ~inside[starts + 2]
+    return bool((alone[2:] & alone[1:-1] & alone[:-2]).any())
+
+
+def may_repeat(low: str) -> bool:
+    """Whether TRIPLE is found."""
+    c = code_points(low)
+    same = c[1:] == c[:-1]
+    return any(LETTERS.match(chr(x)) for x in np.unique(c[2:][same[1:] & same[:-1]]))
+
+
+def may_hold(marks: Iterable[str]):
+    """Whether some reading of a stretch could hold one of the marks: its letters, or signs that stand for them, are there in order.
+    No input puts out more than a letter, so where they aren't, no reading holds it (nor a reading of a reading)."""
+    signs: dict[str, str] = {}
+    for sign, letters in STANDS_FOR.items():
+        for x in letters:
+            signs[x] = signs.get(x, "") + sign
+    kinds = lambda m: (re.escape(c + signs.get(c, "")) for c in m)
+    return re.compile("|".join("".join(f"[^{k}]*+[{k}]" for k in kinds(m)) for m in sorted({f.rstrip("*") for f in marks}))).match
+
+
 class Restorer:
-    """Restores texts; readings of short stretches are kept for the next time."""
+    """Restores texts; readings of short stretches are kept for the next time. wanted: stretches of which it doesn't hold stay as
+    they are (those of letters set apart are always read, as they may become part of another)."""
 
-    def __init__(self, lm: CharLM):
-        self.lm, self.known = lm, {}
+    def __init__(self, lm: CharLM, wanted=None):
+        self.lm, self.known, self.wanted = lm, {}, wanted
 
     def reading(self, s: str) -> str:
         got = self.known.get(s)
@@ -319,13 +365,17 @@ class Restorer:
                 self.known[s] = got
         return got
 
+    def wanted_reading(self, s: str) -> str:
+        return s if self.wanted and not self.wanted(s) else self.reading(s)
+
     def text(self, low: str) -> str:
         """Of a lower-case text; the text itself if nothing in it is noisy. Signs are found first, stretches around them after.
         Characters that aren't seen go before."""
         low = UNSEEN.sub("", low)
-        low = SPACED.sub(lambda m: self.reading(m.group()), low)
-        low = self.around(low, SIGN, lambda c: c.isalnum() or c == "_" or SIGN.match(c), LETTERS.search)
-        return self.around(low, TRIPLE, str.isalpha, str.isalpha)
+        if may_be_spaced(low):
+            low = SPACED.sub(lambda m: self.reading(m.group()), low)
+        low = SIGNED.sub(lambda m: self.wanted_reading(m.group()) if LETTERS.search(m.group()) else m.group(), low)
+        return self.around(low, TRIPLE, str.isalpha, str.isalpha) if may_repeat(low) else low
 
     def around(self, low: str, sign: re.Pattern, inside, noisy) -> str:
         out, done = [], 0
@@ -338,7 +388,7 @@ class Restorer:
             while b < len(low) and inside(low[b]):
                 b += 1
             if noisy(low[a:b]):
-                out += [low[done:a], self.reading(low[a:b])]
+                out += [low[done:a], self.wanted_reading(low[a:b])]
                 done = b
             elif b > done:
                 out.append(low[done:b])
@@ -346,15 +396,48 @@ class Restorer:
         return "".join([*out, low[done:]]) if out else low
 
 
+def features_of(w: str) -> list[str]:
+    """A word and its beginnings of 3 to 8 letters."""
+    return [w, *(f"{w[:k]}*" for k in range(3, min(8, len(w)) + 1))]
+
+
 def features(words: list[str]) -> Counter:
     """How often each word and each word beginning of 3 to 8 letters occurs."""
     out = Counter(words)
     for w, n in list(out.items()):
-        for k in range(3, min(8, len(w)) + 1):
-            out[f"{w[:k]}*"] += n
+        for f in features_of(w)[1:]:
+            out[f] += n
     return out
 
 
+class Among:
+    """Those of some features that a word counts for."""
+
+    def __init__(self, of: Iterable[str]):
+        self.of = frozenset(of)
+        self.heads = frozenset(f.rstrip("*")[:3] for f in self.of)
+
+    def sums(self, words: Counter) -> Counter:
+        out, of, heads = Counter(), self.of, self.heads
+        for w, n in words.items():
+            if w[:3] in heads:
+                for f in features_of(w):
+                    if f in of:
+                        out[f] += n
+        return out
+
+
+def more_features(low: str, clear: str) -> Counter:
+    """By how much what ``features`` counts of clear is above what it counts of low. Both are sums over words."""
+    off, out = Counter(LETTERS.findall(clear)), Counter()
+    off.subtract(LETTERS.findall(low))
+    for w, n in off.items():
+        if n:
+            for f in features_of(w):
+                out[f] += n
+    return +out
+
+
 def least_rows(mean: float, level: float) -> int:
     """The least n of which a Poisson count with this mean reaches n with a probability of at most the level."""
     n, term, tail = 0, math.exp(-mean), 1.0
@@ -402,7 +485,7 @@ class ToxicModel:
         for f in self.marks:
             s = f.rstrip("*")
             automaton.add_word(s, [*(automaton.get(s, None) or []), (f, len(s), f.endswith("*"))])
-        restorer = Restorer(self.lm)
+        restorer = Restorer(self.lm, may_hold(self.marks))
         if self.marks:
             automaton.make_automaton()
 
@@ -432,17 +515,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = {r.y: r.n for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     of = lambda y, n: marks.where(F.col("y") == y) if n is None else marks.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(n)
     chosen = of(1, max_toxic).unionByName(of(0, max_clean))
-    sample = docs.select(id_col, text_or_empty(text_col).alias("text")).join(chosen, id_col).groupBy("text").agg(F.max("y").alias("y")).select("y", "text")
+    # a table of labels is not sent to every task, however small: it grows with the documents
+    sample = docs.select(id_col, text_or_empty(text_col).alias("text")).join(chosen.hint("shuffle_hash"), id_col).groupBy("text").agg(F.max("y").alias("y")).select("y", "text")
     sample = written(sample, "labelled")
 
     def lm_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, out = Counter(), Counter()
+        words, longest, out = Counter(), Counter(), Counter()
+
+        def add():
+            for w, n in words.items():
+                for g in longest_grams(w):
+                    longest[g] += n
+            words.clear()
+
         for b in batches:
-            for t in b.column(1).to_pylist():
-                words.update(LETTERS.findall(t.lower()))
-        for w, n in words.items():
-            for g in grams(w):
-                out[g] += n
+            for t in b.column(1):
+                words.update(LETTERS.findall(t.as_py().lower()))
+                if len(words) > MOST_WORDS:
+                    add()
+        add()
+        for g, n in longest.items():  # the shorter ones are their ends
+            for k in range(ORDER):
+                out[g[k:]] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["g", "n"])
 
     rows = sample.mapInArrow(lm_grams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
@@ -464,27 +558,45 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         out = features(LETTERS.findall(low))
         return out if clear is None else out | features(LETTERS.findall(clear))
 
-    def tally(only: frozenset[str] | None):
-        """f, rows, k: in how many texts each feature (of those given, if any are) is, and how often."""
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """f, rows, k: in how many texts each feature is, and how often."""
+        sums: dict[str, list[int]] = {}
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[str, list[int]] = {}
+        def emit():
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(2))], names=["f", "rows", "k"])
 
-            def emit():
-                return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(2))], names=["f", "rows", "k"])
+        for b in batches:
+            for low, clear in zip(*b.columns, strict=True):
+                for f, k in counted(low.as_py(), clear.as_py()).items():
+                    v = sums.setdefault(f, [0, 0])
+                    v[0] += 1
+                    v[1] += k
+                if len(sums) > 400_000:
+                    yield emit()
+                    sums = {}
+        yield emit()
+        sums = {}
+        give_back()
 
+    def occurrences(only: Among):
+        """f, k: how often each of these features is in the texts. Words are added up first, and features are theirs; of a text that
+        was restored, what it has more of then is added."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, sums = Counter(), Counter()
             for b in batches:
                 for low, clear in zip(*b.columns, strict=True):
-                    for f, k in counted(low.as_py(), clear.as_py()).items():
-                        if only is None or f in only:
-                            v = sums.setdefault(f, [0, 0])
-                            v[0] += 1
-                            v[1] += k
-                    if len(sums) > 400_000:
-                        yield emit()
-                        sums = {}
-            yield emit()
-            sums = {}
+                    low, clear = low.as_py(), clear.as_py()
+                    words.update(LETTERS.findall(low))
+                    if clear is not None:
+                        sums.update({f: k for f, k in more_features(low, clear).items() if f in only.of})
+                    if len(words) > MOST_WORDS:
+                        sums.update(only.sums(words))
+                        words.clear()
+            sums.update(only.sums(words))
+            words.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["f", "k"])
+            sums.clear()
             give_back()
 
         return run
@@ -494,25 +606,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not toxic:
         return ToxicModel(lm, {}, 0.0)
     texts = written(sample.mapInArrow(restored, "y long, low string, clear string").withColumn("row", F.monotonically_increasing_id()), "restored")
-    tallies = lambda y, only: texts.where(F.col("y") == y).select("low", "clear").mapInArrow(tally(only), "f string, rows long, k long").groupBy("f").agg(F.sum("rows").alias("rows"), F.sum("k").alias("k"))
-    toxic_ones = written(tallies(1, None), "tallied")
+    of_kind = lambda y: texts.where(F.col("y") == y).select("low", "clear")
+    toxic_ones = written(of_kind(1).mapInArrow(tally, "f string, rows long, k long").groupBy("f").agg(F.sum("rows").alias("rows"), F.sum("k").alias("k")), "tallied")
     kinds = toxic_ones.count()
     # the least of n1 rows that chance doesn't explain, for the rate of a feature that no clean row has
     bare = least_rows(0.5 * toxic_words / max(clean_words, 1), chance / max(kinds, 1))
     # only what is in bare toxic rows at least is counted in clean ones
     many = toxic_ones.where(F.col("rows") >= bare).select("f", F.col("rows").alias("n1"), F.col("k").alias("k1"))
-    in_clean = tallies(0, frozenset(r.f for r in many.select("f").collect())).select("f", F.col("k").alias("k0"))
+    in_clean = of_kind(0).mapInArrow(occurrences(Among(r.f for r in many.select("f").collect())), "f string, k long").groupBy("f").agg(F.sum("k").alias("k0"))
     lift = F.col("k1") / toxic_words - 4 * (F.col("k0") + 1) / max(clean_words, 1)
     kept = many.join(in_clean, "f", "left").fillna(0, ["k0"]).where(lift > 0)
     kept = (kept if max_features is None else kept.orderBy(F.desc(lift), "f").limit(max_features)).collect()
     stats = {r.f: (r.n1, r.k1, r.k0) for r in kept}
+    kept_ones = Among(stats)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for y, low, clear, row in zip(*b.columns, strict=True):
-                t = low.as_py()
-                out += [(row.as_py(), y.as_py(), size(t), f, k) for f, k in counted(t, clear.as_py()).items() if f in stats]
+                t, c = low.as_py(), clear.as_py()
+                got = kept_ones.sums(Counter(LETTERS.findall(t)))
+                if c is not None:
+                    got |= kept_ones.sums(Counter(LETTERS.findall(c)))
+                out += [(row.as_py(), y.as_py(), size(t), f, k) for f, k in got.items()]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["row", "y", "n", "f", "k"])
         give_back()
 

@@ -561,3 +561,37 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     labels = spark.createDataFrame([(k, int(k < 3100)) for k in range(len(texts))], "doc_id long, toxic int")
     model = toxicity.fit(docs(spark, texts), labels)
     assert {m.rate for m in model.marks.values()} == {0.5 / (2 * 9200)} and model.scorer()("a scoundrel") > 0.3
+
+
+def test_only_stretches_that_may_hold_a_mark_are_decoded(monkeypatch):
+    lm = toxicity.CharLM(Counter(g for w in ("idiot", "abide", "toil", "pilot") for g in toxicity.grams(w)))
+    marks = {"idiot*": toxicity.Mark(1e-5, 1.0, 0.1), "toil": toxicity.Mark(1e-5, 1.0, 0.1)}
+    decoded = []
+    plain = toxicity.restore
+    monkeypatch.setattr(toxicity, "restore", lambda lm, noisy: decoded.append(noisy) or plain(lm, noisy))
+    texts = ["x7y and abc1def, an 1d10t; looong t01l", "i d i o t@x", "t.o.i.l 12 idiiiot", "aaa1bbb ٣x²²² i-d-i-o-t"]
+    score = toxicity.ToxicModel(lm, marks, 0.01).scorer()
+    got = [score(t) for t in texts]
+    assert not {"x7y", "abc1def", "looong", "aaa1bbb"} & set(decoded) and {"1d10t", "t01l", "idiiiot"} <= set(decoded)
+    monkeypatch.setattr(toxicity, "may_hold", lambda marks: None)  # all are read
+    score = toxicity.ToxicModel(lm, marks, 0.01).scorer()
+    assert got == [score(t) for t in texts] and "looong" in decoded
+
+
+def test_counts_of_restored_texts_are_sums_over_words():
+    low, clear = "an 1d10t and a1d ab ab idiots", "an idiot and aid ab idiots idiots"
+    both = toxicity.features(toxicity.LETTERS.findall(low)) | toxicity.features(toxicity.LETTERS.findall(clear))
+    parts = toxicity.features(toxicity.LETTERS.findall(low))
+    parts.update(toxicity.more_features(low, clear))
+    assert parts == both
+    only = toxicity.Among(["idi*", "ab", "idiots"])
+    assert only.sums(Counter(toxicity.LETTERS.findall(clear))) == {"idi*": 3, "ab": 1, "idiots": 2}
+
+
+def test_labels_are_not_sent_to_every_task(spark, monkeypatch):
+    plans = []
+    real = toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, what: plans.append((what, df._jdf.queryExecution().executedPlan().toString())) or real(df, what))
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(20)], "doc_id long, text string")
+    toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert "ShuffledHashJoin" in dict(plans)["labelled"] and "Broadcast" not in dict(plans)["labelled"]
