@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import written
-from .distance import matrix
+from .distance import block_pairs, matrix, summed
 
 
 def levels_for(width: float, finest: float, least: int = 3, most: int = 20) -> int:
@@ -117,6 +117,23 @@ def repulsion(y: DataFrame, finest: float = 0.125, apart: int = 2) -> DataFrame:
     return parts.groupBy("id").agg(F.sum("z").alias("z"), F.array(F.sum("fx"), F.sum("fy")).alias("f"))
 
 
+def repulsion_of_pairs(y: DataFrame) -> DataFrame:
+    """What ``repulsion`` approximates, by all pairs; a pair of blocks sends a row a point, and a task holds one tile of distances."""
+
+    def emit(j, i, d2, yj, yi):
+        w = 1 / (1 + d2)
+        if np.isin(j, i).any():
+            w[j[:, None] == i] = 0
+        z = w.sum(1)
+        w *= w
+        f = w.sum(1)[:, None] * yj - w @ yi
+        return pa.table({"id": j, "z": z, "fx": f[:, 0], "fy": f[:, 1]})
+
+    both = y.select("id", F.col("y").alias("x"), "y")
+    parts = block_pairs(both, both, ["x"], emit, "id long, z double, fx double, fy double", carried=("y",), fold=summed("id", "z", "fx", "fy"))
+    return parts.groupBy("id").agg(F.sum("z").alias("z"), F.array(F.sum("fx"), F.sum("fy")).alias("f"))
+
+
 def tsne_gradient(y: DataFrame, p: DataFrame, finest: float = 0.125) -> DataFrame:
     """id, g: the gradient of the divergence of t-SNE. p: similarities j, i, p in both directions, of sum 1; those left out are 0."""
     far = written(repulsion(y, finest), "repulsion")

@@ -3,7 +3,6 @@ their twins are the same SQL."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import cells as C
@@ -137,13 +136,7 @@ def repulsion_by_cells(spark, sf_dir):
     """Of two principal components, blown up: are sums within a thousandth and forces within a hundredth of those of all pairs?"""
     y = written(L.pca(load(spark, sf_dir), 2).select("id", F.transform("y", lambda c: 40 * c).alias("y")), "plane")
 
-    def emit(j, i, d2, yj, yi):
-        w = 1 / (1 + d2) * (j[:, None] != i[None])
-        f = (w**2)[:, :, None] * (yj[:, None] - yi[None])
-        return pa.table({"id": j, "z": w.sum(1), "fx": f[:, :, 0].sum(1), "fy": f[:, :, 1].sum(1)})
-
-    both = y.select("id", F.col("y").alias("x"), "y")
-    exact = D.block_pairs(both, both, ["x"], emit, "id long, z double, fx double, fy double", carried=("y",)).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("z", "fx", "fy")])
+    exact = B.repulsion_of_pairs(y).select("id", "z", F.get("f", F.lit(0)).alias("fx"), F.get("f", F.lit(1)).alias("fy"))
     got = B.repulsion(y).select("id", F.col("z").alias("gz"), "f").join(exact, "id")
     off = F.sqrt((F.get("f", F.lit(0)) - F.col("fx")) ** 2 + (F.get("f", F.lit(1)) - F.col("fy")) ** 2)
     return got.agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("gz") / F.col("z") - 1)) < 1e-3).alias("sums_near"), (F.max(off) < 0.01 * F.avg(F.sqrt(F.col("fx") ** 2 + F.col("fy") ** 2))).alias("forces_near"))
